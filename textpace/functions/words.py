@@ -19,10 +19,11 @@ CURRENCY = "$€£¥₹₽¢"
 
 
 def word_pattern(curly_quotes: bool = False) -> str:
+    """The repeats are possessive so that a very long number list cannot exhaust the stack."""
     q = QUOTES + (CURLY_QUOTES if curly_quotes else "")
     url = r"https?://[^\s\p{Z}]+"
     opening = f"[{q}]*[{CURRENCY}]?"
-    core = rf"[\p{{L}}\p{{N}}{PICTOGRAPHIC}]+(?:[.,]\p{{Nd}}+)*(?:[-']\p{{L}}+)*"
+    core = rf"[\p{{L}}\p{{N}}{PICTOGRAPHIC}]+(?:[.,]\p{{Nd}}+)*+(?:[-']\p{{L}}+)*+"
     closing = f"[%.,!?;:…{q}]*"
     return f"{url}|{opening}{core}{closing}"
 
@@ -84,3 +85,8 @@ def previous(word_array: Column, idx: Column, limit: int = 5) -> Column:
 def normalize_match(text: Column) -> Column:
     """Lower case, every non-alphanumeric run becomes one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), NON_ALNUM + "+", " "))
+
+
+def let(value: Column, use) -> Column:
+    """Bind a computed value so that a per-element expression reads it instead of redoing it."""
+    return F.transform(F.array(value), use)[0]

@@ -31,3 +31,61 @@ conv_blocks AS (
      CASE WHEN turn % 4 = 0 THEN 'heading' WHEN turn % 7 = 5 THEN 'code' ELSE 'paragraph' END AS type
      FROM conversations))
 """
+RICH_BLOCKS = """
+rich_blocks AS (
+  SELECT c AS doc_id, t AS block_idx,
+    CASE n WHEN 0 THEN 'heading' WHEN 1 THEN 'code' WHEN 2 THEN 'image' WHEN 3 THEN 'formula'
+      WHEN 4 THEN 'table' WHEN 5 THEN 'list' WHEN 6 THEN 'quote' ELSE 'paragraph' END AS type,
+    CASE WHEN n = 0 THEN (1 + t % 4)::INT END AS level,
+    CASE n WHEN 1 THEN 'code' WHEN 2 THEN 'image' WHEN 3 THEN 'formula' WHEN 4 THEN 'table' ELSE body END AS text,
+    CASE n WHEN 1 THEN body WHEN 2 THEN CASE WHEN c % 5 = 0 THEN ' ' ELSE ' https://img.example.org/' || t || '.png ' END
+      WHEN 3 THEN CASE WHEN c % 4 = 0 THEN ' ' || chr(10) ELSE 'x^' || t END
+      WHEN 4 THEN '<table><tr><td>' || t || '</td></tr></table>' END AS payload,
+    1 + t // 2 AS page
+  FROM (SELECT conv_id AS c, turn AS t, text AS body, (conv_id * 7 + turn) % 9 AS n FROM conversations))
+"""
+
+# Markdown lines made from document lines; the same text serves Spark and the check.
+# {i} is the zero-based line index and l the line.
+MD_LINE = """CASE {i} % 22
+  WHEN 0 THEN repeat('#', CAST(1 + {i} % 6 AS INT)) || ' ' || l || ' ##'
+  WHEN 1 THEN '- [x] ' || l
+  WHEN 2 THEN '12. ' || l
+  WHEN 3 THEN '> ' || l
+  WHEN 4 THEN ''
+  WHEN 5 THEN '**Bold** ' || l
+  WHEN 6 THEN '| Head `a` | B & C | x' || chr(92) || '|y |'
+  WHEN 7 THEN '| --- | :--: | ---: |'
+  WHEN 8 THEN '| ' || substr(l, 1, 20) || ' | 2 |'
+  WHEN 9 THEN '$$x^2 + ' || {i} || '$$'
+  WHEN 11 THEN '```Python'
+  WHEN 12 THEN '  ' || l
+  WHEN 13 THEN '```'
+  WHEN 15 THEN '===='
+  WHEN 16 THEN '$$'
+  WHEN 17 THEN '  y_' || {i}
+  WHEN 18 THEN '$$'
+  WHEN 19 THEN '[^1]: ' || l
+  WHEN 21 THEN CASE WHEN {i} % 4 = 1 THEN '---' ELSE '***' END
+  ELSE l END"""
+MD_EXT_LINE = """CASE {i} % 12
+  WHEN 0 THEN l || ' :smile: and :nope: (c) (TM) ... -- +- --- `a -- b`'
+  WHEN 1 THEN '*[Tag' || {i} || ']: full ' || substr(l, 1, 20)
+  WHEN 2 THEN 'the Tag1 uses `Tag1 -- code` Tag13 here, Tag1.'
+  WHEN 3 THEN ''
+  WHEN 4 THEN 'Term ' || {i}
+  WHEN 5 THEN ':   ' || l
+  WHEN 7 THEN ''
+  WHEN 8 THEN '[^n' || {i} % 5 || ']: note ' || l
+  WHEN 9 THEN 'x[^n1] y[^n0] z[^nine] $x_' || {i} || '$ ' || chr(92) || '(a+b' || chr(92) || ') `$no$` $$z$$ costs $5 and $10'
+  WHEN 10 THEN '::: warn' || chr(10) || l || chr(10) || ':::'
+  WHEN 11 THEN 'H~2~O 19^th^ ++in s++ ==mark== ~~strike~~ a ~ b'
+  ELSE l END"""
+
+
+def md_docs(name: str = "md_docs", template: str = MD_LINE) -> str:
+    body = template.replace("{i}", "(j - 1)")
+    return (
+        f"{name} AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), "
+        f"lambda l, j: {body}), chr(10)) AS text FROM documents)"
+    )

@@ -12,7 +12,7 @@ from textpace.sources.derived import conv_blocks, positions
 from textpace.plans.inputs_sql import CONV_BLOCKS, POSITIONS
 from textpace.sources.tables import table
 
-PAT = sql_text(W.WORD_PATTERN)
+PAT = sql_text(W.WORD_PATTERN.replace("*+", "*"))
 TOK = f"""
 tok AS (
   SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS word_idx

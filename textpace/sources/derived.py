@@ -63,3 +63,44 @@ def conv_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "code", F.lit("code")).otherwise(F.col("text")).alias("text"),
         F.when(kind == "code", F.col("text")).alias("payload"),
     )
+
+
+def rich_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of nine kinds with payloads, some of them blank, from conversations."""
+    c, t = F.col("conv_id"), F.col("turn")
+    n = (c * 7 + t) % 9
+    kind = (
+        F.when(n == 0, "heading").when(n == 1, "code").when(n == 2, "image").when(n == 3, "formula")
+        .when(n == 4, "table").when(n == 5, "list").when(n == 6, "quote").otherwise("paragraph")
+    )
+    word = t.cast("string")
+    payload = (
+        F.when(n == 1, F.col("text"))
+        .when(n == 2, F.when(c % 5 == 0, " ").otherwise(
+            F.concat(F.lit(" https://img.example.org/"), word, F.lit(".png "))))
+        .when(n == 3, F.when(c % 4 == 0, " \n").otherwise(F.concat(F.lit("x^"), word)))
+        .when(n == 4, F.concat(F.lit("<table><tr><td>"), word, F.lit("</td></tr></table>")))
+    )
+    text = (
+        F.when(n == 1, "code").when(n == 2, "image").when(n == 3, "formula").when(n == 4, "table")
+        .otherwise(F.col("text"))
+    )
+    return table(spark, sf_dir, "conversations").select(
+        c.alias("doc_id"), t.alias("block_idx"), kind.alias("type"),
+        F.when(n == 0, 1 + t % 4).cast("int").alias("level"),
+        text.alias("text"), payload.alias("payload"),
+        (1 + F.floor(t / 2)).alias("page"),
+    )
+
+
+def para_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+
+
+def md_docs(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
+    """Markdown documents: each line of a document gets the markup of its position."""
+    body = template.replace("{i}", "i")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.expr(f"array_join(transform(split(text, '\\n'), (l, i) -> {body}), '\\n')").alias("text"))
