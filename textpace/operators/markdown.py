@@ -227,7 +227,7 @@ def parse_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.max(F.when(F.col("cls") == "under1", 1).when(F.col("cls") == "under2", 2)).alias("under"),
         F.max(F.when(F.col("role") == "fence_open", F.col("t"))).alias("opening"),
     ).withColumn("rows", F.transform("parts", lambda p: p["s"]))
-    fam, first = F.col("family"), F.col("rows")[0]
+    fam, first = F.col("family"), F.get("rows", F.lit(0))
     joined = W.trim_space(F.array_join("rows", " "))
     raw = W.trim_space(F.array_join("rows", "\n"))
     hashes = F.length(F.regexp_extract(first, r"^(#+)", 1))

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from textpace.plans import markdown, reading, structure  # noqa: F401
+from textpace.plans import markdown, reading, structure, web  # noqa: F401
 from textpace.plans.registry import ORACLES, QUERIES  # noqa: F401

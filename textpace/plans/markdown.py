@@ -160,13 +160,7 @@ def m14(spark, sf):
     return table(spark, sf, "documents").select("doc_id", MF.strip_inline(text).alias("plain"))
 
 
-@query("m15_formulas", f"""
-WITH {EXT}, l AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM ext_docs)),
-h AS (SELECT doc_id, i, regexp_extract(line, 'x_([0-9]+)', 1) AS k FROM l WHERE line LIKE 'x[^n1]%'),
-o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n, k FROM h)
-SELECT doc_id, n * 3 AS formula_idx, 'x_' || k AS latex, FALSE AS display FROM o
-UNION ALL SELECT doc_id, n * 3 + 1, 'a+b', FALSE FROM o UNION ALL SELECT doc_id, n * 3 + 2, 'z', TRUE FROM o
-""")
+@query("m15_formulas")
 def m15(spark, sf):
     return M.formulas(_ext(spark, sf))
 
@@ -187,7 +181,15 @@ def m17(spark, sf):
     return M.definition_lists(_ext(spark, sf))
 
 
-@query("m18_typography")
+SYMBOLS = rules_sql("seg", [(r"(?i)\(c\)", "©"), (r"(?i)\(r\)", "®"), (r"(?i)\(tm\)", "™"), (r"\+-", "±"), (r"\.\.\.", "…")])
+
+
+@query("m18_typography", f"""
+WITH {EXT}, p AS (SELECT doc_id, string_split(regexp_replace(text, '`[^`]+`', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS s FROM ext_docs)
+SELECT doc_id, array_to_string(list_transform(s, lambda seg, j: CASE WHEN j % 2 = 0 THEN seg ELSE
+  array_to_string(list_transform(string_split({SYMBOLS}, chr(10)), lambda x: CASE WHEN contains(x, '-')
+    AND regexp_matches({TRIM.format(x='x')}, '^[\\s\\-:|]+$') THEN x ELSE replace(replace(x, '---', '—'), '--', '–') END), chr(10)) END), '') AS text FROM p
+""")
 def m18(spark, sf):
     return _ext(spark, sf).select("doc_id", MF.typography(F.col("text")).alias("text"))
 

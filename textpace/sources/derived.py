@@ -104,3 +104,66 @@ def md_docs(spark: SparkSession, sf_dir: str, template: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.expr(f"array_join(transform(split(text, '\\n'), (l, i) -> {body}), '\\n')").alias("text"))
+
+
+# Markup placed after the first heading of a page, so that every element kind occurs.
+RICH_MARKUP = (
+    "<blockquote><p>Quoted {t}</p><p>again</p></blockquote>"
+    "<pre class=\"x\"><code class=\"hljs language-Py\">a = 1\n  b &lt; 2</code></pre>"
+    "<ul><li>one {i}<li>two <ul><li>inner</li></ul></li></ul><ol><li>first</li><li><b>second</b> {t}</li></ol>"
+    "<figure><img src=\"/img/{i}.png\" alt=\" Fig {i} \"><figcaption>Caption <i>{i}</i></figcaption></figure>"
+    "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td><td>{i}</td></tr></table>"
+    "<img src=\"data:image/gif;base64,R0\" data-src=\"../lazy/{i}.jpg\"><img src=\"pix.png\" width=\"1\" height=\"1\">"
+    "<img src=\"anim.gif\"><img src=\"//cdn.example.org/p.jpg?x=1\"><img src=\"/img/{i}.png\">"
+    "<math alttext=\"x^{i}\"><mi>x</mi></math><div class=\"post\">only <b>inline</b> text</div>"
+    "<section>loose <b>bold</b> tail<p>para</p></section>"
+)
+RICH_HEAD = (
+    "<meta property=\"og:title\" content=\"OG {i}\"><meta name=\"author\" content=\"Ann &amp; Bo\">"
+    "<meta name=\"description\" content=\"{{tpl}}\"><meta property=\"og:description\" content=\"Desc {i}\">"
+    "<script type=\"application/ld+json\">{\"datePublished\": \"2024-01-0{d}\", \"publisher\": {\"name\": \"Pub\"}}</script>"
+)
+
+
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id").cast("string")
+    title = F.regexp_extract("html", "<h1>(.*?)</h1>", 1)
+
+    def fill(template: str):
+        out = F.replace(F.lit(template), F.lit("{i}"), i)
+        out = F.replace(out, F.lit("{d}"), (1 + F.col("page_id") % 9).cast("string"))
+        return F.replace(out, F.lit("{t}"), title)
+
+    body = F.replace("html", F.lit("</h1>"), F.concat(F.lit("</h1>"), fill(RICH_MARKUP)))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", "url",
+        F.when(F.col("page_id") % 2 == 0, F.replace(body, F.lit("<head>"), F.concat(F.lit("<head>"), fill(RICH_HEAD))))
+        .otherwise(body).alias("html"))
+
+
+# Address variants by page_id % 12; u is the page address.
+URL_CASE = """CASE page_id % 12
+  WHEN 0 THEN u WHEN 1 THEN '  ' || u || '  ' WHEN 2 THEN regexp_replace(u, '^https?://', '')
+  WHEN 3 THEN regexp_replace(u, '^https?', 'ftp') WHEN 4 THEN regexp_replace(u, '^https?', 'FILE')
+  WHEN 5 THEN 'http://10.0.0.' || (page_id % 256) || '/x' WHEN 6 THEN 'localhost/' || page_id
+  WHEN 7 THEN 'https://nodots' || page_id || '/' WHEN 8 THEN regexp_replace(u, 'example', 'exa..mple')
+  WHEN 9 THEN '   ' WHEN 10 THEN 'https:///path' || page_id ELSE u || '/a b' END"""
+
+# A fetch log made from pages.
+FETCH_LOG = """SELECT page_id, url AS requested_url,
+  CASE page_id % 6 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '/[a-z]+/.*', '/Login?x=1') WHEN 2 THEN url || '/more'
+    WHEN 3 THEN regexp_replace(url, '[?#].*', '') || '?next=/home' WHEN 4 THEN url || '/auth/start' ELSE url || '.PDF' END AS landed_url,
+  CASE page_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 202 WHEN 2 THEN 204 ELSE 200 END AS status,
+  CASE page_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'Application/XHTML+xml' WHEN 2 THEN 'image/png'
+    WHEN 3 THEN 'application/pdf' END AS content_type,
+  CASE WHEN page_id % 11 = 0 THEN 40 ELSE length(html) END AS n_bytes,
+  CASE WHEN page_id % 13 = 0 THEN '%PDF-1.7' ELSE substr(html, 1, 8) END AS head FROM pages"""
+
+
+def url_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("u")).selectExpr(
+        "page_id", f"{URL_CASE} AS url", "u AS page_url")
+
+
+def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(FETCH_LOG.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages"))
