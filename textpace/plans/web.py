@@ -113,7 +113,7 @@ def h10(spark, sf):
 
 
 @query("h11_page_metadata", f"""
-SELECT page_id, {_collapse("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
+SELECT page_id, {_collapse(_replace("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)", H.TEXT_ENTITIES))} AS title,
   regexp_extract(html, '<html lang="([^"]*)"', 1) AS language,
   regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www[.]', '') AS domain FROM pages
 """)

@@ -167,3 +167,84 @@ def url_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FETCH_LOG.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages"))
+
+
+def _safe(col: str):
+    return F.replace(F.replace(F.replace(col, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+# E-book markup by line position; {i} is the zero-based index and l the escaped line.
+FB2_LINE = """CASE {i} % 5
+  WHEN 0 THEN '<section><title><p>' || substr(l, 1, 20) || '</p></title>' WHEN 1 THEN '<epigraph><p>' || l || '</p></epigraph>'
+  WHEN 3 THEN '<poem><stanza><v>' || l || '</v></stanza></poem>' ELSE '<p>' || l || '</p>' END"""
+
+
+def fb2_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", _safe("text").alias("t"))
+    body = F.expr(f"array_join(transform(split(t, '\\n'), (l, i) -> {FB2_LINE.replace('{i}', 'i')}), '')")
+    who = F.col("doc_id").cast("string")
+    return docs.select("doc_id", F.concat(
+        F.lit("<FictionBook><description><title-info><author><first-name>First</first-name></author><author><first-name>F"),
+        who, F.lit("</first-name><last-name>"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("lang")),
+        F.lit("</last-name></author><book-title>Book &amp; "), who,
+        F.lit("</book-title></title-info></description><body>"), body,
+        F.expr("repeat('</section>', cast(ceil(size(split(t, '\\n')) / 5) as int))"),
+        F.lit("</body><binary id=\"x\">AAAA</binary></FictionBook>")).alias("xml"))
+
+
+def package_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """E-book packages: one per conversation, one file per turn, read in reverse turn order."""
+    c = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("pkg_id"), F.col("turn"), _safe("text").alias("t"))
+    n = F.col("turn").cast("string")
+    item, href = F.concat(F.lit("c"), n), F.concat(F.lit("te%20xt/./ch"), n, F.lit(".xhtml"))
+    content = F.concat(
+        F.lit("<html><head><title>x</title></head><body><h1 id=\"top\">Chapter "), n, F.lit("</h1><p>start here <a id=\"mid\"/>"),
+        F.col("t"), F.lit("</p><table id=\"tab\"><tr><td>1</td></tr></table><ul><li>item</li></ul><p id=\"end\">the end</p></body></html>"))
+    members = c.select("pkg_id", F.concat(F.lit("OEBPS/te xt/ch"), n, F.lit(".xhtml")).alias("path"), content.alias("content"))
+    manifest = c.select("pkg_id", item.alias("item_id"), F.lit("OEBPS").alias("folder"), href.alias("href"))
+    spine = c.select("pkg_id", (100 - F.col("turn")).alias("spine_idx"), item.alias("item_id"))
+    titles = c.where("turn = 0").select("pkg_id", F.concat(F.lit("Package "), F.col("pkg_id").cast("string")).alias("title"))
+    # A chapter at the top level and its marked places below it.
+    link = lambda a, text: F.concat(F.lit("<li><a href=\"te%20xt/ch"), n, F.lit(f".xhtml{a}\">{text} "), n, F.lit("</a>"))
+    li = F.concat(link("#top", "Part"), F.lit("<ol>"), link("#mid", "Mid"), F.lit("</li>"), link("#none", "Gone"), F.lit("</li></ol></li>"))
+    navs = c.groupBy("pkg_id").agg(F.sort_array(F.collect_list(F.struct("turn", li.alias("li")))).alias("x")).select(
+        "pkg_id", F.concat(F.lit("<html><body><nav epub:type=\"toc\"><ol>"), F.array_join(F.transform("x", lambda r: r["li"]), ""),
+                           F.lit("</ol></nav><nav><ol><li><a href=\"z\">z</a></li></ol></nav></body></html>")).alias("content")
+    ).where("pkg_id % 3 = 0")
+    point = F.concat(F.lit("<navPoint><navLabel><text>Part "), n, F.lit("</text></navLabel><content src=\"te%20xt/ch"), n,
+                     F.lit(".xhtml\"/><navPoint><navLabel><text>End</text></navLabel><content src=\"te%20xt/ch"), n,
+                     F.lit(".xhtml#end\"/></navPoint></navPoint>"))
+    ncxs = c.groupBy("pkg_id").agg(F.sort_array(F.collect_list(F.struct("turn", point.alias("p")))).alias("x")).select(
+        "pkg_id", F.concat(F.lit("<ncx><navMap>"), F.array_join(F.transform("x", lambda r: r["p"]), ""),
+                           F.lit("</navMap></ncx>")).alias("content")).where("pkg_id % 3 = 1")
+    return {"members": members, "manifest": manifest, "spine": spine, "titles": titles, "navs": navs, "ncxs": ncxs}
+
+
+def office_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Word-processor rows: one paragraph per document line."""
+    lines = table(spark, sf_dir, "documents").select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("para_idx", "line"))
+    i = F.col("para_idx")
+    style = (
+        F.when(i % 9 == 0, "Heading2").when(i % 9 == 1, "S1").when(i % 9 == 2, "IntenseQuote").when(i % 9 == 3, "ListBullet")
+        .when(i % 9 == 4, "Subtitle").when(i % 9 == 5, "S2").otherwise("Normal"))
+    paras = lines.select("doc_id", "para_idx", style.alias("style_id"), F.when(i % 13 == 8, i % 3).cast("int").alias("num_level"))
+    styles = lines.select("doc_id").distinct().select("doc_id", F.inline(F.array(
+        F.struct(F.lit("S1").alias("style_id"), F.lit("Заголовок 3").alias("style_name")),
+        F.struct(F.lit("S2").alias("style_id"), F.lit("Block Text").alias("style_name")))))
+    mono = F.when((i % 9).isin(6, 7), F.array(F.lit("Courier New"), F.lit("Consolas"))).otherwise(F.array(F.lit("Arial")))
+    half = F.floor(F.length("line") / 2).cast("int")
+    runs = lines.select("doc_id", "para_idx", F.posexplode(F.array(
+        F.substring("line", F.lit(1), half), F.substring(F.col("line"), half + 1, F.length("line")), F.lit("  "))).alias("run_idx", "text"),
+        mono.alias("fonts"))
+    notes = lines.where(i % 4 < 2).select("doc_id", i.cast("string").alias("note_id"), F.col("line").alias("text"))
+    refs = lines.where(i % 3 == 0).select("doc_id", i.cast("string").alias("note_id"))
+    uses = lines.where(i % 5 == 0).select("doc_id", "para_idx", F.concat(F.lit("rId"), i.cast("string")).alias("rel_id"))
+    rels = lines.select("doc_id", F.concat(F.lit("rId"), i.cast("string")).alias("rel_id"),
+                        F.concat(F.lit("./media/image"), i.cast("string"), F.lit(".png")).alias("target"))
+    media = lines.where(i % 2 == 0).select("doc_id", F.concat(F.lit("media/image"), i.cast("string"), F.lit(".png")).alias("path"))
+    cells = lines.select("doc_id", F.floor(i / 4).alias("table_idx"), (i % 4).alias("row_idx"),
+                         F.posexplode(F.split(F.substring("line", 1, 40), " ")).alias("cell_idx", "text"))
+    return {"paras": paras, "styles": styles, "runs": runs, "notes": notes, "refs": refs, "uses": uses,
+            "rels": rels, "media": media, "cells": cells}
