@@ -88,7 +88,7 @@ def _with_tables(lines: DataFrame, key: str) -> DataFrame:
                 F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(-1)) < h["line_idx"],
                 F.concat(s, F.array(F.struct(
                     h["line_idx"].alias("at"),
-                    F.greatest(h["_end"], h["line_idx"] + 1).alias("end")).cast("struct<at:int,end:int>"))),
+                    F.greatest(h["_end"], h["line_idx"] + 1).alias("end")))),
             ).otherwise(s),
         ).alias("tables"),
     ).select(key, F.inline("tables").alias("line_idx", "table_end"))
@@ -134,7 +134,7 @@ def _delimiter_roles(lines: Column) -> Column:
             F.when(role.isNull(), s["roles"]).otherwise(
                 F.concat(s["roles"], F.array(F.struct(m["idx"].alias("idx"), role.alias("role"))))
             ).alias("roles"),
-        ).cast(state)
+        )
 
     return F.aggregate(
         marks, F.expr(f"cast(named_struct('mode', 0, 'roles', array()) as {state})"), step,
@@ -389,7 +389,7 @@ def definition_lists(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             F.when(starts | more | cont, F.concat(s["rows"], F.array(
                 F.struct(term.alias("term"), d.alias("def"), i.alias("line")))))
             .otherwise(s["rows"]).alias("rows"),
-        ).cast(state)
+        )
 
     zero = F.expr(
         f"cast(named_struct('mode', 0, 'fence', false, 'cand', -1, 'term', -1, 'def', -1, 'rows', array()) as {state})")

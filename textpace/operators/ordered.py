@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from textpace.session import guard
+
 # Rows of one group that a single window may hold when ordinals are dense.
 SPAN = 4096
 
@@ -21,6 +23,7 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
     The explode keeps the partitioning, so later windows on the same key need no
     further shuffle: one text row moves instead of thousands of token rows.
     """
+    guard(df.sparkSession)
     return df.repartition(*keys)
 
 

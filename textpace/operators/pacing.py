@@ -72,7 +72,7 @@ def pause_plan(docs: DataFrame, wpm: int = P.DEFAULT_WPM, size: int = 1, pause:
                 (q + 1).alias("start"),
                 F.concat(s["runs"], F.array(F.struct(s["start"].alias("start"), q.alias("stop"))))
                 .alias("runs"),
-            ).cast(state),
+            ),
         ).otherwise(s),
         lambda s: F.concat(
             s["runs"],

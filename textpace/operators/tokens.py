@@ -130,7 +130,7 @@ def locate_paragraphs(positions: DataFrame, docs: DataFrame, key: str = "doc_id"
                     (F.col("word_idx") >= s["seen"]) & (F.col("word_idx") < s["seen"] + n),
                     s["seen"],
                 ).otherwise(s["first"]).alias("first"),
-            ).cast(state),
+            ),
             lambda s: s["first"],
         ).alias("paragraph_first"),
     )

@@ -89,3 +89,30 @@ def md_docs(name: str = "md_docs", template: str = MD_LINE) -> str:
         f"{name} AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), "
         f"lambda l, j: {body}), chr(10)) AS text FROM documents)"
     )
+LAYOUT = """
+dl AS (SELECT doc_id, unnest(s) AS text, unnest(range(len(s))) AS i, len(s) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+lb AS (SELECT doc_id, (1 + i // 20)::INT AS page, (i % 20)::INT AS line_idx, text,
+  CASE WHEN doc_id % 2 = 0 AND i % 20 >= 10 THEN 320.0 ELSE 60.0 END::DOUBLE AS x_min,
+  CASE WHEN doc_id % 2 = 0 AND i % 20 < 10 THEN 280.0 ELSE 540.0 END::DOUBLE AS x_max,
+  CASE WHEN doc_id % 2 = 0 THEN i % 20 % 10 ELSE i % 20 END AS jj,
+  CASE WHEN i % 15 = 0 THEN 18.0 ELSE 11.0 END::DOUBLE AS font_size, i % 9 = 0 AS bold FROM dl),
+pg AS (SELECT DISTINCT doc_id, page FROM lb),
+layout AS (SELECT *, y_center - 6 AS y_min, y_center + 6 AS y_max FROM (
+  SELECT doc_id, page, line_idx, text, x_min, x_max, (760 - jj * 18 - jj // 5 * 14)::DOUBLE AS y_center, font_size, bold FROM lb
+  UNION ALL SELECT doc_id, page, -1, 'Running Header ' || doc_id, 60, 300, 830, 11, FALSE FROM pg
+  UNION ALL SELECT doc_id, page, 100, '1) see note ' || page, 60, 300, 60, 11, FALSE FROM pg
+  UNION ALL SELECT doc_id, page, 101, '- ' || page || ' -', 290, 310, 20, 11, FALSE FROM pg)),
+ol AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y_center DESC, line_idx) - 1 AS ord FROM layout
+  WHERE regexp_matches(text, '[^\\s\\p{Z}]')),
+gp AS (SELECT *, lag(y_center) OVER w - y_center AS gap, greatest(0, x_min - lag(x_max) OVER w, lag(x_min) OVER w - x_max) AS xgap
+  FROM ol WINDOW w AS (PARTITION BY doc_id, page ORDER BY ord)),
+md AS (SELECT doc_id, page, list_sort(list(gap) FILTER (WHERE gap > 0 AND gap < 200)) AS g FROM gp GROUP BY ALL),
+br AS (SELECT gp.*, ord > 0 AND (gap > coalesce(g[len(g) // 2 + 1], 12) * 1.6::DOUBLE OR xgap > 59.5) AS b FROM gp JOIN md USING (doc_id, page)),
+cl AS (SELECT *, sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY ord)::INT AS para_idx FROM br),
+paras AS (SELECT doc_id, page, para_idx,
+  replace(replace(string_agg(regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'), chr(1) ORDER BY ord), '-' || chr(1), ''), chr(1), ' ') AS text,
+  min(x_min) AS x_min, max(x_max) AS x_max, min(y_min) AS y, max(y_max) AS y_max, max(font_size) AS font_size,
+  floor(sum(CASE WHEN bold THEN len(text) ELSE 0 END) * 100 / sum(len(text)))::INT AS bold_percent,
+  min(y_min) / 842::DOUBLE > 0.9 AS is_at_top, min(y_min) / 842::DOUBLE < 0.1 AS is_at_bottom
+  FROM cl GROUP BY doc_id, page, para_idx)
+"""

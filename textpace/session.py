@@ -25,6 +25,15 @@ def build_session(app: str = "textpace", cpus: int | None = None) -> SparkSessio
     )
 
 
+def guard(spark: SparkSession) -> None:
+    """Turn off partitioning-aware unions.
+
+    Spark 4.1 can plan a union of equally hash-partitioned inputs as co-partitioned yet run it as a
+    plain union; aggregates above it then see each key twice and joins double rows.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A folder for written tables: under spark.checkpoint.dir where the cluster names one.
 

@@ -248,3 +248,62 @@ def office_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                          F.posexplode(F.split(F.substring("line", 1, 40), " ")).alias("cell_idx", "text"))
     return {"paras": paras, "styles": styles, "runs": runs, "notes": notes, "refs": refs, "uses": uses,
             "rels": rels, "media": media, "cells": cells}
+
+
+def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positioned lines: twenty document lines a page, two columns on even documents, and a
+    running header, a page number and a footnote line on every page."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("s"))
+    i = F.col("i")
+    two = F.col("doc_id") % 2 == 0
+    j = i % 20
+    jj = F.when(two, j % 10).otherwise(j)
+    left = F.when(two & (j >= 10), 320.0).otherwise(60.0)
+    y = 760.0 - jj * 18 - F.floor(jj / 5) * 14
+    body = docs.select("doc_id", F.posexplode("s").alias("i", "text")).select(
+        "doc_id", (1 + F.floor(i / 20)).cast("int").alias("page"), j.cast("int").alias("line_idx"), "text",
+        left.alias("x_min"), F.when(two & (j < 10), 280.0).otherwise(540.0).alias("x_max"), y.alias("y_center"),
+        F.when(i % 15 == 0, 18.0).otherwise(11.0).alias("font_size"), (i % 9 == 0).alias("bold"))
+    pages = docs.select("doc_id", F.explode(F.sequence(F.lit(1), (1 + F.floor((F.size("s") - 1) / 20)).cast("int"))).alias("page"))
+    extra = pages.select("doc_id", "page", F.inline(F.array(
+        F.struct(F.lit(-1).alias("line_idx"), F.concat(F.lit("Running Header "), F.col("doc_id").cast("string")).alias("text"),
+                 F.lit(60.0).alias("x_min"), F.lit(300.0).alias("x_max"), F.lit(830.0).alias("y_center")),
+        F.struct(F.lit(100).alias("line_idx"), F.concat(F.lit("1) see note "), F.col("page").cast("string")).alias("text"),
+                 F.lit(60.0).alias("x_min"), F.lit(300.0).alias("x_max"), F.lit(60.0).alias("y_center")),
+        F.struct(F.lit(101).alias("line_idx"), F.concat(F.lit("- "), F.col("page").cast("string"), F.lit(" -")).alias("text"),
+                 F.lit(290.0).alias("x_min"), F.lit(310.0).alias("x_max"), F.lit(20.0).alias("y_center")))),
+    ).withColumns({"font_size": F.lit(11.0), "bold": F.lit(False)})
+    return body.unionByName(extra).withColumns({
+        "y_min": F.col("y_center") - 6, "y_max": F.col("y_center") + 6,
+        "page_width": F.lit(595.0), "page_height": F.lit(842.0)})
+
+
+def layout_chars(lines: DataFrame) -> DataFrame:
+    """Characters of layout lines, six points wide; each 17th is a stray glyph far to the left, and
+    every tenth is followed by a cell-wide gap."""
+    return lines.select(
+        "doc_id", "page", "line_idx", "x_min", "y_min", "y_max", "page_width",
+        F.posexplode(F.split("text", "")).alias("char_idx", "ch"),
+    ).where("ch <> ''").select(
+        "doc_id", "page", "line_idx", "char_idx", "page_width", "y_min", "y_max",
+        F.when(F.col("char_idx") % 40 == 39, -300.0).otherwise(
+            F.col("x_min") + F.col("char_idx") * 6 + F.floor(F.col("char_idx") / 10) * 30).alias("x_min"), "ch",
+    ).withColumn("x_max", F.col("x_min") + 5)
+
+
+def page_words(lines: DataFrame) -> DataFrame:
+    """Word boxes of layout lines, forty points apart."""
+    return lines.select(
+        "doc_id", "page", "line_idx", "x_min", "y_min",
+        F.posexplode(F.split("text", " ")).alias("k", "word")).where("word <> ''").select(
+        "doc_id", "page", (F.col("line_idx") * 100000 + F.col("k")).cast("int").alias("word_idx"), "word",
+        (F.col("x_min") + F.col("k") * 40).alias("x"), F.col("y_min").alias("y"), F.lit(35.0).alias("w"), F.lit(12.0).alias("h"))
+
+
+def ocr_observations(lines: DataFrame) -> DataFrame:
+    """Recognised lines of the pages in boxes from 0 to 1 with the origin at the bottom left."""
+    return lines.select(
+        "doc_id", "page", F.col("line_idx").alias("obs_idx"), "text",
+        (0.3 + (F.col("line_idx") + 1) % 8 * 0.1).alias("confidence"),
+        (F.col("x_min") / 595).alias("x"), (F.col("y_min") / 842).alias("y"),
+        ((F.col("x_max") - F.col("x_min")) / 595).alias("w"), F.lit(12.0 / 842).alias("h"), "page_width", "page_height")

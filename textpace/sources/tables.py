@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textpace.session import guard
+
 # Row keys of the tables whose rows are expensive to process.
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
@@ -15,6 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     so its (compact) rows are spread by key first. Large tables have many files and are
     scanned as they lie.
     """
+    guard(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if name in TEXT_KEYS and len(df.inputFiles()) < cores:
