@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from textpace.functions import words as W
 from textpace.operators.blocks import word_offsets
-from textpace.operators.ordered import following, running, span_bucket
+from textpace.operators.ordered import running, span_bucket
 
 # --- fixed values ---
 COLUMN_GAP = 0.10
@@ -38,12 +38,37 @@ def _page_window():
 def line_geometry(chars: DataFrame) -> DataFrame:
     """Lines from positioned characters: stray glyphs dropped, upper-median height, extents.
 
-    A glyph far left of the running right edge is dropped and does not move the edge, so the edge
-    is folded over the characters of one line.
+    A glyph far left of the running right edge of the kept glyphs is dropped. A dropped glyph
+    narrower than the limit ends left of that edge, so there the edge is a plain running maximum.
+    Lines with a wider glyph (a rarity) are folded glyph by glyph.
     """
+    line = [*PAGE, "line_idx"]
+    limit = F.col("page_width") * 0.30
+    w = Window.partitionBy(*line)
+    before = w.orderBy("char_idx").rowsBetween(Window.unboundedPreceding, -1)
+    measured = chars.select(
+        *line, "char_idx", "page_width", "x_min", "x_max", "y_min", "y_max",
+        F.max(F.col("x_max") - F.col("x_min")).over(w).alias("_widest"),
+        F.coalesce(F.max("x_max").over(before), -F.col("page_width")).alias("_edge"))
+    plain = measured.where(F.col("_widest") < limit)
+    keep = F.col("_edge") - F.col("x_min") < limit
+    mids = F.sort_array(F.collect_list(F.when(keep, (F.col("y_min") + F.col("y_max")) / 2)))
+    usual = plain.groupBy(*line).agg(
+        F.first("page_width").alias("page_width"), F.count_if(~keep).alias("n_dropped"), mids.alias("mids"),
+        F.min(F.when(keep, F.col("x_min"))).alias("x0"), F.max(F.when(keep, F.col("x_max"))).alias("x1"),
+        F.min(F.when(keep, F.col("y_min"))).alias("y0"), F.max(F.when(keep, F.col("y_max"))).alias("y1"))
+    got = usual.unionByName(_fold_wide_lines(measured.where(F.col("_widest") >= limit), line))
+    return got.select(
+        *line, "page_width", "n_dropped",
+        F.coalesce(F.get("mids", F.floor(F.size("mids") / 2).cast("int")), F.lit(-1.0)).alias("y_center"),
+        *[F.coalesce(F.col(a), F.lit(0.0)).alias(b)
+          for a, b in (("x0", "x_min"), ("x1", "x_max"), ("y0", "y_min"), ("y1", "y_max"))])
+
+
+def _fold_wide_lines(chars: DataFrame, line: list[str]) -> DataFrame:
     cell = F.struct(F.col("char_idx").alias("i"), F.col("x_min").alias("x0"), F.col("x_max").alias("x1"),
                     F.col("y_min").alias("y0"), F.col("y_max").alias("y1"))
-    lines = chars.groupBy(*PAGE, "line_idx").agg(
+    lines = chars.groupBy(*line).agg(
         F.sort_array(F.collect_list(cell)).alias("cells"), F.first("page_width").alias("page_width"))
     zero = F.expr(
         "named_struct('edge', cast(-page_width as double), 'x0', cast(null as double), 'x1', cast(null as double), "
@@ -58,15 +83,9 @@ def line_geometry(chars: DataFrame) -> DataFrame:
             F.concat(s["mids"], F.array((c["y0"] + c["y1"]) / 2)).alias("mids"))
         return F.when(s["edge"] - c["x0"] < F.col("page_width") * 0.30, grown).otherwise(s)
 
-    got = lines.select(*PAGE, "line_idx", "page_width", F.size("cells").alias("n_chars"),
-                       F.aggregate("cells", zero, step).alias("k"))
-    n = F.size("k.mids")
-    upper = F.get(F.sort_array("k.mids"), F.floor(n / 2).cast("int"))
-    return got.select(
-        *PAGE, "line_idx", "page_width", (F.col("n_chars") - n).alias("n_dropped"),
-        F.coalesce(upper, F.lit(-1.0)).alias("y_center"),
-        *[F.coalesce(F.col(f"k.{a}"), F.lit(0.0)).alias(b)
-          for a, b in (("x0", "x_min"), ("x1", "x_max"), ("y0", "y_min"), ("y1", "y_max"))])
+    return lines.select(*line, "page_width", F.size("cells").alias("n"), F.aggregate("cells", zero, step).alias("k")).select(
+        *line, "page_width", (F.col("n") - F.size("k.mids")).cast("long").alias("n_dropped"),
+        F.sort_array("k.mids").alias("mids"), "k.x0", "k.x1", "k.y0", "k.y1")
 
 
 def order_lines(lines: DataFrame) -> DataFrame:
@@ -183,11 +202,13 @@ def remove_noise(blocks: DataFrame) -> DataFrame:
     edge = F.col("is_at_top") | F.col("is_at_bottom")
     numbered = blocks.where(~(edge & is_page_number(F.col("text")))).withColumn(
         "_norm", F.lower(W.trim_space(F.col("text"))))
-    pages = blocks.groupBy("doc_id").agg(F.max("page").alias("_pages"))
+    # One small count table serves both the page numbers and the repeats.
+    shown = F.when(edge & (F.length("text") < 200), F.lower(W.trim_space(F.col("text"))))
+    counts = blocks.groupBy("doc_id", shown.alias("_norm")).agg(
+        F.count("*").alias("_n"), F.max("page").alias("_top"))
+    pages = counts.groupBy("doc_id").agg(F.max("_top").alias("_pages"))
     repeated = (
-        blocks.where(edge & (F.length("text") < 200))
-        .groupBy("doc_id", F.lower(W.trim_space(F.col("text"))).alias("_norm")).agg(F.count("*").alias("_n"))
-        .join(pages, "doc_id")
+        counts.where(F.col("_norm").isNotNull()).join(pages, "doc_id")
         .where((F.col("_pages") > 1) & (F.col("_n") >= F.greatest(F.lit(2), F.floor(F.col("_pages") / 2))))
         .select("doc_id", "_norm", F.lit(True).alias("_rep")))
     marked = numbered.join(repeated, ["doc_id", "_norm"], "left").join(pages, "doc_id")
@@ -254,35 +275,52 @@ def table_paragraphs(chars: DataFrame) -> DataFrame:
 # --- across pages ------------------------------------------------------------------------------
 
 def merge_across_pages(blocks: DataFrame) -> DataFrame:
-    """Paragraphs split by a page break joined again.
+    """Paragraphs split by a page break joined again: doc_id, page, order_idx of the first part.
 
     A block is absorbed when it continues the one before (both paragraphs, no final punctuation, lower
-    case start) and lies one page after the page where the growing block began. Going on within that
-    page keeps the state and a further page turns it over, so the state is the parity of page steps
-    since the last break: two scans, no walk over the document.
+    case start) and lies one page after the page where the growing block began. So the blocks absorbed
+    on a page are its first ones and belong to the last block of the page before, unless that block was
+    absorbed itself. Whether it was depends on the pages before only through the run of pages on which
+    every block continues: the parity of that run. Pages, not blocks, are scanned.
     """
-    order = ["page", "order_idx"]
-    numbered = running(blocks, ["doc_id"], order, span_bucket("page", 64), sums={"pos": F.lit(1)})
-    prev = running(numbered, ["doc_id"], ["pos"], span_bucket("pos"),
-                   lasts={"p": F.struct("page", "type", F.right("text", F.lit(1)).alias("end"))})
-    step = F.col("page") - F.col("p.page")
-    link = (
-        (F.col("type") == "paragraph") & (F.col("p.type") == "paragraph") & step.isin(0, 1)
-        & ~F.col("p.end").isin(".", "!", "?", ":", ";") & F.col("text").rlike(r"^\p{Ll}"))
-    linked = prev.withColumn("link", F.coalesce(link, F.lit(False))).withColumn(
-        "turn", (F.col("link") & (step == 1)).cast("int"))
-    turns = running(linked, ["doc_id"], ["pos"], span_bucket("pos"), sums={"turns": F.col("turn")}, inclusive=True)
-    base = running(turns, ["doc_id"], ["pos"], span_bucket("pos"),
-                   lasts={"reset": F.when(~F.col("link"), F.col("turns"))}, inclusive=True)
-    absorbed = F.col("link") & ((F.col("turns") - F.coalesce("reset", F.lit(0))) % 2 == 1)
-    heads = running(base.withColumn("absorbed", absorbed), ["doc_id"], ["pos"], span_bucket("pos"),
-                    sums={"unit": F.when(F.col("absorbed"), 0).otherwise(1)}, inclusive=True)
-    # A unit covers at most two pages, so its rows are few.
-    return heads.groupBy("doc_id", (F.col("unit") - 1).alias("block_idx")).agg(
-        F.min("page").alias("page"), F.min_by("type", "pos").alias("type"),
-        F.min_by("level", "pos").alias("level") if "level" in blocks.columns else F.lit(None).cast("int").alias("level"),
-        dehyphenate_blocks(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"])).alias("text"),
-        F.count("*").alias("n_parts"))
+    w = _page_window().orderBy("order_idx")
+    head = F.struct(F.col("type"), F.col("text").rlike(r"^\p{Ll}").alias("lower"))
+    tail = F.struct("order_idx", "type", F.right("text", F.lit(1)).alias("end"))
+
+    def continues(prev: Column, kind: Column, lower: Column) -> Column:
+        return F.coalesce((kind == "paragraph") & (prev["type"] == "paragraph")
+                          & ~prev["end"].isin(".", "!", "?", ":", ";") & lower, F.lit(False))
+
+    inner = blocks.select("*", F.row_number().over(w).alias("_rn"), F.lag(tail).over(w).alias("_p")).withColumn(
+        "_link", (F.col("_rn") == 1) | continues(F.col("_p"), F.col("type"), F.col("text").rlike(r"^\p{Ll}")))
+    pages = inner.groupBy(*PAGE).agg(
+        F.min_by(head, "order_idx").alias("head"), F.max_by(F.struct("page", tail.alias("t")), "order_idx").alias("last"),
+        F.min("_link").alias("all_link"))
+    bucket = span_bucket("page")
+    prior = running(pages, ["doc_id"], ["page"], bucket, lasts={"before": F.col("last")})
+    first_link = F.coalesce(
+        (F.col("before.page") == F.col("page") - 1)
+        & continues(F.col("before.t"), F.col("head.type"), F.col("head.lower")), F.lit(False))
+    linked = prior.select(*PAGE, first_link.alias("first_link"), (first_link & F.col("all_link")).alias("turns"),
+                          F.col("before.t.order_idx").alias("into"))
+    still = running(linked, ["doc_id"], ["page"], bucket, lasts={"z": F.when(~F.col("turns"), F.col("page"))})
+    # An odd run of turning pages before this one means its predecessor was absorbed.
+    takes = F.col("first_link") & ((F.col("page") - 1 - F.coalesce("z", F.col("page") - 1)) % 2 == 0)
+    state = still.select(*PAGE, takes.alias("takes"), "into")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    absorbed = F.col("takes") & F.min("_link").over(upto)
+    marked = inner.join(state, PAGE).withColumn("_abs", absorbed)
+    unit_page = F.when(F.col("_abs"), F.col("page") - 1).otherwise(F.col("page"))
+    unit_order = F.when(F.col("_abs"), F.col("into")).otherwise(F.col("order_idx"))
+    keyed = marked.select("*", unit_page.alias("_up"), unit_order.alias("_uo"))
+    at = F.struct("page", "order_idx")
+    # A unit is one block and the first blocks of the next page, so its rows are few.
+    return keyed.groupBy("doc_id", "_up", "_uo").agg(
+        F.min_by("type", at).alias("type"),
+        dehyphenate_blocks(F.transform(
+            F.sort_array(F.collect_list(F.struct("page", "order_idx", "text"))), lambda r: r["text"])).alias("text"),
+        F.count("*").alias("n_parts"),
+    ).select("doc_id", F.col("_up").alias("page"), F.col("_uo").alias("order_idx"), "type", "text", "n_parts")
 
 
 def dehyphenate_blocks(parts: Column) -> Column:

@@ -257,7 +257,7 @@ def parse_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     language = F.lower(W.trim_space(F.substring(F.col("opening"), F.lit(4), F.length("opening"))))
     built = units.select(
-        key, "line_idx",
+        key, "line_idx", "family",
         F.when((fam == "paragraph") & F.col("under").isNotNull(), "heading")
         .when(fam == "math", "formula").otherwise(fam).alias("type"),
         F.when(fam == "heading", hashes).when(fam == "paragraph", F.col("under")).alias("level"),
@@ -270,11 +270,11 @@ def parse_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         .when(fam == "formula", W.trim_space(one_line)).when(fam == "table", html).alias("payload"),
         F.when(fam == "table", width).alias("columns"),
     )
-    solid = F.when(F.col("type").isin("code", "formula"), F.col("payload") != "").when(
-        F.col("type") == "heading", F.lit(True)).otherwise(F.col("text") != "")
-    # An underline with no paragraph before it is a rule.
-    empty_under = (F.col("type") == "heading") & (F.col("text") == "") & F.col("level").isNull()
-    kept = built.where(solid & ~empty_under)
+    # A written heading may be empty; an underline with no paragraph before it is a rule.
+    solid = (
+        F.when(F.col("type").isin("code", "formula"), F.col("payload") != "")
+        .when(F.col("family") == "heading", F.lit(True)).otherwise(F.col("text") != ""))
+    kept = built.where(solid).drop("family")
     order = Window.partitionBy(key).orderBy("line_idx")
     return kept.select(key, (F.row_number().over(order) - 1).alias("block_idx"), *kept.columns[1:])
 

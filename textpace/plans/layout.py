@@ -8,6 +8,7 @@ from textpace.functions import words as W
 from textpace.operators import layout as L
 from textpace.plans.inputs_sql import LAYOUT
 from textpace.plans.registry import query, sql_text
+from textpace.session import materialize
 from textpace.sources.derived import layout_chars, layout_lines, ocr_observations, page_words
 from textpace.sources.tables import table
 
@@ -29,7 +30,15 @@ def _clean(spark, sf):
     return L.remove_noise(typed)
 
 
-@query("l1_line_geometry")
+@query("l1_line_geometry", f"""
+WITH {LAYOUT}, ch AS (SELECT doc_id, page, line_idx, y_center, y_min, y_max, k, CASE WHEN k % 40 = 39 THEN -300 ELSE x_min + k * 6 + k // 10 * 30 END AS x0
+  FROM (SELECT *, unnest(range(len(text))) AS k FROM layout)),
+e AS (SELECT *, coalesce(max(x0 + 5) OVER (PARTITION BY doc_id, page, line_idx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -595) - x0 < 178.5 AS keep FROM ch)
+SELECT doc_id, page, line_idx, 595::DOUBLE AS page_width, count(*) FILTER (WHERE NOT keep) AS n_dropped, coalesce(max(CASE WHEN keep THEN y_center END), -1) AS y_center,
+  coalesce(min(CASE WHEN keep THEN x0 END), 0)::DOUBLE AS x_min, coalesce(max(CASE WHEN keep THEN x0 + 5 END), 0)::DOUBLE AS x_max,
+  coalesce(min(CASE WHEN keep THEN y_min END), 0) AS y_min, coalesce(max(CASE WHEN keep THEN y_max END), 0) AS y_max
+FROM e GROUP BY doc_id, page, line_idx
+""")
 def l1(spark, sf):
     return L.line_geometry(layout_chars(layout_lines(spark, sf)))
 
@@ -104,7 +113,7 @@ def l12(spark, sf):
 
 @query("l13_cross_page_merge")
 def l13(spark, sf):
-    return L.merge_across_pages(_clean(spark, sf))
+    return L.merge_across_pages(materialize(_clean(spark, sf), "clean-blocks"))
 
 
 BODY = """bf AS (SELECT doc_id, page, arg_max(font_size, n * 1000 - font_size) AS body_size FROM (SELECT doc_id, page, font_size, count(*) AS n FROM layout GROUP BY ALL) GROUP BY doc_id, page)"""

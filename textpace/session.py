@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "textpace", cpus: int | None = None) -> SparkSession:
@@ -43,3 +43,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if base:
         return f"{base.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
     return tempfile.mkdtemp(prefix=f"textpace-{purpose}-")
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a stage that several later scans read, so that none recomputes it."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
