@@ -63,7 +63,12 @@ def html_word_count(html: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    return replace_all(text, TEXT_ENTITIES)
+    """Named entities decoded in one pass; unknown ones stay as they are."""
+    names = "|".join(e[1:-1] for e, _ in TEXT_ENTITIES)
+    table = F.create_map(*[F.lit(x) for e, c in TEXT_ENTITIES for x in (e[1:-1], c)])
+    parts = F.split(F.regexp_replace(text, f"&({names});", "\u0001$1\u0001"), "\u0001")
+    return F.array_join(
+        F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.try_element_at(table, p)).otherwise(p)), "")
 
 
 def attr(tag: Column, name: str) -> Column:

@@ -7,6 +7,8 @@ uses grouped counts and span-wise scans.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -501,13 +503,15 @@ def align_words(words: DataFrame, boxes: DataFrame, lookahead: int = 8) -> DataF
 
 def _follow(words: list, boxes: list) -> list:
     """Box of each word of one page (None where none fits), for locate_words."""
-    text = [b["t"] for b in boxes]
+    page = "\n".join(b["t"] for b in boxes)
+    starts = np.cumsum([0] + [len(b["t"]) + 1 for b in boxes])
     geo = np.array([(b["mx"], b["my"], b["h"]) for b in boxes], dtype=float).reshape(-1, 3)
     free, recent, out = np.ones(len(boxes), dtype=bool), [], []
     spots: dict[str, np.ndarray] = {}
     for w in words:
         if w not in spots:
-            spots[w] = np.array([i for i, t in enumerate(text) if w and w in t], dtype=int)
+            at = [m.start() for m in re.finditer(re.escape(w), page)] if w else []
+            spots[w] = np.unique(np.searchsorted(starts, np.array(at, dtype=int), side="right") - 1)
         c = spots[w][free[spots[w]]]
         if not len(c):
             out.append(None)

@@ -221,7 +221,16 @@ def m21(spark, sf):
     return _ext(spark, sf).select("doc_id", MF.emoji(F.col("text")).alias("text"))
 
 
-@query("m22_footnotes")
+@query("m22_footnotes", f"""
+WITH {EXT}, l AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM ext_docs)),
+d AS (SELECT doc_id, regexp_extract(line, '^[[][^]([^]]+)[]]:', 1) AS label, arg_min(regexp_extract(line, '^[[][^][^]]+[]]:[ \t]*(.*)$', 1), i) AS content
+  FROM l WHERE regexp_matches(line, '^[[][^][^]]+[]]:') GROUP BY ALL),
+x AS (SELECT doc_id, i, regexp_extract_all(regexp_replace(line, '`[^`]+`', '', 'g'), '[[][^]([^]]+)[]]', 1) AS r FROM l WHERE NOT regexp_matches(line, '^[[][^][^]]+[]]:')),
+u AS (SELECT doc_id, i, unnest(r) AS label, unnest(range(len(r))) AS k FROM x),
+v AS (SELECT u.*, content, row_number() OVER (PARTITION BY u.doc_id ORDER BY i, k) - 1 AS ref_idx FROM u JOIN d USING (doc_id, label)),
+f AS (SELECT *, min(ref_idx) OVER (PARTITION BY doc_id, label) AS first FROM v)
+SELECT doc_id, ref_idx, label, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) AS number, content FROM f
+""".replace("[[][^]", "[[]\\^").replace("[^]]", "[^]]"))
 def m22(spark, sf):
     return M.footnotes(_ext(spark, sf))
 

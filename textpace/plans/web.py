@@ -84,22 +84,30 @@ def h4r(spark, sf):
     return K.blocks(_body_pages(rich_pages(spark, sf)))
 
 
-@query("h5_list_items")
-def h5(spark, sf):
-    return K.blocks(_body_pages(rich_pages(spark, sf))).where("type = 'list'").select("page_id", "block_idx", "text")
+H1_TEXT = _collapse(_replace("regexp_extract(html, '<h1>(.*?)</h1>', 1)", H.TEXT_ENTITIES))
 
 
 def _parts(kind, *cols):
     def run(spark, sf):
-        return K.blocks(_body_pages(rich_pages(spark, sf))).where(F.col("type") == kind).select(
-            "page_id", "block_idx", *cols)
+        return K.blocks(_body_pages(rich_pages(spark, sf))).where(F.col("type") == kind).select("page_id", *cols)
     return run
 
 
-query("h6_images")(_parts("image", "payload", "alt"))
-query("h7_formula_sources")(_parts("formula", "payload"))
-query("h8_code_language")(_parts("code", "language", "payload"))
-query("h9_table_columns")(_parts("table", "columns", "payload"))
+query("h5_list_items", f"""
+SELECT page_id, {_trim("unnest(['• one ' || page_id, '• two inner', '1. first', '2. second ' || t])")} AS text
+FROM (SELECT page_id, {H1_TEXT} AS t FROM pages)
+""")(_parts("list", "text"))
+query("h6_images", """
+SELECT page_id, unnest(['/img/' || page_id || '.png', '../lazy/' || page_id || '.jpg', '//cdn.example.org/p.jpg?x=1', '/img/' || page_id || '.png']) AS payload,
+  unnest(['Fig ' || page_id, NULL, NULL, NULL]) AS alt FROM pages
+""")(_parts("image", "payload", "alt"))
+query("h7_formula_sources", "SELECT page_id, 'x^' || page_id AS payload FROM pages")(_parts("formula", "payload"))
+query("h8_code_language", """
+SELECT page_id, 'py' AS language, 'a = 1' || chr(10) || '  b < 2' AS payload FROM pages
+""")(_parts("code", "language", "payload"))
+query("h9_table_columns", """
+SELECT page_id, 3 AS columns, '<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td><td>' || page_id || '</td></tr></table>' AS payload FROM pages
+""")(_parts("table", "columns", "payload"))
 
 
 @query("h10_clean_block_text", f"""
@@ -121,7 +129,13 @@ def h11(spark, sf):
     return K.metadata(table(spark, sf, "pages")).select("page_id", "title", "language", "domain")
 
 
-@query("h11_rich_page_metadata")
+@query("h11_rich_page_metadata", f"""
+WITH t AS (SELECT page_id, page_id % 2 = 0 AS e, {_collapse(_replace("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)", H.TEXT_ENTITIES))} AS title,
+  regexp_extract(html, '<html lang="([^"]*)"', 1) AS language, regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www[.]', '') AS domain FROM pages)
+SELECT page_id, CASE WHEN e THEN 'OG ' || page_id ELSE title END AS title, CASE WHEN e THEN 'Ann & Bo' END AS author,
+  CASE WHEN e THEN 'Desc ' || page_id END AS description, CASE WHEN e THEN '2024-01-0' || (1 + page_id % 9) END AS published,
+  CASE WHEN e THEN 'Pub' END AS site, language, NULL AS image, domain FROM t
+""")
 def h11r(spark, sf):
     return K.metadata(rich_pages(spark, sf))
 
@@ -131,9 +145,11 @@ def h12(spark, sf):
     return K.main_container(rich_pages(spark, sf))
 
 
-@query("h13_unique_images")
+@query("h13_unique_images", """
+SELECT page_id, unnest(['/img/' || page_id || '.png', '../lazy/' || page_id || '.jpg', '//cdn.example.org/p.jpg?x=1']) AS src FROM pages
+""")
 def h13(spark, sf):
-    return K.unique_images(K.blocks(_body_pages(rich_pages(spark, sf))))
+    return K.unique_images(K.blocks(_body_pages(rich_pages(spark, sf)))).select("page_id", "src")
 
 
 @query("h14_resolved_links")
