@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textpace.operators import sessions as S
 
-# The reference of the statistics accepts any date, so late rows are kept for a long time.
+# Sessions may be recorded for any date, so late rows are accepted for a long time.
 LATENESS = "3650 days"
 
 
