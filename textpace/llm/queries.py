@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textpace.llm import langid, mixing, quality
+from textpace.llm import decontamination, langid, mixing, quality, scoring
 from textpace.llm.common import crc_mod, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
 
 
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "benchmark"))
+
+
 @query("op4_quality_rules", """
     WITH d AS (
         SELECT doc_id, coalesce(text, '') AS text,
@@ -75,3 +80,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scan(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.cascade(docs).drop("text", "failed_rule")
+
+
+@query("op5_lm_scoring")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 7) == 2
+    return scoring.score(docs.withColumn("held_out", held_out), docs.where(~held_out))
