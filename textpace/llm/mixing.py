@@ -14,6 +14,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +29,6 @@ SHARD_SLOTS = 1024
 MAX_REPEATS = 3
 # The list of sources is held by the driver and sent to all tasks; more are refused.
 MAX_SOURCES = 10_000
-# Rows of one source that a window over offsets holds on average.
-BUCKET_ROWS = 4096
 SEED = 7919
 # numpy draws without replacement up to this total; beyond it the relative error of rounding is tiny.
 DRAW_LIMIT = 900_000_000
@@ -175,7 +174,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, most: int = MAX_RE
         [(s.index, s.name, s.size, s.target) for s in sources],
         "source_idx int, _name string, source_size long, target double")
 
-    buckets = max(1, -(-sum(r["rows"] for r in found) // BUCKET_ROWS))
+    # Offsets are summed inside buckets and over bucket totals: about as many rows either way.
+    buckets = max(1, math.isqrt(sum(r["rows"] for r in found)))
     key = ["source_idx", "bucket"]
     named = sized.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("_name"))).drop("_name") \
         .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
