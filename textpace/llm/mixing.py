@@ -204,7 +204,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, most: int = MAX_RE
         .withColumn("source_idx", F.col("source_idx").cast("int"))
     first = F.greatest(F.col("begin"), F.col("block") * block)
     last = F.least(F.col("end"), F.col("block") * block + F.col("use"))
-    pieces = spans.join(dealt, ["source_idx", "block"]).where(last > first).select(
+    # Both sides grow with the data; the planner cannot see how many rows the slots are.
+    pieces = spans.join(dealt.hint("merge"), ["source_idx", "block"]).where(last > first).select(
         "shard", "slot", *key, "row", "doc_id", (first - F.col("begin")).alias("first_word"),
         (last - first).alias("n_words"), (first - F.col("block") * block).alias("offset"))
     taken = pieces.groupBy(*key, "row").agg(F.sum("n_words").alias("taken"))
