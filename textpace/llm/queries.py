@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textpace.llm import decontamination, langid, mixing, quality, scoring
+from textpace.llm import decontamination, langid, mixing, privacy, quality, scoring, url_templates
 from textpace.llm.common import crc_mod, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = scan(spark, sf_dir, "documents")
     held_out = crc_mod(F.col("doc_id"), 7) == 2
     return scoring.score(docs.withColumn("held_out", held_out), docs.where(~held_out))
+
+
+@query("op6_url_templates")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(scan(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+@query("op8_privacy")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.find(scan(spark, sf_dir, "documents").select("doc_id", "text"))
+    per_kind = [privacy.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in privacy.PATTERNS]
+    return found.select(
+        "doc_id", *per_kind, F.sha2(privacy.listed(F.col("base")), 256).alias("base_sha256"),
+        privacy.listed(F.array_sort(F.concat("base", "terms"))).alias("spans"))
