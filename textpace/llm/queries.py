@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textpace.llm import decontamination, langid, mixing, privacy, quality, scoring, url_templates
+from textpace.llm import decontamination, langid, mixing, privacy, quality, scoring, suffix_dedup, url_templates
 from textpace.llm.common import crc_mod, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *per_kind, F.sha2(privacy.listed(F.col("base")), 256).alias("base_sha256"),
         privacy.listed(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+
+
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(scan(spark, sf_dir, "documents"))
