@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textpace.llm import decontamination, langid, mixing, privacy, quality, scoring, shingle_join, suffix_dedup, url_templates
+from textpace.llm import decontamination, html_templates, langid, mixing, privacy, quality, scoring, shingle_join, suffix_dedup, url_templates
 from textpace.llm.common import crc_mod, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_shingle_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join(scan(spark, sf_dir, "documents"))
+
+
+@query("op10_html_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_templates.extract(scan(spark, sf_dir, "pages")).drop("html")
