@@ -123,6 +123,8 @@ class Page:
                 self.blocks.append((path, text, furniture or self.leaf))
 
     def _open(self, tag: str, raw: str) -> None:
+        if self.stack[-1][0] == "head" and (tag in LEAVES or tag in HOLDERS) and tag not in ("noscript", "template"):
+            self._close("head")                        # content ends an unclosed head
         if tag == "br":
             self.words.append(" ")
         elif tag in LEAVES or tag == "hr":
@@ -131,8 +133,6 @@ class Page:
         elif tag in HOLDERS:
             self._flush()
             self.leaf = False
-            if tag == "body":                          # an unclosed head ends here
-                self.stack = [s for s in self.stack if s[0] != "head"]
             if raw.endswith("/") and tag not in ("article", "main", "body"):
                 return
             attributes = _attributes(raw)

@@ -26,7 +26,10 @@ from textpace.llm.common import chunks, without
 TABLE = 1 << 13
 ORDERS = (2, 3)
 FEATURES = TABLE * len(ORDERS)
-SMOOTHING = 0.5
+# Weight of one n-gram in a text of one.
+WEIGHT = 1000
+# Part of each language's rates that is taken from the average of all languages.
+SHARED = 0.1
 # The per-language counts are held by the driver; more languages are refused.
 MAX_LANGUAGES = 256
 # Up to this many languages every two-sided split is a bit; beyond, random splits are drawn.
@@ -97,12 +100,14 @@ def _tally(batches):
         for at in range(0, len(langs), ROWS_AT_ONCE):
             to = min(at + ROWS_AT_ONCE, len(langs))
             found = counts(data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at])
+            # A text weighs as the square root of its length, so that no long text speaks for a language.
+            found = np.rint(found * (WEIGHT / np.sqrt(np.maximum(found.sum(1, keepdims=True), 1)))).astype(np.int64)
             for lang in set(langs[at:to]):
                 rows = [i for i, x in enumerate(langs[at:to]) if x == lang]
                 if lang in sums:
                     sums[lang] += found[rows].sum(0)
                 else:
-                    sums[lang] = found[rows].sum(0).astype(np.int64)
+                    sums[lang] = found[rows].sum(0)
     for lang, n in sums.items():
         used = np.nonzero(n)[0]
         yield pa.RecordBatch.from_pydict({
@@ -126,7 +131,8 @@ def fit(labelled: DataFrame) -> Model:
 def learn(languages: list[str], table: np.ndarray) -> Model:
     """Bit classifiers from the languages x features counts; languages weigh the same."""
     code = codewords(len(languages))
-    rate = (table + SMOOTHING) / (table + SMOOTHING).sum(1, keepdims=True)
+    rate = table / np.maximum(table.sum(1, keepdims=True), 1)
+    rate = (1 - SHARED) * rate + SHARED * (rate.mean(0) if len(rate) else 0) + 1e-12
     weights = np.zeros((FEATURES, code.shape[1]))
     for b in range(code.shape[1]):
         weights[:, b] = np.log(rate[code[:, b] > 0].mean(0)) - np.log(rate[code[:, b] < 0].mean(0))
