@@ -29,7 +29,7 @@ def test_fences_and_formulas_hide_each_other(spark):
     text = "\n".join(["```Swift", "$$", "code", "```", "$$", "x", "```", "$$", "tail", "$$", "~~~", "open"])
     assert blocks(spark, text) == [
         ("code", None, "code", "$$\ncode"), ("formula", None, "formula", "x\n```"),
-        ("paragraph", None, "tail $$", None), ("code", None, "code", "open")]
+        ("paragraph", None, "tail", None), ("paragraph", None, "$$", None), ("code", None, "code", "open")]
 
 
 def test_tables(spark):
@@ -89,3 +89,7 @@ def test_containers(spark):
 
 def test_emoji_names_are_all_there(spark):
     assert len(MF.EMOJI) == 124
+
+
+def test_lone_formula_mark_ends_a_paragraph(spark):
+    assert blocks(spark, "a\n$$\nb") == [("paragraph", None, "a", None), ("paragraph", None, "$$ b", None)]

@@ -102,3 +102,12 @@ def test_union_guard_keeps_rows_single(spark):
     both = by_key(df, "k").unionByName(by_key(df, "k"))
     counts = both.groupBy("k").agg(F.count("*").alias("n"))
     assert counts.count() == 5 and both.join(counts, "k").count() == 200
+
+
+def test_scan_reads_its_input_once(spark, tmp_path):
+    spark.range(100).selectExpr("id % 7 AS k", "id AS o", "'x' AS t").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    out = running(rows, ["k"], ["o"], span_bucket("o", 8), sums={"n": F.lit(1)})
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Scan parquet") == 1

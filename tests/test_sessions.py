@@ -96,3 +96,23 @@ def test_file_sources(spark, tmp_path):
     got = {r.title: r.text for r in files.scan_texts(spark, str(tmp_path)).collect()}
     assert got == {"a": "Grüße", "b.b": "Größe"}
     assert [(r.title, r.text) for r in files.scan_markdown(spark, str(tmp_path)).collect()] == [("d", "# T\nx")]
+
+
+def test_shared_folder_is_required_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from textpace.session import shared_dir
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_dir(cluster, "x")
+
+
+def test_sources_without_total_resume(spark):
+    import datetime as dt
+    events = spark.createDataFrame([(1, s, "pause", 70, dt.datetime(2024, 1, 1), 1) for s in ("a", "b", "c")],
+                                   "user_id INT, source STRING, action STRING, word_idx INT, ts TIMESTAMP, event_id INT")
+    totals = spark.createDataFrame([(1, "a", 60), (1, "b", 80)], "user_id INT, source STRING, total_words INT")
+    got = {r.source: r.state for r in S.source_progress(events, totals).collect()}
+    assert got == {"a": "restart", "b": "resume", "c": "resume"}

@@ -71,3 +71,11 @@ def test_code_paragraphs_merge(spark):
         "doc_id INT, para_idx INT, run_idx INT, text STRING, fonts ARRAY<STRING>")
     rows = O.paragraph_blocks(paras, runs).orderBy("block_idx").collect()
     assert [(r.type, r.text, r.payload) for r in rows] == [("code", "code", "a\nb"), ("paragraph", "c", None), ("code", "code", "d")]
+
+
+def test_images_in_text(spark):
+    html = ("<p>text <img src='a.png'> more</p><h2>t <img src='b.png'></h2><div>one <img src='c.png'> two</div>"
+            "<figure><img src='d.png'><img src='e.png'></figure>")
+    assert page_blocks(spark, html) == [
+        ("paragraph", "text more", None), ("heading", "t", None), ("paragraph", "one", None), ("image", "image", "c.png"),
+        ("paragraph", "two", None), ("image", "image", "d.png")]

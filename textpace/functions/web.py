@@ -87,10 +87,6 @@ def clean_block(text: Column) -> Column:
     return trim_space(F.replace(kept, F.lit("\u0000"), F.lit("\n\n")))
 
 
-def url_part(url: Column, part: str) -> Column:
-    return F.try_parse_url(url, F.lit(part))
-
-
 def host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
 

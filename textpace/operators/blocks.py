@@ -53,12 +53,14 @@ def pauseable(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def heading_items(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Flat outline items from heading blocks, numbered in order."""
-    heads = word_offsets(blocks, key).where(F.col("type") == "heading")
-    return running(heads, [key], ["block_idx"], span_bucket("block_idx"),
-                   sums={"toc_idx": F.lit(1)}).select(
-        key, F.col("toc_idx").cast("int"), "block_idx", "level", F.col("text").alias("title"),
-        F.col("word_offset").alias("word_idx"),
-    )
+    head = F.col("type") == "heading"
+    counted = blocks.select(
+        key, "block_idx", "type", "level", F.when(head, F.col("text")).alias("title"),
+        W.word_count(F.col("text")).alias("n_words"))
+    return running(
+        counted, [key], ["block_idx"], span_bucket("block_idx"),
+        sums={"word_idx": F.col("n_words"), "toc_idx": F.when(head, 1).otherwise(0)},
+    ).where(head).select(key, F.col("toc_idx").cast("int"), "block_idx", "level", "title", "word_idx")
 
 
 def nest(items: DataFrame, key: str = "doc_id", max_level: int | None = 6) -> DataFrame:

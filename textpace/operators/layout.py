@@ -26,6 +26,7 @@ OCR_GAP, OCR_OVERLAP, OCR_CONFIDENCE = 1.5, 0.15, 0.4
 CAPTION = r"^(fig(ure)?|рис(унок)?|table|таблица|scheme|схема|fig\.|рис\.)\.?\s*\d+"
 FOOTNOTE = r"^[\d\*†‡§¶]+[\s\.\)]"
 CLICK_LIMIT = 30.0
+WIDEST_WORD = 0.5
 # --- end of fixed values ---
 
 PAGE = ["doc_id", "page"]
@@ -52,14 +53,16 @@ def line_geometry(chars: DataFrame) -> DataFrame:
         *line, "char_idx", "page_width", "x_min", "x_max", "y_min", "y_max",
         F.max(F.col("x_max") - F.col("x_min")).over(w).alias("_widest"),
         F.coalesce(F.max("x_max").over(before), -F.col("page_width")).alias("_edge"))
-    plain = measured.where(F.col("_widest") < limit)
+    # Lines of unknown width are plain: none of their glyphs is known to be wide.
+    narrow = F.coalesce(F.col("_widest") < limit, F.lit(True))
+    plain = measured.where(narrow)
     keep = F.col("_edge") - F.col("x_min") < limit
     mids = F.sort_array(F.collect_list(F.when(keep, (F.col("y_min") + F.col("y_max")) / 2)))
     usual = plain.groupBy(*line).agg(
         F.first("page_width").alias("page_width"), F.count_if(~keep).alias("n_dropped"), mids.alias("mids"),
         F.min(F.when(keep, F.col("x_min"))).alias("x0"), F.max(F.when(keep, F.col("x_max"))).alias("x1"),
         F.min(F.when(keep, F.col("y_min"))).alias("y0"), F.max(F.when(keep, F.col("y_max"))).alias("y1"))
-    got = usual.unionByName(_fold_wide_lines(measured.where(F.col("_widest") >= limit), line))
+    got = usual.unionByName(_fold_wide_lines(measured.where(~narrow), line))
     return got.select(
         *line, "page_width", "n_dropped",
         F.coalesce(F.get("mids", F.floor(F.size("mids") / 2).cast("int")), F.lit(-1.0)).alias("y_center"),
@@ -195,11 +198,12 @@ def is_caption(text: Column) -> Column:
     return F.lower(text).rlike(CAPTION)
 
 
-def remove_noise(blocks: DataFrame) -> DataFrame:
+def remove_noise(blocks: DataFrame, page_counts: DataFrame | None = None) -> DataFrame:
     """Page numbers and repeated edge texts removed, bottom notes typed as footnotes.
 
     Texts that repeat on the edges of a document are counted by (document, text); documents of one
-    page keep theirs.
+    page keep theirs. ``page_counts`` (doc_id, pages) counts empty pages too; without it the
+    highest page with a block is the count.
     """
     edge = F.col("is_at_top") | F.col("is_at_bottom")
     numbered = blocks.where(~(edge & is_page_number(F.col("text")))).withColumn(
@@ -209,6 +213,9 @@ def remove_noise(blocks: DataFrame) -> DataFrame:
     counts = blocks.groupBy("doc_id", shown.alias("_norm")).agg(
         F.count("*").alias("_n"), F.max("page").alias("_top"))
     pages = counts.groupBy("doc_id").agg(F.max("_top").alias("_pages"))
+    if page_counts is not None:
+        given = page_counts.select("doc_id", F.col("pages").alias("_given"))
+        pages = pages.join(given, "doc_id", "left").select("doc_id", F.greatest("_pages", "_given").alias("_pages"))
     repeated = (
         counts.where(F.col("_norm").isNotNull()).join(pages, "doc_id")
         .where((F.col("_pages") > 1) & (F.col("_n") >= F.greatest(F.lit(2), F.floor(F.col("_pages") / 2))))
@@ -475,14 +482,14 @@ def align_words(words: DataFrame, boxes: DataFrame, lookahead: int = 8) -> DataF
     one page is folded over its words; each step looks at the next eight boxes.
     """
     seq = words.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("seq", "word"))).alias("ws"))
-    loc = boxes.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("box_idx", "word"))).alias("bs"))
+    loc = boxes.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(F.col("box_idx").cast("long").alias("box_idx"), "word"))).alias("bs"))
     prepared = seq.join(loc, PAGE, "left").select(
         *PAGE,
-        F.transform("ws", lambda w: F.struct(w["seq"].alias("seq"), _clean(w["word"]).alias("c"),
+        F.transform("ws", lambda w: F.struct(w["seq"].cast("long").alias("seq"), _clean(w["word"]).alias("c"),
                                              F.when(F.length(w["word"]) <= 3, 0.5).otherwise(0.7).alias("need"))).alias("ws"),
-        F.transform(F.coalesce("bs", F.array().cast("array<struct<box_idx:int,word:string>>")),
-                    lambda b: F.struct(b["box_idx"].alias("i"), _clean(b["word"]).alias("c"))).alias("bs"))
-    state = "struct<cur:int,out:array<struct<seq:int,box:int>>>"
+        F.transform(F.coalesce("bs", F.array().cast("array<struct<box_idx:bigint,word:string>>")),
+                    lambda b: F.struct(b["box_idx"].cast("long").alias("i"), _clean(b["word"]).alias("c"))).alias("bs"))
+    state = "struct<cur:int,out:array<struct<seq:bigint,box:bigint>>>"
 
     def score(a: Column, b: Column) -> Column:
         longest = F.greatest(F.length(a), F.length(b))
@@ -539,31 +546,35 @@ def _follow(words: list, boxes: list) -> list:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _follow_pages(words: pd.Series, boxes: pd.Series) -> pd.Series:
     return pd.Series([_follow(list(w), list(b)) for w, b in zip(words, boxes)])
 
 
-def locate_words(words: DataFrame, boxes: DataFrame) -> DataFrame:
+def locate_words(words: DataFrame, boxes: DataFrame, page_width: float = 595.0) -> DataFrame:
     """Text-layer box of each reading word by reading distance from the words located before it.
 
+    Boxes without height or wider than half the page are no words.
+
     Each box is used once. The first word of a page takes the topmost, then leftmost box; later ones
     the box nearest in reading direction, with a bonus for going on along the line of the last three.
     Every choice depends on the ones before it, so one page's words are followed in an Arrow batch;
     grouping, cleaning and the result stay in Spark.
     """
     seq = words.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("seq", "word"))).alias("ws"))
-    loc = boxes.groupBy(*PAGE).agg(
+    real = (F.col("h") > 0) & (F.col("w") <= page_width * WIDEST_WORD)
+    loc = boxes.where(F.coalesce(real, F.lit(True))).groupBy(*PAGE).agg(
         F.sort_array(F.collect_list(F.struct("box_idx", "word", "x", "y", "w", "h"))).alias("bs"))
 
     def clean(c: Column) -> Column:
         return F.regexp_replace(
             F.regexp_replace(F.lower(c), r"^\p{P}+|\p{P}+$", ""), r"^[$€£¥₹₽¢%]+|[$€£¥₹₽¢%]+$", "")
 
-    placed = F.transform("bs", lambda b: F.struct(
-        b["box_idx"].alias("i"), F.lower(b["word"]).alias("t"), (b["x"] + b["w"] / 2).alias("mx"),
-        (b["y"] + b["h"] / 2).alias("my"), b["h"].alias("h")))
-    found = seq.join(loc, PAGE).select(
+    placed = F.coalesce(F.transform("bs", lambda b: F.struct(
+        b["box_idx"].cast("long").alias("i"), F.lower(b["word"]).alias("t"), (b["x"] + b["w"] / 2).alias("mx"),
+        (b["y"] + b["h"] / 2).alias("my"), b["h"].alias("h"))),
+        F.array().cast("array<struct<i:bigint,t:string,mx:double,my:double,h:double>>"))
+    found = seq.join(loc, PAGE, "left").select(
         *PAGE, F.transform("ws", lambda w: w["seq"]).alias("seqs"),
         _follow_pages(F.transform("ws", lambda w: clean(w["word"])), placed).alias("hits"))
     return found.select(*PAGE, F.inline(F.arrays_zip("seqs", "hits")).alias("seq", "box_idx"))

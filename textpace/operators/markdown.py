@@ -191,7 +191,9 @@ def classify_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         .otherwise(F.col("kind"))
     )
     done = tagged.withColumn("cls", cls)
-    breaks = ~F.col("cls").isin("prose", "note", "under1", "under2") | (
+    # A formula mark without a partner is prose, yet it ends the paragraph before it.
+    lone = (F.col("t") == "$$") & (F.col("cls") == "prose")
+    breaks = ~F.col("cls").isin("prose", "note", "under1", "under2") | lone | (
         F.col("_opens") & ~F.col("in_table"))
     under = F.col("cls").isin("under1", "under2")
     # An underline closes the paragraph before it, so it counts from the next line on.

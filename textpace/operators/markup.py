@@ -15,8 +15,6 @@ from textpace.operators.ordered import by_key
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 # Elements read as one unit, whatever they contain.
 WRAPPERS = ["blockquote", "pre", "ul", "ol", "figure", "table", "math", "mjx-container"]
-BLOCK_CHILDREN = ["p", *HEADINGS, "ul", "ol", "blockquote", "pre", "div", "section", "article",
-                  "figure", "table", "img"]
 CONTAINERS = ["div", "section", "article", "main", "body", "html", "header", "footer", "nav", "aside",
               "form", "center", "details", "summary", "address", "dl", "dt", "dd", "fieldset", "hr"]
 VOID = ["br", "img", "hr", "input", "meta", "link", "wbr", "source", "col", "area", "base", "embed"]
@@ -39,7 +37,7 @@ def body_html(html: Column) -> Column:
     return H.drop_boilerplate(bare)
 
 
-def _sign(tag_test: Column, void: Column | None = None) -> Column:
+def _sign(tag_test: Column) -> Column:
     return F.when(tag_test, F.when(F.col("is_close"), -1).otherwise(1)).otherwise(0)
 
 
@@ -86,16 +84,24 @@ def blocks(pages: DataFrame, key: str = "page_id", text: str = "html") -> DataFr
     inner = seg.select("*", F.coalesce(inline, F.lit(False)).alias("inline")).select(
         "*", F.greatest(F.lit(0), F.sum(_sign(F.col("inline"))).over(seg_upto)).alias("nd"))
     edge = (F.col("inline") & ~closes & (F.col("nd") == 1)) | (F.col("inline") & closes & (F.col("nd") == 0))
-    pieces = inner.select("*", F.sum(edge.cast("int")).over(seg_upto).alias("piece"))
+    free_img = F.coalesce((tag == "img") & ~F.col("in_unit"), F.lit(False))
+    # An image among the text of a container is a child of its own and splits that text.
+    pieces = inner.select(
+        "*", F.sum((edge | free_img).cast("int")).over(seg_upto).alias("piece"),
+        F.max(free_img).over(Window.partitionBy(key, "seg")).alias("has_img"),
+        F.sum(F.coalesce(tag == "img", F.lit(False)).cast("int")).over(
+            Window.partitionBy(key, "unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("unit_img"))
     # A segment that spans a whole container (opened before, closed after) is one paragraph.
     ends = pieces.groupBy(key, (F.col("seg") - 1).alias("seg")).agg(
         F.min_by(F.struct("tag", "is_close"), "pos").alias("next_b"))
     joined = pieces.join(ends, [key, "seg"], "left")
     leaf = (F.col("b.tag").isin([*HEADINGS, "p"]) & ~F.col("b.is_close"))
-    whole = ~F.col("b.is_close") & (F.col("next_b.tag") == F.col("b.tag")) & F.col("next_b.is_close")
+    whole = ~F.col("has_img") & ~F.col("b.is_close") & (F.col("next_b.tag") == F.col("b.tag")) & F.col("next_b.is_close")
     part = F.when(F.col("in_unit"), F.when(F.col("unit_tag").isin("ul", "ol"), F.col("item")).otherwise(0)) \
         .when(leaf | F.coalesce(whole, F.lit(False)), 0).otherwise(F.col("piece"))
-    img = F.coalesce(tag == "img", F.lit(False)) & (~F.col("in_unit") | (F.col("unit_tag") == "figure"))
+    # Text elements give their text only; a figure gives its first image.
+    img = F.coalesce(tag == "img", F.lit(False)) & F.when(
+        F.col("in_unit"), (F.col("unit_tag") == "figure") & (F.col("unit_img") == 1)).otherwise(~F.coalesce(leaf, F.lit(False)))
     cap_depth = joined.select(
         "*", part.alias("part"), img.alias("img"),
         F.sum(_sign(F.coalesce(tag == "figcaption", F.lit(False)))).over(upto).alias("cap"),

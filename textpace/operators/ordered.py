@@ -10,6 +10,7 @@ plain window exactly.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import MapType
 
 from textpace.session import guard
 
@@ -31,68 +32,76 @@ def span_bucket(ordinal: str, span: int = SPAN) -> Column:
     return F.floor(F.col(ordinal) / span)
 
 
-def running(
+def scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     bucket: Column,
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    nexts: dict[str, Column] | None = None,
     inclusive: bool = False,
 ) -> DataFrame:
-    """Add running sums and last non-null values over rows before (or up to) each row.
+    """Add running sums and last non-null values of the rows before (or up to) each row, and next values.
 
-    ``bucket`` must not decrease along ``order`` within a key.
+    ``bucket`` must not decrease along ``order`` within a key. All of it is one pass: the rows are
+    placed once by (key, bucket), and each bucket's last row holds its totals.
     """
-    sums, lasts = sums or {}, lasts or {}
+    sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
     b = "_bucket"
+    # The join below needs keys and buckets; said here, it reads the same in both branches.
     rows = df.withColumn(b, bucket)
-    here = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1
+    for name in [*keys, b]:
+        rows = rows.where(F.col(name).isNotNull())
+    here = Window.partitionBy(*keys, b).orderBy(*order)
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    before = upto if inclusive else here.rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.select(
+        "*",
+        *[F.sum(e).over(before).alias(f"_h_{n}") for n, e in sums.items()],
+        *[F.last(e, ignorenulls=True).over(before).alias(f"_h_{n}") for n, e in lasts.items()],
+        *[F.lead(e).over(here).alias(f"_h_{n}") for n, e in nexts.items()],
+        *[F.sum(e).over(upto).alias(f"_t_{n}") for n, e in sums.items()],
+        *[F.last(e, ignorenulls=True).over(upto).alias(f"_t_{n}") for n, e in lasts.items()],
+        *[F.first(e).over(upto).alias(f"_t_{n}") for n, e in nexts.items()],
+        F.lead(F.lit(True)).over(here).isNull().alias("_end"),
     )
+    # The hash, true of every row, names all columns: with fewer, this branch would get an
+    # exchange of its own and the input would be read twice.
+    named = F.hash(*[f.name for f in rows.schema if not isinstance(f.dataType, MapType)]) >= -(1 << 31)
+    spans = local.where(F.col("_end") & named)
     earlier = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    at = F.struct(*order)
-    per_bucket = rows.groupBy(*keys, b).agg(
-        *[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()],
-        *[F.max_by(e, F.when(e.isNotNull(), at)).alias(f"_t_{n}") for n, e in lasts.items()],
-    )
-    carry = per_bucket.select(
+    after = Window.partitionBy(*keys).orderBy(b)
+    carry = spans.select(
         *keys, b,
         *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in lasts],
+        *[F.lead(f"_t_{n}").over(after).alias(f"_c_{n}") for n in nexts],
     )
-    local = rows.select(
-        "*",
-        *[F.sum(e).over(here).alias(f"_h_{n}") for n, e in sums.items()],
-        *[F.last(e, ignorenulls=True).over(here).alias(f"_h_{n}") for n, e in lasts.items()],
-    )
-    joined = local.join(carry, [*keys, b])
     zero = F.lit(0)
-    return joined.select(
+    return local.join(carry, [*keys, b]).select(
         *[F.col(c) for c in df.columns],
         *[(F.coalesce(F.col(f"_h_{n}"), zero) + F.coalesce(F.col(f"_c_{n}"), zero)).alias(n)
           for n in sums],
-        *[F.coalesce(F.col(f"_h_{n}"), F.col(f"_c_{n}")).alias(n) for n in lasts],
+        *[F.coalesce(F.col(f"_h_{n}"), F.col(f"_c_{n}")).alias(n) for n in [*lasts, *nexts]],
     )
 
 
+def running(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    bucket: Column,
+    sums: dict[str, Column] | None = None,
+    lasts: dict[str, Column] | None = None,
+    inclusive: bool = False,
+) -> DataFrame:
+    """Running sums and last non-null values over rows before (or up to) each row."""
+    return scan(df, keys, order, bucket, sums, lasts, inclusive=inclusive)
+
+
 def following(
     df: DataFrame, keys: list[str], order: list[str], bucket: Column, nexts: dict[str, Column]
 ) -> DataFrame:
-    """Add the value of each (non-null) expression on the next row of the key."""
-    b = "_bucket"
-    rows = df.withColumn(b, bucket)
-    here = Window.partitionBy(*keys, b).orderBy(*order)
-    after = Window.partitionBy(*keys).orderBy(b)
-    at = F.struct(*order)
-    firsts = rows.groupBy(*keys, b).agg(
-        *[F.min_by(e, at).alias(f"_f_{n}") for n, e in nexts.items()]
-    )
-    carry = firsts.select(
-        *keys, b, *[F.lead(f"_f_{n}").over(after).alias(f"_c_{n}") for n in nexts]
-    )
-    local = rows.select("*", *[F.lead(e).over(here).alias(f"_h_{n}") for n, e in nexts.items()])
-    return local.join(carry, [*keys, b]).select(
-        *[F.col(c) for c in df.columns],
-        *[F.coalesce(F.col(f"_h_{n}"), F.col(f"_c_{n}")).alias(n) for n in nexts],
-    )
+    """The value of each (non-null) expression on the next row of the key."""
+    return scan(df, keys, order, bucket, nexts=nexts)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textpace.functions import pacing as P
 from textpace.functions import words as W
-from textpace.operators.ordered import following, running
+from textpace.operators.ordered import scan
 
 # --- fixed values ---
 MIN_SECONDS, MIN_WORDS = 5, 10
@@ -83,15 +83,19 @@ def _islands(days: DataFrame) -> DataFrame:
 
 def streaks(days: DataFrame, as_of: dt.date) -> DataFrame:
     """Current streak (ending on as_of or the day before) and longest streak, zeros included."""
-    alive = F.col("last_day").isin(as_of, as_of - dt.timedelta(days=1))
     # Days after as_of are not yet known on that date, so they cannot end or extend the current run.
-    known = _islands(days.where(F.col("day") <= F.lit(as_of))).groupBy("user_id").agg(
-        F.max(F.when(alive, F.col("length"))).alias("current"))
-    longest = _islands(days).groupBy("user_id").agg(F.max("length").alias("longest"))
-    users = days.select("user_id").distinct()
-    return users.join(known, "user_id", "left").join(longest, "user_id", "left").select(
-        "user_id", F.coalesce("current", F.lit(0)).alias("current_streak"),
-        F.coalesce("longest", F.lit(0)).alias("longest_streak"))
+    known = F.col("day") <= F.lit(as_of)
+    w = Window.partitionBy("user_id").orderBy("day")
+    lively = F.col("minutes") >= ACTIVE_MINUTES
+    place = F.sum(lively.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # Idle days are a run of their own, so that users without an active day stay.
+    runs = days.withColumn("_run", F.when(lively, F.date_sub("day", place.cast("int")))).groupBy("user_id", "_run").agg(
+        F.count_if(lively).alias("length"), F.count_if(lively & known).alias("known"),
+        F.max(F.when(lively & known, F.col("day"))).alias("last_day"))
+    alive = F.col("last_day").isin(as_of, as_of - dt.timedelta(days=1))
+    return runs.groupBy("user_id").agg(
+        F.coalesce(F.max(F.when(alive, F.col("known"))), F.lit(0)).alias("current_streak"),
+        F.max("length").alias("longest_streak"))
 
 
 def activity_totals(days: DataFrame) -> DataFrame:
@@ -153,11 +157,12 @@ def recents(positions: DataFrame, keep: int = RECENTS) -> DataFrame:
 
 
 def _play_spans(events: DataFrame) -> DataFrame:
-    """Timed control events with the micros played until the next one."""
+    """Timed control events with the micros played until the next one and the session they are in."""
     timed = events.where(F.col("action").isin("play", "pause", "finish", "close")).withColumn(
-        "us", F.unix_micros(F.col("ts").cast("timestamp")))
-    nexts = following(timed, ["user_id"], ["ts", "event_id"], hour_bucket("ts"),
-                      {"next": F.struct("action", "us")})
+        "us", F.unix_micros(F.col("ts").cast("timestamp"))).select("user_id", "ts", "event_id", "action", "us")
+    ends = F.col("action").isin("finish", "close").cast("int")
+    nexts = scan(timed, ["user_id"], ["ts", "event_id"], hour_bucket("ts"), sums={"session_no": ends},
+                 nexts={"next": F.struct("action", "us")})
     played = (F.col("action") == "play") & F.col("next.action").isin("pause", "finish")
     return nexts.withColumn(
         "played_us", F.when(played, F.col("next.us") - F.col("us")).otherwise(F.lit(0)))
@@ -171,21 +176,22 @@ def reading_time(events: DataFrame) -> DataFrame:
 
 def finished_sessions(events: DataFrame) -> DataFrame:
     """One record per finished session; sessions closed before the end produce none."""
-    spans = _play_spans(events)
-    ends = F.col("action").isin("finish", "close").cast("int")
-    numbered = running(spans, ["user_id"], ["ts", "event_id"], hour_bucket("ts"), sums={"session_no": ends})
-    return numbered.groupBy("user_id", "session_no").agg(
+    return _play_spans(events).groupBy("user_id", "session_no").agg(
         F.round(F.sum("played_us") / 1e6, 6).alias("reading_time_seconds"),
         F.max(F.when(F.col("action") == "finish", F.col("us"))).alias("finished_us"),
     ).where(F.col("finished_us").isNotNull())
 
 
-def source_progress(events: DataFrame, total_words: int) -> DataFrame:
-    """Start of the next session per user and source: resume, or restart after the end."""
+def source_progress(events: DataFrame, totals: DataFrame) -> DataFrame:
+    """Start of the next session per user and source: resume, or restart after the end.
+
+    totals: user_id, source, total_words; a source without a total has no end.
+    """
     at = F.struct("ts", "event_id")
-    last = events.groupBy("user_id", "source").agg(F.max_by(F.struct("action", "word_idx"), at).alias("e"))
+    last = events.groupBy("user_id", "source").agg(F.max_by(F.struct("action", "word_idx"), at).alias("e")) \
+        .join(totals, ["user_id", "source"], "left")
     i = F.when(F.col("e.action") == "finish", 0).otherwise(F.col("e.word_idx"))
-    resumes = (i > 0) & (i < total_words)
+    resumes = (i > 0) & (F.col("total_words").isNull() | (i < F.col("total_words")))
     return last.select("user_id", "source", F.when(resumes, i).otherwise(0).alias("start_idx"),
                        F.when(resumes, "resume").otherwise("restart").alias("state"))
 

@@ -173,11 +173,15 @@ def a18(spark, sf):
 
 @query("a19_source_progress", f"""
 WITH {CONTROL}, l AS (SELECT user_id, source, arg_max(action, (ts, event_id)) AS action, arg_max(word_idx, (ts, event_id)) AS word_idx FROM control GROUP BY ALL),
-p AS (SELECT user_id, source, CASE WHEN action = 'finish' THEN 0 ELSE word_idx END AS i FROM l)
-SELECT user_id, source, CASE WHEN i > 0 AND i < 150 THEN i ELSE 0 END AS start_idx, CASE WHEN i > 0 AND i < 150 THEN 'resume' ELSE 'restart' END AS state FROM p
+t AS (SELECT user_id, source, max(word_idx) // 2 + max(user_id) % 50 AS total FROM control WHERE user_id % 5 <> 0 GROUP BY user_id, source),
+p AS (SELECT user_id, source, CASE WHEN action = 'finish' THEN 0 ELSE word_idx END AS i, coalesce(total, 1000000000) AS total FROM l LEFT JOIN t USING (user_id, source))
+SELECT user_id, source, CASE WHEN i > 0 AND i < total THEN i ELSE 0 END AS start_idx, CASE WHEN i > 0 AND i < total THEN 'resume' ELSE 'restart' END AS state FROM p
 """)
 def a19(spark, sf):
-    return S.source_progress(control_events(spark, sf), 150)
+    events = control_events(spark, sf)
+    totals = events.where("user_id % 5 <> 0").groupBy("user_id", "source").agg(
+        (F.floor(F.max("word_idx") / 2) + F.col("user_id") % 50).alias("total_words"))
+    return S.source_progress(events, totals)
 
 
 @query("a20_sessions_by_source", f"WITH {SESSIONS} SELECT source, count(*) AS n_sessions, sum(total_words)::BIGINT AS n_words FROM sessions GROUP BY source")
@@ -313,7 +317,7 @@ def st3(spark, sf):
 
 @query("st4_live_positions", f"WITH {LATEST} SELECT user_id, doc_id, word_idx FROM latest")
 def st4(spark, sf):
-    n = table(spark, sf, "documents").count()
+    n = table(spark, sf, "documents").agg(F.count("*")).scalar()
     pos = _events(spark, sf).select("event_id", "user_id", (F.col("event_id") % n).alias("doc_id"),
                                     F.floor("value").cast("int").alias("word_idx"), "ts")
     out = live.live_positions(pos, shared_dir(spark, "st4"))

@@ -9,7 +9,7 @@ from textpace.operators import layout as L
 from textpace.plans.inputs_sql import LAYOUT
 from textpace.plans.registry import query, sql_text
 from textpace.session import materialize
-from textpace.sources.derived import layout_chars, layout_lines, ocr_observations, page_words
+from textpace.sources.derived import layout_chars, layout_lines, ocr_observations, page_words, wide_ordinal
 from textpace.sources.tables import table
 
 PAT = sql_text(W.WORD_PATTERN.replace("*+", "*"))
@@ -230,9 +230,17 @@ def l24(spark, sf):
     return L.locate_words(*_page_words(spark, sf))
 
 
-NEAR = f"""{LAYOUT}, bx AS (SELECT doc_id, page, line_idx * 100000 + k AS word_idx, x_min + k * 40 AS x, y_min AS y FROM
+NEAR = f"""{LAYOUT}, bx AS (SELECT doc_id, page, line_idx::BIGINT * 4294967296 + k AS word_idx, x_min + k * 40 AS x, y_min AS y FROM
   (SELECT *, unnest(w) AS word, unnest(range(len(w))) AS k FROM (SELECT *, string_split(text, ' ') AS w FROM layout)) WHERE word <> ''),
-pt AS (SELECT event_id AS point_id, event_id % (SELECT count(*) FROM documents) AS doc_id, 1 AS page, round(value % 560, 2) AS x, round(value * 7 % 820, 2) AS y FROM events)"""
+pt AS (SELECT event_id AS point_id, event_id % (SELECT count(*) FROM documents) AS doc_id, (1 + event_id % (SELECT max(page) FROM pg WHERE pg.doc_id = event_id % (SELECT count(*) FROM documents)))::INT AS page, round(value % 560, 2) AS x, round(value * 7 % 820, 2) AS y FROM events)"""
+
+
+def _spread(spark, sf, lines):
+    """Events as points on all pages of all documents."""
+    n = table(spark, sf, "documents").agg(F.count("*")).scalar()
+    pages = lines.groupBy("doc_id").agg(F.max("page").alias("pages"))
+    return table(spark, sf, "events").withColumn("doc_id", F.col("event_id") % n).join(pages, "doc_id") \
+        .withColumn("page", (1 + F.col("event_id") % F.col("pages")).cast("int"))
 
 
 @query("l25_clicked_words", f"""
@@ -243,9 +251,8 @@ SELECT point_id, coalesce(w, -1) AS word_idx FROM pt LEFT JOIN b USING (point_id
 """)
 def l25(spark, sf):
     lines = layout_lines(spark, sf)
-    n = table(spark, sf, "documents").agg(F.count("*")).scalar()
-    points = table(spark, sf, "events").select(
-        F.col("event_id").alias("point_id"), (F.col("event_id") % n).alias("doc_id"), F.lit(1).alias("page"),
+    points = _spread(spark, sf, lines).select(
+        F.col("event_id").alias("point_id"), "doc_id", "page",
         F.round(F.col("value") % 560, 2).alias("x"), F.round(F.col("value") * 7 % 820, 2).alias("y"))
     return L.clicked_words(points, page_words(lines)).select("point_id", "word_idx")
 
@@ -253,9 +260,8 @@ def l25(spark, sf):
 @query("l25_selected_words")
 def l25s(spark, sf):
     lines = layout_lines(spark, sf)
-    n = table(spark, sf, "documents").agg(F.count("*")).scalar()
-    rects = table(spark, sf, "events").select(
-        F.col("event_id").alias("rect_id"), (F.col("event_id") % n).alias("doc_id"), F.lit(1).alias("page"),
+    rects = _spread(spark, sf, lines).select(
+        F.col("event_id").alias("rect_id"), "doc_id", "page",
         (F.col("value") % 560).alias("x"), (F.col("value") * 7 % 820).alias("y"), F.lit(30.0).alias("w"), F.lit(10.0).alias("h"))
     return L.nearest_words(rects, page_words(lines)).select("rect_id", "word_idx")
 
@@ -266,7 +272,7 @@ def l26(spark, sf):
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     parts = F.array(F.substring("text", F.lit(1), cut), F.substring(F.col("text"), cut + 1, cut), F.substring(F.col("text"), 2 * cut + 1, n))
-    runs = lines.select("doc_id", (F.col("page") * 1000 + F.col("para_idx")).alias("block_idx"), F.col("ord").alias("line_idx"),
+    runs = lines.select("doc_id", wide_ordinal("page", "para_idx").alias("block_idx"), F.col("ord").alias("line_idx"),
                         F.posexplode(parts).alias("run_idx", "text"))
     s = (F.col("line_idx") + F.col("run_idx")) % 5
     return L.styled_markdown(runs.withColumns({"bold": s.isin(1, 3), "italic": s.isin(2, 3)}))

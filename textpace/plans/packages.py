@@ -9,7 +9,7 @@ from textpace.operators import blocks as B
 from textpace.operators import office as O
 from textpace.operators import packages as P
 from textpace.plans.registry import query, sql_text
-from textpace.sources.derived import fb2_docs, office_tables, package_tables
+from textpace.sources.derived import fb2_docs, office_tables, package_tables, wide_ordinal
 
 PAT = sql_text(W.WORD_PATTERN.replace("*+", "*"))
 TRIM = r"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
@@ -21,7 +21,7 @@ LINES = "ln AS (SELECT doc_id, lang, unnest(s) AS line, unnest(range(len(s))) AS
 WITH {LINES}, esc AS (SELECT doc_id, i, replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM ln),
 t AS (SELECT doc_id, i, CASE i % 5 WHEN 0 THEN 'heading' WHEN 1 THEN 'quote' ELSE 'paragraph' END AS type,
   CASE WHEN i % 5 = 0 THEN least(6, i // 5 + 1) END AS level,
-  {TRIM.format(x="replace(replace(replace(CASE WHEN i % 5 = 0 THEN substr(e, 1, 20) ELSE e END, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")} AS text FROM esc)
+  {TRIM.format(x="replace(replace(replace(e, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')")} AS text FROM esc)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS block_idx, type, level, text FROM t WHERE text <> ''
 """)
 def h21(spark, sf):
@@ -77,7 +77,7 @@ def h25(spark, sf):
     entries = P.nav_entries(t["navs"]).withColumn("source", F.lit(0)).unionByName(
         P.ncx_entries(t["ncxs"]).withColumn("source", F.lit(1))).withColumn("folder", F.lit("OEBPS"))
     blocks = P.xhtml_blocks(files, ["pkg_id", "spine_idx"]).select(
-        "pkg_id", (F.col("spine_idx") * 100000 + F.col("block_idx")).alias("block_idx"), "type", "level", "text")
+        "pkg_id", wide_ordinal("spine_idx", "block_idx").alias("block_idx"), "type", "level", "text")
     heads = B.heading_items(blocks, "pkg_id").join(
         t["titles"].select("pkg_id", W.word_count(F.col("title")).alias("lead")), "pkg_id").select(
         "pkg_id", "toc_idx", "level", "title", (F.col("word_idx") + F.col("lead")).alias("word_idx"))
@@ -161,7 +161,7 @@ def h32(spark, sf):
 
 
 @query("h33_table_blocks", f"""
-WITH {LINES}, r AS (SELECT doc_id, i // 4 AS table_idx, i, string_split(substr(line, 1, 40), ' ') AS r FROM ln),
+WITH {LINES}, r AS (SELECT doc_id, i // 4 AS table_idx, i, string_split(line, ' ') AS r FROM ln),
 k AS (SELECT * FROM r WHERE len(list_filter(r, lambda c: regexp_matches(c, '[^\\s\\p{{Z}}]'))) > 0),
 e AS (SELECT doc_id, table_idx, i, len(r) AS n, row_number() OVER (PARTITION BY doc_id, table_idx ORDER BY i) = 1 AS head,
   list_transform(r, lambda c: replace(replace(replace(replace(c, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS c FROM k)

@@ -37,11 +37,14 @@ def guard(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A folder for written tables: under spark.checkpoint.dir where the cluster names one.
 
-    The temporary folder is only used where that setting is absent, as in local tests.
+    A local master without that setting, as in tests, uses a temporary folder. Any other master is
+    refused: each executor would write to its own disk and later reads would miss rows.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return f"{base.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return tempfile.mkdtemp(prefix=f"textpace-{purpose}-")
 
 

@@ -175,7 +175,7 @@ def _safe(col: str):
 
 # E-book markup by line position; {i} is the zero-based index and l the escaped line.
 FB2_LINE = """CASE {i} % 5
-  WHEN 0 THEN '<section><title><p>' || substr(l, 1, 20) || '</p></title>' WHEN 1 THEN '<epigraph><p>' || l || '</p></epigraph>'
+  WHEN 0 THEN '<section><title><p>' || l || '</p></title>' WHEN 1 THEN '<epigraph><p>' || l || '</p></epigraph>'
   WHEN 3 THEN '<poem><stanza><v>' || l || '</v></stanza></poem>' ELSE '<p>' || l || '</p>' END"""
 
 
@@ -245,7 +245,7 @@ def office_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
                         F.concat(F.lit("./media/image"), i.cast("string"), F.lit(".png")).alias("target"))
     media = lines.where(i % 2 == 0).select("doc_id", F.concat(F.lit("media/image"), i.cast("string"), F.lit(".png")).alias("path"))
     cells = lines.select("doc_id", F.floor(i / 4).alias("table_idx"), (i % 4).alias("row_idx"),
-                         F.posexplode(F.split(F.substring("line", 1, 40), " ")).alias("cell_idx", "text"))
+                         F.posexplode(F.split("line", " ")).alias("cell_idx", "text"))
     return {"paras": paras, "styles": styles, "runs": runs, "notes": notes, "refs": refs, "uses": uses,
             "rels": rels, "media": media, "cells": cells}
 
@@ -291,12 +291,17 @@ def layout_chars(lines: DataFrame) -> DataFrame:
     ).withColumn("x_max", F.col("x_min") + 5)
 
 
+def wide_ordinal(outer: str, inner: str):
+    """One number that orders by outer, then inner; inner may use all 32 bits."""
+    return F.shiftleft(F.col(outer).cast("long"), 32) + F.col(inner)
+
+
 def page_words(lines: DataFrame) -> DataFrame:
     """Word boxes of layout lines, forty points apart."""
     return lines.select(
         "doc_id", "page", "line_idx", "x_min", "y_min",
         F.posexplode(F.split("text", " ")).alias("k", "word")).where("word <> ''").select(
-        "doc_id", "page", (F.col("line_idx") * 100000 + F.col("k")).cast("int").alias("word_idx"), "word",
+        "doc_id", "page", wide_ordinal("line_idx", "k").alias("word_idx"), "word",
         (F.col("x_min") + F.col("k") * 40).alias("x"), F.col("y_min").alias("y"), F.lit(35.0).alias("w"), F.lit(12.0).alias("h"))
 
 

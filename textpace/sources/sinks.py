@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -27,8 +28,10 @@ class PositionStore:
     def _generation(self) -> int:
         try:
             marks = self.spark.read.schema("generation INT").parquet(f"{self.path}/generations")
-        except Exception:  # no compaction yet
-            return 0
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return 0  # no compaction yet
         return marks.agg(F.max("generation")).first()[0] or 0
 
     def save(self, positions: DataFrame) -> None:

@@ -6,20 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textpace.session import guard
 
-# Row keys of the tables whose rows are expensive to process.
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one table.
-
-    A text table kept in fewer files than there are cores would be tokenised by a few tasks,
-    so its (compact) rows are spread by key first. Large tables have many files and are
-    scanned as they lie.
-    """
+    """Scan one table as it lies; ``spark.sql.files.maxPartitionBytes`` sets the size of its tasks."""
     guard(spark)
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_KEYS and len(df.inputFiles()) < cores:
-        return df.repartition(cores, TEXT_KEYS[name])
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
