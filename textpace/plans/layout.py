@@ -130,7 +130,20 @@ def l14(spark, sf):
     return L.type_by_font(L.paragraph_blocks(lines), L.body_font(lines)).select("doc_id", "page", "para_idx", "type", "level")
 
 
-@query("l17_table_paragraphs")
+@query("l17_table_paragraphs", f"""
+WITH {LAYOUT}, ch AS (SELECT doc_id, page, para_idx, line_idx, x_min AS x0, unnest(string_split(text, '')) AS c, unnest(range(len(text))) AS i FROM cl),
+cx AS (SELECT *, CASE WHEN i % 40 = 39 THEN -300.0::DOUBLE ELSE x0 + i * 6 + i // 10 * 30 END AS x FROM ch),
+gs AS (SELECT doc_id, page, para_idx, line_idx, x, lag(x + 5) OVER w AS prev, count(*) OVER (PARTITION BY doc_id, page, line_idx) AS n
+  FROM cx WINDOW w AS (PARTITION BY doc_id, page, line_idx ORDER BY x, i)),
+ct AS (SELECT *, coalesce(x - prev >= 595 * 0.04::DOUBLE, FALSE) AS wide, (prev + x) / 2 AS mid FROM gs WHERE n >= 4),
+wl AS (SELECT doc_id, page, para_idx, line_idx, bool_or(wide) AS any_wide FROM ct GROUP BY ALL),
+wp AS (SELECT doc_id, page, para_idx, count(*) AS n_rows, count(*) FILTER (WHERE any_wide) AS multi FROM wl GROUP BY ALL),
+st AS (SELECT doc_id, page, para_idx, mid - lag(mid) OVER (PARTITION BY doc_id, page, para_idx ORDER BY mid) AS step FROM ct WHERE wide),
+sa AS (SELECT doc_id, page, para_idx, coalesce(bool_or(step < 595 * 0.04::DOUBLE), FALSE) AS aligned FROM st GROUP BY ALL),
+al AS (SELECT doc_id, page, para_idx, count(DISTINCT line_idx) AS n_lines FROM cx GROUP BY ALL)
+SELECT doc_id, page, para_idx, coalesce(n_lines >= 2 AND n_rows >= 2 AND multi * 2 >= n_rows AND aligned, FALSE) AS is_table
+FROM al LEFT JOIN wp USING (doc_id, page, para_idx) LEFT JOIN sa USING (doc_id, page, para_idx)
+""")
 def l17(spark, sf):
     lines = L.cluster_paragraphs(layout_lines(spark, sf))
     chars = layout_chars(lines.select("doc_id", "page", "line_idx", "text", "x_min", "y_min", "y_max", "page_width"))
@@ -257,7 +270,13 @@ def l25(spark, sf):
     return L.clicked_words(points, page_words(lines)).select("point_id", "word_idx")
 
 
-@query("l25_selected_words")
+@query("l25_selected_words", f"""
+WITH {NEAR}, r AS (SELECT point_id AS rect_id, pt.doc_id, page, value % 560 AS x, value * 7 % 820 AS y FROM pt JOIN events ON event_id = point_id),
+m AS (SELECT rect_id, word_idx, bx.x < r.x + 30 AND r.x < bx.x + 35 AND bx.y < r.y + 10 AND r.y < bx.y + 12 AS touches,
+  sqrt((bx.x + 17.5 - (r.x + 15)) ** 2 + (bx.y + 6 - (r.y + 5)) ** 2) AS d FROM r JOIN bx USING (doc_id, page)),
+b AS (SELECT rect_id, arg_min(word_idx, (CASE WHEN touches THEN 0 ELSE 1 END, d, word_idx)) AS w FROM m GROUP BY rect_id)
+SELECT rect_id, coalesce(w, -1) AS word_idx FROM r LEFT JOIN b USING (rect_id)
+""")
 def l25s(spark, sf):
     lines = layout_lines(spark, sf)
     rects = _spread(spark, sf, lines).select(

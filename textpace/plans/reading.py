@@ -367,7 +367,16 @@ def p8(spark, sf):
         "delay", F.round("delay", 6))
 
 
-@query("p8_pause_plan_chunked")
+@query("p8_pause_plan_chunked", f"""
+WITH RECURSIVE {CONV_BLOCKS}, {PAUSE_DOCS}, dw AS (SELECT doc_id, list(word ORDER BY word_idx) AS w,
+  list(word_idx ORDER BY word_idx) FILTER (WHERE word IN ('image', 'formula', 'table', 'code')) AS marks FROM tk GROUP BY doc_id),
+rs AS (SELECT doc_id, 0 AS run, 0::BIGINT AS s, list_min(list_filter(marks, lambda q: q % 3 = 0)) AS stop FROM dw
+  UNION ALL SELECT rs.doc_id, run + 1, stop + 1, list_min(list_filter(marks, lambda q: q > stop AND (q - stop - 1) % 3 = 0)) FROM rs JOIN dw USING (doc_id) WHERE stop IS NOT NULL),
+bs AS (SELECT doc_id, run, s, stop, w, unnest(range(s, coalesce(stop, len(w) - 1) + 1, 3)) AS word_idx FROM rs JOIN dw USING (doc_id)),
+ps AS (SELECT *, w[word_idx + 1:least(word_idx + 3, coalesce(stop + 1, len(w)))] AS piece FROM bs)
+SELECT doc_id, word_idx, coalesce(word_idx = stop, FALSE) AS is_stop, round(CASE WHEN word_idx = stop THEN 5.0::DOUBLE WHEN run > 0 AND word_idx = s THEN 0.6::DOUBLE
+  ELSE list_max(list_transform(piece, lambda word: 60.0::DOUBLE / 300 * {FACTOR})) * (1 + {P.CHUNK_STRETCH}::DOUBLE * (len(piece) - 1)) END, 6) AS delay FROM ps
+""")
 def p8n(spark, sf):
     return pacing.pause_plan(_pause_docs(spark, sf), size=3, enabled={"code": True}).withColumn(
         "delay", F.round("delay", 6))

@@ -268,10 +268,10 @@ def q8(spark, sf):
 
 
 @query("q9_hit_states", f"""
-WITH {HITS}, h AS (SELECT doc_id, word_idx, word_idx = min(word_idx) OVER (PARTITION BY doc_id) AS first
-  FROM tok WHERE contains(lower(word), 'tion'))
-SELECT doc_id, word_idx, CASE WHEN first THEN 'active' WHEN h.word_idx IS NOT NULL THEN 'hit' ELSE 'none' END AS state
-FROM tok LEFT JOIN h USING (doc_id, word_idx)
+WITH h AS (SELECT doc_id, list_transform(regexp_extract_all(text, {PAT}, 0), lambda w: contains(lower(w), 'tion')) AS h FROM documents),
+a AS (SELECT doc_id, h, coalesce(list_position(h, TRUE), 0) - 1 AS first FROM h),
+u AS (SELECT doc_id, first, unnest(range(len(h))) AS word_idx, unnest(h) AS hit FROM a)
+SELECT doc_id, word_idx, CASE WHEN word_idx = first THEN 'active' WHEN hit THEN 'hit' ELSE 'none' END AS state FROM u
 """)
 def q9(spark, sf):
     return S.hit_states(table(spark, sf, "documents"), "Tion")

@@ -15,6 +15,7 @@ def build_session(app: str = "textpace", cpus: int | None = None) -> SparkSessio
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.textpace.scanTasks", str(n))
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
