@@ -285,7 +285,24 @@ def l25s(spark, sf):
     return L.nearest_words(rects, page_words(lines)).select("rect_id", "word_idx")
 
 
-@query("l26_styled_markdown")
+# Neighbouring single marks are joined twice, as one pass of this pattern skips every other place.
+SINGLE = "regexp_replace({x}, '(^|[^*])[*] [*]($|[^*])', '\\1 \\2', 'g')"
+
+
+@query("l26_styled_markdown", f"""
+WITH {LAYOUT}, rn AS (SELECT doc_id, page::BIGINT * 4294967296 + para_idx AS block_idx, ord AS line_idx, unnest([0, 1, 2]) AS run_idx,
+    unnest([substr(text, 1, c), substr(text, c + 1, c), substr(text, 2 * c + 1)]) AS t FROM (SELECT *, len(text) // 3 AS c FROM cl)),
+mk AS (SELECT *, CASE (line_idx + run_idx) % 5 WHEN 1 THEN '**' WHEN 2 THEN '*' WHEN 3 THEN '***' ELSE '' END AS m FROM rn),
+nw AS (SELECT *, CASE WHEN m = lag(m) OVER (PARTITION BY doc_id, block_idx, line_idx ORDER BY run_idx) THEN 0 ELSE 1 END AS new FROM mk),
+sp AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, block_idx, line_idx ORDER BY run_idx) AS span FROM nw),
+ag AS (SELECT doc_id, block_idx, line_idx, span, m, string_agg(t, '' ORDER BY run_idx) AS t FROM sp GROUP BY ALL),
+wr AS (SELECT *, CASE WHEN m = '' OR {TRIM.format(x='t')} = '' THEN t ELSE regexp_extract(t, '^\\s*') || m || {TRIM.format(x='t')} || m || regexp_extract(t, '\\s*$') END AS x FROM ag),
+li AS (SELECT doc_id, block_idx, line_idx, {TRIM.format(x="string_agg(x, '' ORDER BY span)")} AS s, bool_or(m <> '') AS styled FROM wr GROUP BY ALL),
+jo AS (SELECT doc_id, block_idx, bool_or(styled) AS styled,
+  coalesce(replace(replace(string_agg(s, chr(1) ORDER BY line_idx) FILTER (WHERE s <> ''), '-' || chr(1), ''), chr(1), ' '), '') AS j FROM li GROUP BY ALL),
+mg AS (SELECT doc_id, block_idx, replace(replace(replace(replace(j, '*** ***', ' '), '******', ''), '** **', ' '), '****', '') AS j FROM jo WHERE styled)
+SELECT doc_id, block_idx, {SINGLE.format(x=SINGLE.format(x='j'))} AS markdown FROM mg
+""")
 def l26(spark, sf):
     lines = L.cluster_paragraphs(layout_lines(spark, sf))
     n = F.length("text")
