@@ -39,7 +39,8 @@ def test_live_daily_activity(spark, tmp_path):
     assert spark.read.parquet(out).select("batch").distinct().count() > 1
 
 
-def test_live_streaks(spark, tmp_path):
+def test_live_streaks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live, "COMPACT_EVERY", 2)
     as_of = dt.date(2024, 1, 14)
     out = live.live_streaks(sessions_from(stream(spark, tmp_path)), str(tmp_path / "st"), as_of)
     got = spark.read.parquet(out).groupBy("user_id").agg(

@@ -317,16 +317,14 @@ ABBR = r"^\*\[([^\]]+)\]:[ \t]+(.+)$"
 def abbreviations(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Uses of defined abbreviations outside code, in order, with their expansion."""
     fence = r"^[ \t]*(`{3,}|~{3,})"
-    # A fence count per line is only needed where the text has a fence and a definition.
+    # Fences are counted at definitions only, from the few places where fences are.
     flagged = F.transform(F.split("text", "\n"), lambda l: F.struct(
         l.alias("line"), l.rlike(ABBR).alias("d"), l.rlike(fence).alias("f")))
-    marked = W.let(flagged, lambda ls: F.when(
-        F.exists(ls, lambda x: x["f"]),
-        F.transform(ls, lambda x, i: F.struct(
-            x["line"].alias("line"),
-            (x["d"] & (F.size(F.filter(F.slice(ls, 1, i + 1), lambda y: y["f"])) % 2 == 0)).alias("d"),
-            x["f"].alias("f"))),
-    ).otherwise(ls))
+    at = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(x["f"], i)), lambda i: i.isNotNull())
+    marked = W.let(flagged, lambda ls: W.let(at(ls), lambda fences: F.transform(ls, lambda x, i: F.struct(
+        x["line"].alias("line"),
+        (x["d"] & (F.size(F.filter(fences, lambda f: f <= i)) % 2 == 0)).alias("d"),
+        x["f"].alias("f")))))
     has_def = docs.where(F.col("text").rlike("(?m)" + ABBR)).select(key, marked.alias("ls"))
     defs = F.transform(
         F.filter("ls", lambda x: x["d"]),
@@ -398,18 +396,13 @@ def definition_lists(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     folded = docs.select(key, F.split("text", "\n").alias("lines"),
                          F.aggregate(cls, zero, step, lambda s: s["rows"]).alias("rows"))
     texts = F.transform("rows", lambda r: F.struct(
-        r["term"].alias("term"), r["def"].alias("def"), r["line"].alias("line"),
+        r["term"].alias("term_line"), r["def"].alias("def_line"), r["line"].alias("line"),
+        W.trim_space(F.element_at("lines", r["term"] + 1)).alias("term"),
         F.when(r["def"] == r["line"],
                F.regexp_extract(F.element_at("lines", r["line"] + 1), DEF, 1))
         .otherwise(W.trim_space(F.element_at("lines", r["line"] + 1))).alias("s")))
-    per_def = W.let(texts, lambda ts: F.transform(
-        F.array_distinct(F.transform("rows", lambda r: F.struct(r["term"].alias("term"), r["def"].alias("def")))),
-        lambda d: F.struct(
-            d["term"].alias("term_line"), d["def"].alias("def_line"),
-            W.trim_space(F.element_at("lines", d["term"] + 1)).alias("term"),
-            F.array_join(F.transform(F.filter(ts, lambda t: t["def"] == d["def"]), lambda t: t["s"]), " ")
-            .alias("definition"))))
-    return folded.select(key, F.explode(per_def).alias("d")).select(key, "d.*")
+    return folded.select(key, F.explode(texts).alias("r")).select(key, "r.*").groupBy(key, "term_line", "def_line", "term").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "s"))), lambda t: t["s"]), " ").alias("definition"))
 
 
 NOTE_DEF = r"^\[\^([^\]\n]+)\]:[ \t]*(.*)$"

@@ -147,13 +147,15 @@ def xhtml_blocks(files: DataFrame, keys: list[str]) -> DataFrame:
 def anchor_offsets(files: DataFrame, keys: list[str]) -> DataFrame:
     """First position of every id in a file, in words: finished blocks plus the open one so far."""
     toks = _segments(files, keys)
-    seg_before = Window.partitionBy("_k", "seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    part = F.array_join(F.collect_list(F.when(F.col("tag").isNull() & (F.col("ud") == 0), F.col("tok"))).over(seg_before), "")
-    ids = toks.select(
-        "_k", "seg", "pos",
-        F.when(F.col("tag").isNotNull() & ~F.col("is_close"), H.attr(F.col("tok"), "id")).alias("anchor"),
-        part.alias("part")).where("anchor <> ''").select(
-        "_k", "seg", "anchor", "pos", W.word_count(H.decode_entities(F.col("part"))).alias("inside"))
+    # A segment's text is gathered once and cut at its few anchors.
+    anchor = F.nullif(F.when(F.col("tag").isNotNull() & ~F.col("is_close"), H.attr(F.col("tok"), "id")), F.lit(""))
+    shown = F.col("tag").isNull() & (F.col("ud") == 0)
+    part = F.array_join(F.transform(F.filter("texts", lambda t: t["pos"] < F.col("a.pos")), lambda t: t["tok"]), "")
+    ids = toks.groupBy("_k", "seg").agg(
+        F.sort_array(F.collect_list(F.when(shown, F.struct("pos", "tok")))).alias("texts"),
+        F.collect_list(F.when(anchor.isNotNull(), F.struct("pos", anchor.alias("anchor")))).alias("anchors"),
+    ).select("_k", "seg", "texts", F.explode("anchors").alias("a")).select(
+        "_k", "seg", "a.anchor", "a.pos", W.word_count(H.decode_entities(part)).alias("inside"))
     first = ids.groupBy("_k", "anchor").agg(F.min_by(F.struct("seg", "inside"), "pos").alias("f"))
     words = xhtml_blocks(files, keys).select(F.struct(*keys).alias("_k"), "seg", "n_words")
     marks = words.select("_k", "seg", F.lit(1).alias("o"), "n_words", F.lit(None).cast("string").alias("anchor")).unionByName(

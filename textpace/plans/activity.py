@@ -286,7 +286,10 @@ def snk2(spark, sf):
 # --- streaming ---------------------------------------------------------------------------------
 
 def _events(spark, sf):
-    return live.read_events(spark, sf, "events.parquet")
+    """Events as four files, so that each query sees several batches."""
+    folder = shared_dir(spark, "event-files")
+    table(spark, sf, "events").repartitionByRange(4, "ts", "event_id").write.parquet(folder)
+    return live.read_events(spark, folder, "*.parquet")
 
 
 @query("st1_live_daily_activity", f"WITH {DAILY} SELECT user_id, day::VARCHAR AS day, round(minutes, 6) AS minutes, sessions FROM daily")

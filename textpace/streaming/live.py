@@ -15,6 +15,7 @@ from textpace.operators import sessions as S
 
 # Sessions may be recorded for any date, so late rows are accepted for a long time.
 LATENESS = "3650 days"
+COMPACT_EVERY = 16
 
 
 def read_events(spark: SparkSession, folder: str, glob: str, files_per_batch: int = 1) -> DataFrame:
@@ -81,14 +82,24 @@ def live_streaks(sessions: DataFrame, folder: str, as_of: dt.date) -> str:
     """Streaks of the users touched by each batch; a longest streak never falls.
 
     A batch adds one row per user and day to a daily table, then streaks of its users are
-    recomputed from that table.
+    recomputed from that table. Every ``COMPACT_EVERY`` batches the table is summed into one, so a
+    batch reads at most that many small tables and one large one.
     """
     spark = sessions.sparkSession
     days = f"{folder}/days"
 
     def each(batch: DataFrame, number: int) -> DataFrame:
+        def summed(first: int, last: int) -> DataFrame:
+            parts = [f"{days}/batch={i}" for i in range(first, last)] + ([f"{days}/upto={first}"] if first else [])
+            return spark.read.parquet(*parts)
+
+        base = number - number % COMPACT_EVERY
+        if number and number == base:
+            summed(base - COMPACT_EVERY, base).groupBy("user_id", "day").agg(
+                F.sum("minutes").alias("minutes"), F.sum("sessions").alias("sessions")
+            ).write.mode("overwrite").parquet(f"{days}/upto={base}")
         S.daily(batch).write.mode("overwrite").parquet(f"{days}/batch={number}")
-        known = spark.read.parquet(days).where(F.col("batch") <= number)
+        known = summed(base, number + 1)
         touched = batch.select("user_id").distinct()
         merged = known.join(touched, "user_id", "left_semi").groupBy("user_id", "day").agg(
             F.sum("minutes").alias("minutes"), F.sum("sessions").alias("sessions"))
