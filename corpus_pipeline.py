@@ -12,10 +12,15 @@ from textpace.llm import decontamination, langid, mixing, privacy, shingle_join
 from textpace.llm.common import scan, staged
 
 
+# A text shorter than this is too little evidence to reject it as ambiguous.
+JUDGED_CHARS = 200
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled rows teach; undetermined and ambiguous ones go."""
+    """Documents in a language that the labelled rows teach; undetermined and long ambiguous ones go."""
     known = langid.predict(docs, langid.fit(docs))
-    return known.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    mixed = F.col("ambiguous") & (F.length("text") >= JUDGED_CHARS)
+    return known.where((F.col("lang_pred") != langid.UNKNOWN) & ~mixed).select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
