@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from textpace.llm.common import chunks
 
 # Edits allowed for each byte of an item.
-EDIT_RATE = 0.05
+EDIT_RATE = 0.08
 MIN_BYTES = 32
 # Items are taken in blocks of about this much text, so what tasks hold stays bounded.
 BLOCK_BYTES = 8 << 20
