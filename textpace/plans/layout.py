@@ -8,7 +8,6 @@ from textpace.functions import words as W
 from textpace.operators import layout as L
 from textpace.plans.inputs_sql import LAYOUT
 from textpace.plans.registry import query, sql_text
-from textpace.session import materialize
 from textpace.sources.derived import layout_chars, layout_lines, ocr_observations, page_words, wide_ordinal
 from textpace.sources.tables import table
 
@@ -111,9 +110,19 @@ def l12(spark, sf):
     return _blocks(spark, sf).select("doc_id", "page", "para_idx", kind.alias("type"), level.alias("level"))
 
 
-@query("l13_cross_page_merge")
+@query("l13_cross_page_merge", rf"""
+WITH RECURSIVE {LAYOUT.strip()}, {COLS}, {TYPED}, sq AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, order_idx) AS k FROM nz),
+lk AS MATERIALIZED (SELECT doc_id, k, page, order_idx, type, text, coalesce(type = 'paragraph' AND lag(type) OVER w = 'paragraph'
+  AND right(lag(text) OVER w, 1) NOT IN ('.', '!', '?', ':', ';') AND regexp_matches(text, '^\p{{Ll}}'), FALSE) AS link FROM sq WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+un AS (SELECT doc_id, k, page AS up, order_idx AS uo FROM lk WHERE k = 1
+  UNION ALL SELECT lk.doc_id, lk.k, CASE WHEN link AND lk.page = up + 1 THEN up ELSE lk.page END, CASE WHEN link AND lk.page = up + 1 THEN uo ELSE lk.order_idx END
+  FROM un JOIN lk ON lk.doc_id = un.doc_id AND lk.k = un.k + 1)
+SELECT doc_id, up AS page, uo AS order_idx, arg_min(type, k) AS type,
+  replace(replace(string_agg(text, chr(1) ORDER BY k), '-' || chr(1), ''), chr(1), ' ') AS text, count(*) AS n_parts
+FROM un JOIN lk USING (doc_id, k) GROUP BY doc_id, up, uo
+""")
 def l13(spark, sf):
-    return L.merge_across_pages(materialize(_clean(spark, sf), "clean-blocks"))
+    return L.merge_across_pages(_clean(spark, sf))
 
 
 BODY = """bf AS (SELECT doc_id, page, arg_max(font_size, n * 1000 - font_size) AS body_size FROM (SELECT doc_id, page, font_size, count(*) AS n FROM layout GROUP BY ALL) GROUP BY doc_id, page)"""
@@ -229,7 +238,25 @@ def _page_words(spark, sf):
     return words, boxes.withColumnRenamed("word_idx", "box_idx")
 
 
-@query("l23_ocr_word_alignment")
+# The check's distance counts bytes, so letters of two bytes become capitals, which lower case leaves free.
+CLEANED = r"translate(regexp_replace(lower({x}), '^\p{{P}}+|\p{{P}}+$', '', 'g'), 'áçèéêíóñäöüßúàâîôû', 'ABCDEFGHIJKLMNOPQR')"
+
+
+@query("l23_ocr_word_alignment", f"""
+WITH RECURSIVE {LAYOUT.strip()}, wb AS (SELECT doc_id, page, line_idx::BIGINT * 4294967296 + k AS seq, word FROM
+  (SELECT *, unnest(w) AS word, unnest(range(len(w))) AS k FROM (SELECT *, string_split(text, ' ') AS w FROM layout)) WHERE word <> ''),
+ws AS MATERIALIZED (SELECT doc_id, page, seq, {CLEANED.format(x='word')} AS c, CASE WHEN len(word) <= 3 THEN 0.5::DOUBLE ELSE 0.7::DOUBLE END AS need,
+  row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS r FROM wb),
+bs AS MATERIALIZED (SELECT doc_id, page, list(struct_pack(i := seq, c := {CLEANED.format(x="CASE WHEN seq % 7 = 3 THEN word || 'x' ELSE word END")}) ORDER BY seq) AS b
+  FROM wb WHERE seq % 11 <> 5 GROUP BY doc_id, page),
+st AS (SELECT doc_id, page, 0::BIGINT AS r, 0::BIGINT AS seq, 0::BIGINT AS cur, NULL::BIGINT AS box FROM (SELECT DISTINCT doc_id, page FROM ws)
+  UNION ALL SELECT doc_id, page, r, seq, CASE WHEN m IS NULL THEN cur ELSE cur - m.k + 1 END, m.i FROM (
+    SELECT st.doc_id, st.page, ws.r, ws.seq, cur, list_sort(list_filter(list_transform(coalesce(b, [])[cur + 1:cur + 8], lambda x, j: struct_pack(
+        s := CASE WHEN x.c = '' OR ws.c = '' THEN 0::DOUBLE ELSE 1 - levenshtein(x.c, ws.c) / greatest(len(x.c), len(ws.c))::DOUBLE END, k := 1 - j, i := x.i)),
+      lambda q: q.s >= need AND q.s > 0), 'DESC')[1] AS m
+    FROM st JOIN ws ON ws.doc_id = st.doc_id AND ws.page = st.page AND ws.r = st.r + 1 LEFT JOIN bs ON bs.doc_id = st.doc_id AND bs.page = st.page))
+SELECT doc_id, page, seq, box AS box_idx FROM st WHERE r > 0
+""")
 def l23(spark, sf):
     words, boxes = _page_words(spark, sf)
     # Recognition drops some boxes and garbles others.

