@@ -300,19 +300,25 @@ def merge_across_pages(blocks: DataFrame) -> DataFrame:
         return F.coalesce((kind == "paragraph") & (prev["type"] == "paragraph")
                           & ~prev["end"].isin(".", "!", "?", ":", ";") & lower, F.lit(False))
 
-    inner = blocks.select("*", F.row_number().over(w).alias("_rn"), F.lag(tail).over(w).alias("_p")).withColumn(
+    # One exchange, with the same columns and null tests for both uses of these rows, so that what
+    # makes the blocks is worked out once.
+    needed = blocks.where(F.col("doc_id").isNotNull() & F.col("page").isNotNull()).select(
+        *PAGE, "order_idx", "type", "text").repartition(*PAGE)
+    inner = needed.select("*", F.row_number().over(w).alias("_rn"), F.lag(tail).over(w).alias("_p")).withColumn(
         "_link", (F.col("_rn") == 1) | continues(F.col("_p"), F.col("type"), F.col("text").rlike(r"^\p{Ll}")))
     pages = inner.groupBy(*PAGE).agg(
         F.min_by(head, "order_idx").alias("head"), F.max_by(F.struct("page", tail.alias("t")), "order_idx").alias("last"),
         F.min("_link").alias("all_link"))
-    bucket = span_bucket("page")
-    prior = running(pages, ["doc_id"], ["page"], bucket, lasts={"before": F.col("last")})
+    # One small row a page: a document's pages are few enough for a plain window.
+    along = Window.partitionBy("doc_id").orderBy("page")
+    prior = pages.withColumn("before", F.lag("last").over(along))
     first_link = F.coalesce(
         (F.col("before.page") == F.col("page") - 1)
         & continues(F.col("before.t"), F.col("head.type"), F.col("head.lower")), F.lit(False))
     linked = prior.select(*PAGE, first_link.alias("first_link"), (first_link & F.col("all_link")).alias("turns"),
                           F.col("before.t.order_idx").alias("into"))
-    still = running(linked, ["doc_id"], ["page"], bucket, lasts={"z": F.when(~F.col("turns"), F.col("page"))})
+    still = linked.withColumn("z", F.last(F.when(~F.col("turns"), F.col("page")), ignorenulls=True).over(
+        along.rowsBetween(Window.unboundedPreceding, -1)))
     # An odd run of turning pages before this one means its predecessor was absorbed.
     takes = F.col("first_link") & ((F.col("page") - 1 - F.coalesce("z", F.col("page") - 1)) % 2 == 0)
     state = still.select(*PAGE, takes.alias("takes"), "into")
