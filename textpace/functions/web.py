@@ -21,6 +21,7 @@ LOGIN_PATHS = ("/login", "/signin", "/sign-in", "/sign_in", "/auth/", "/sso/", "
 LOGIN_QUERIES = ("next=", "redirect=", "return_to=")
 TEXT_TYPES = ("application/xhtml+xml", "application/xml", "application/json", "application/ld+json",
               "application/rss+xml", "application/atom+xml")
+ADDRESS = r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"
 # --- end of fixed values ---
 
 MARKUP = r"<!--(?s:.*?)-->|<[^>]+>|[^<]+"
@@ -103,7 +104,7 @@ def validate_url(text: Column) -> Column:
         .when(scheme == "file", "local_file")
         .when(~scheme.isin("http", "https"), "unsupported_scheme")
         .when(h == "", "missing_host")
-        .when(h.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), "ip_address")
+        .when(h.rlike(ADDRESS), "ip_address")
         .when(h == "localhost", "local_file")
         .when(~F.contains(h, F.lit(".")), "invalid_format")
         .when(F.contains(h, F.lit("..")), "suspicious")

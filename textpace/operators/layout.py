@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from textpace.functions import words as W
 from textpace.operators.blocks import word_offsets
-from textpace.operators.ordered import running, span_bucket
 
 # --- fixed values ---
 COLUMN_GAP = 0.10
@@ -27,6 +26,10 @@ CAPTION = r"^(fig(ure)?|рис(унок)?|table|таблица|scheme|схема
 FOOTNOTE = r"^[\d\*†‡§¶]+[\s\.\)]"
 CLICK_LIMIT = 30.0
 WIDEST_WORD = 0.5
+PAGE_NUMBERS = (r"^\p{N}*$", r"^-?\s*\d+\s*-?$")
+NAMED_PAGE = r"^(page\s*)?\d+(\s*(of|/)\s*\d+)?$"
+ROMAN = r"^[ivxlcdm]+$"
+MARKER_PAIRS = (("*** ***", " "), ("******", ""), ("** **", " "), ("****", ""))
 # --- end of fixed values ---
 
 PAGE = ["doc_id", "page"]
@@ -190,8 +193,8 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 def is_page_number(text: Column) -> Column:
     t, low = W.trim_space(text), F.lower(W.trim_space(text))
     return (F.length(t) <= 10) & (
-        t.rlike(r"^\p{N}*$") | t.rlike(r"^-?\s*\d+\s*-?$") | low.rlike(r"^(page\s*)?\d+(\s*(of|/)\s*\d+)?$")
-        | (low.rlike(r"^[ivxlcdm]+$") & (F.length(t) <= 6)))
+        t.rlike(PAGE_NUMBERS[0]) | t.rlike(PAGE_NUMBERS[1]) | low.rlike(NAMED_PAGE)
+        | (low.rlike(ROMAN) & (F.length(t) <= 6)))
 
 
 def is_caption(text: Column) -> Column:
@@ -645,7 +648,7 @@ def styled_markdown(runs: DataFrame) -> DataFrame:
         F.max(F.col("m") != "").alias("styled"))
     text = F.array_join(F.filter(F.transform(F.sort_array(F.collect_list(F.struct("line_idx", "s"))), lambda r: r["s"]), lambda x: x != ""), "\u0001")
     joined = F.replace(F.replace(text, F.lit("-\u0001"), F.lit("")), F.lit("\u0001"), F.lit(" "))
-    for a, b in (("*** ***", " "), ("******", ""), ("** **", " "), ("****", "")):
+    for a, b in MARKER_PAIRS:
         joined = F.replace(joined, F.lit(a), F.lit(b))
     merged = F.regexp_replace(joined, r"(?<!\*)\*(?!\*) \*(?!\*)", " ")
     return lines.groupBy("doc_id", "block_idx").agg(F.max("styled").alias("styled"), merged.alias("markdown")).where(

@@ -12,7 +12,12 @@ from textpace.functions import markdown as M
 from textpace.functions import words as W
 from textpace.operators.ordered import by_key
 
+# --- fixed values: line patterns ---
 FENCE = r"^(```|~~~)"
+ABBR = r"^\*\[([^\]]+)\]:[ \t]+(.+)$"
+DEF = r"^[ ]{0,3}:[ \t]+(.+)$"
+NOTE_DEF = r"^\[\^([^\]\n]+)\]:[ \t]*(.*)$"
+# --- end of fixed values ---
 
 
 def scan_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -311,9 +316,6 @@ def formulas(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-ABBR = r"^\*\[([^\]]+)\]:[ \t]+(.+)$"
-
-
 def abbreviations(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Uses of defined abbreviations outside code, in order, with their expansion."""
     fence = r"^[ \t]*(`{3,}|~{3,})"
@@ -348,9 +350,6 @@ def abbreviations(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-DEF = r"^[ ]{0,3}:[ \t]+(.+)$"
-
-
 def definition_lists(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Terms and their definitions; unindented lines right after a definition continue it.
 
@@ -405,9 +404,6 @@ def definition_lists(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "s"))), lambda t: t["s"]), " ").alias("definition"))
 
 
-NOTE_DEF = r"^\[\^([^\]\n]+)\]:[ \t]*(.*)$"
-
-
 def footnotes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Footnote references that have a definition, numbered by first use; repeats allowed."""
     lines = F.split("text", "\n")
