@@ -265,7 +265,31 @@ def l23(spark, sf):
     return L.align_words(words, noisy)
 
 
-@query("l24_text_word_locations")
+# Distance in reading order from the last located word p to box x, halved along the line of the last words r.
+READING_DISTANCE = """(CASE WHEN abs(p.y - x.my) < greatest(p.h, x.h, 10)
+    THEN CASE WHEN x.mx > p.x THEN 1 + (x.mx - p.x) * 0.02::DOUBLE ELSE 100 + abs(x.mx - p.x) END
+    ELSE CASE WHEN p.y > x.my THEN 50 + (p.y - x.my) + abs(x.mx - p.x) * 0.1::DOUBLE ELSE 200 + abs(p.y - x.my) * 5 + abs(x.mx - p.x) END END
+  * CASE WHEN len(r) > 1 AND abs(p.y - r[-2].y) < greatest(p.h, 10) AND abs(x.my - mean) < greatest(p.h, 10) AND x.mx > p.x THEN 0.5::DOUBLE ELSE 1 END)"""
+
+
+@query("l24_text_word_locations", rf"""
+WITH RECURSIVE {LAYOUT.strip()}, wb AS (SELECT doc_id, page, line_idx::BIGINT * 4294967296 + k AS seq, word, x_min + k * 40 AS x, y_min AS y FROM
+  (SELECT *, unnest(w) AS word, unnest(range(len(w))) AS k FROM (SELECT *, string_split(text, ' ') AS w FROM layout)) WHERE word <> ''),
+ws AS MATERIALIZED (SELECT doc_id, page, seq, row_number() OVER (PARTITION BY doc_id, page ORDER BY seq) AS n,
+  regexp_replace(regexp_replace(lower(word), '^\p{{P}}+|\p{{P}}+$', '', 'g'), '^[$€£¥₹₽¢%]+|[$€£¥₹₽¢%]+$', '', 'g') AS w FROM wb),
+cn AS (SELECT v.doc_id, v.page, w, list(struct_pack(i := seq, mx := (x + 17.5)::DOUBLE, my := (y + 6)::DOUBLE, h := 12::DOUBLE) ORDER BY seq) AS b
+  FROM (SELECT DISTINCT doc_id, page, w FROM ws WHERE w <> '') v JOIN wb ON wb.doc_id = v.doc_id AND wb.page = v.page AND contains(lower(wb.word), w) GROUP BY ALL),
+wc AS MATERIALIZED (SELECT ws.doc_id, ws.page, n, seq, coalesce(b, []) AS b FROM ws LEFT JOIN cn ON cn.doc_id = ws.doc_id AND cn.page = ws.page AND cn.w = ws.w),
+st AS (SELECT doc_id, page, 0::BIGINT AS n, 0::BIGINT AS seq, []::BIGINT[] AS used, []::STRUCT(x DOUBLE, y DOUBLE, h DOUBLE)[] AS r, NULL::BIGINT AS box FROM (SELECT DISTINCT doc_id, page FROM ws)
+  UNION ALL SELECT doc_id, page, n, seq, CASE WHEN m IS NULL THEN used ELSE list_append(used, m.i) END,
+    CASE WHEN m IS NULL THEN r ELSE list_append(r, struct_pack(x := m.mx, y := m.my, h := m.h))[-3:] END, m.i FROM (
+    SELECT *, list_sort(CASE WHEN len(r) = 0 THEN list_transform(list_filter(c, lambda x: top - x.my < greatest(x.h, 10)), lambda x: struct_pack(d := x.mx, i := x.i, mx := x.mx, my := x.my, h := x.h))
+      ELSE list_transform(c, lambda x: struct_pack(d := {READING_DISTANCE}, i := x.i, mx := x.mx, my := x.my, h := x.h)) END)[1] AS m FROM (
+      SELECT *, r[-1] AS p, list_avg(list_transform(r, lambda q: q.y)) AS mean, list_max(list_transform(c, lambda x: x.my)) AS top FROM (
+        SELECT st.doc_id, st.page, wc.n, wc.seq, used, r, list_filter(b, lambda x: NOT list_contains(used, x.i)) AS c
+        FROM st JOIN wc ON wc.doc_id = st.doc_id AND wc.page = st.page AND wc.n = st.n + 1))))
+SELECT doc_id, page, seq, box AS box_idx FROM st WHERE n > 0
+""")
 def l24(spark, sf):
     return L.locate_words(*_page_words(spark, sf))
 
