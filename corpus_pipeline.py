@@ -14,6 +14,9 @@ from textpace.llm.common import scan, staged
 
 # A text shorter than this is too little evidence to reject it as ambiguous.
 JUDGED_CHARS = 200
+# Words of a shingle, and the similarity in hundredths from which documents are near copies.
+NEAR_WORDS = 5
+NEAR_SIMILAR = 80
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +28,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of similar ones."""
-    return shingle_join.representatives(docs)
+    return shingle_join.representatives(docs, NEAR_SIMILAR, NEAR_WORDS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

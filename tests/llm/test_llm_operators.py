@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import corpus_pipeline
 import llm_cases as cases
 import numpy as np
 import pytest
@@ -358,6 +359,37 @@ def test_one_row_of_each_group_stays(spark, docs, empty):
     assert shingle_join.representatives(empty).count() == 0
 
 
+@pytest.mark.parametrize("how", [{}, {"bucket_bytes": 600, "tree_sets": 3}])
+def test_shingles_of_five_words(spark, how):
+    rows = [(i, t) for i, t, _, _ in cases.RAW] + noisy(3, 150)
+    got = shingle_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 80, 5, **how).collect()
+
+    def shingles(text):
+        w = cases.words(cases.lowered(text))
+        return {tuple(w[k:k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+    sets, root = [shingles(t) for _, t in rows], {i: i for i in range(len(rows))}
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                old, new = root[a], root[b]
+                root.update({k: new for k, v in root.items() if v == old})
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root[k]] = min(i, least.get(root[k], i))
+    want = Counter((i, len(sets[k]), least.get(root[k]) if sets[k] else i) for k, (i, _) in enumerate(rows))
+    assert Counter(map(tuple, got)) == want
+
+
+def test_pipeline_links_copies_with_one_word_replaced(spark):
+    text = [f"w{i}" for i in range(54)]
+    table = cases.docs(spark, [(1, " ".join(text), "en", "a"), (2, " ".join([*text[:27], "other", *text[28:]]), "en", "a"),
+                               (3, " ".join([*text[:18], "x", *text[19:36], "y", *text[37:]]), "en", "a")])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.distinct(spark, table, "").collect()) == [1, 3]
+    assert shingle_join.representatives(table).count() == 3
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7)]
