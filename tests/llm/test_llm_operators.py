@@ -429,3 +429,26 @@ def test_html(spark):
         assert text[i] == f"Head <{i}>\n\nFirst bold line\n\nSecond {i}\n\nOne\n\nTwo" == text[10 + i]
     assert text[20] == text[21] == "" and text[22] == "just text & more" and text[23] == "open tags"
     assert html_templates.extract(table.limit(0)).count() == 0
+
+
+def read_pages(spark, sources):
+    table = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(sources)], "page_id long, url string, html string")
+    return [r["text"] for r in html_templates.extract(table).orderBy("page_id").collect()]
+
+
+def test_html_outside_the_largest_region(spark):
+    """Titles, leads and stories beside one large or one named element stay; text that never changes goes."""
+    bodies = [
+        "<h1>Title {i}</h1><p>Intro {i}</p><div class=text><p>" + "Long story {i}. " * 20 + "</p></div><div class=fixed>Same line</div>",
+        "<main><p>The story {i}</p></main><article>Teaser {i}</article>",
+        "<main><h1>Head {i}</h1><p>Lead {i}</p><article><p>Body {i}</p></article></main>",
+    ]
+    want = ["Title {i}\n\nIntro {i}\n\n" + " ".join(["Long story {i}."] * 20), "The story {i}\n\nTeaser {i}",
+            "Head {i}\n\nLead {i}\n\nBody {i}"]
+    got = read_pages(spark, [(f"http://h{k}.example/{i}", f"<html><body>{b.format(i=i)}</body></html>")
+                             for k, b in enumerate(bodies) for i in range(4)])
+    assert got == [w.format(i=i) for w in want for i in range(4)]
+    alone = read_pages(spark, [("http://one.example/", "<body><h1>Title</h1><article>Teaser</article><p>Story</p></body>")])
+    assert alone == ["Title\n\nTeaser\n\nStory"]
+    copies = read_pages(spark, [("http://same.example/", "<body><h1>Title</h1><div><p>Story</p></div></body>")] * 4)
+    assert copies == ["Title\n\nStory"] * 4

@@ -3,12 +3,11 @@
 Pages of one host share a template. Every page is read as a sequence of tag tokens, each
 named by its element path, and of text blocks. Over the pages of a host, tokens with equal
 occurrence vectors (the same number of times on the same pages) form equivalence classes.
-A large class whose tokens stand once on each of its pages, in the same order everywhere,
-is valid and is part of the template; classes nest by the element paths that hold them. The
-template is the union of the valid classes; blocks of text that stand unchanged on most
-pages of the host belong to it too. What is left between the tokens are slots. The main
-text is the slot region that varies from page to page and holds most text, without regions
-that their element, role or class name marks as furniture.
+A large class whose tokens stand once on each of its pages is valid and is part of the
+template; the order of its tokens is not checked, and classes are not nested. Text that an
+element of the template holds unchanged on all its pages belongs to the template too, unless
+an element around it (not the body) has text of its own that varies. The main text is all other text in page order, without regions that their element, role or
+class name marks as furniture. A page that is nothing but constant text keeps it.
 
 Occurrence vectors are never gathered whole: each token's vector is represented by a sum of
 page hashes, weighted by its count on the page, so equal sums over all pages of the host
@@ -39,8 +38,6 @@ SUPPORT = 0.5
 # Tokens that a valid class has at least, and pages that make a constant region constant.
 CLASS_TOKENS = 2
 CONSTANT_PAGES = 3
-# Share of a host's text that the main region holds where no element names it.
-MAIN_SHARE = 0.6
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>", re.S)
 ATTRIBUTE = re.compile(r"([\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -156,14 +153,6 @@ class Page:
             self.leaf = False
 
 
-def _below(path: str, region: str) -> bool:
-    return path == region or path.startswith(region + ">")
-
-
-def _last_tag(path: str) -> str:
-    return path.rsplit(">", 1)[-1].split(".")[0]
-
-
 def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: for each host and token, the pages it is on, its occurrences, its vector's sums and its text."""
     found: dict[tuple[str, str], list[int]] = {}
@@ -206,27 +195,23 @@ def hash_text(text: str) -> int:
 
 
 def deduce(table: pa.Table) -> pa.Table:
-    """For one host: the main region and the constant regions of its template.
+    """For one host: the regions of its template whose own text is the same on all their pages.
 
     The rows are tokens of valid classes with their class sizes; their number is bounded by
     the tokens of a page over ``SUPPORT``.
     """
     rows = table.to_pylist()
-    chars = {r["token"]: r["chars"] for r in rows}
-    under = {t: sum(n for p, n in chars.items() if not t or _below(p, t)) for t in chars}
-    named = sorted((t for t in chars if _last_tag(t) in ("article", "main") and under[t]),
-                   key=lambda t: (_last_tag(t) != "article", t.count(">"), t))
-    large = sorted((t for t in chars if under[t] >= MAIN_SHARE * max(under.get("", 0), 1)), key=lambda t: (-t.count(">"), t))
-    main = named[0] if named else large[0] if large else ""
-    constant = [r["token"] for r in rows
-                if r["chars"] and r["least"] == r["most"] and r["pages"] >= CONSTANT_PAGES
-                and not _below(r["token"], main) and not _below(main, r["token"])]
-    return pa.table({"_host": pa.array([rows[0]["host"]], pa.string()), "_main": pa.array([main], pa.string()),
+    # What stands inside an element with text that varies, such as a list in an article, is part of that text.
+    varying = [r["token"] + ">" for r in rows if r["chars"] and r["least"] != r["most"]
+               and r["token"].rsplit(">", 1)[-1].split(".")[0] not in ("", "html", "body")]
+    constant = [r["token"] for r in rows if r["chars"] and r["least"] == r["most"] and r["pages"] >= CONSTANT_PAGES
+                and not any(r["token"].startswith(v) for v in varying)]
+    return pa.table({"_host": pa.array([rows[0]["host"]], pa.string()),
                      "_constant": pa.array([sorted(constant)], pa.list_(pa.string()))})
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """A row per host (_host, _main, _constant), from pages (host, html)."""
+    """A row per host (_host, _constant), from pages (host, html)."""
     number = F.xxhash64(F.monotonically_increasing_id(), "html")
     tokens = pages.select("host", number, "html").mapInArrow(
         survey, "host string, token string, pages long, total long, low long, high long, chars long, least long, most long") \
@@ -239,38 +224,35 @@ def templates(pages: DataFrame) -> DataFrame:
     vector = ["host", "pages", "low", "high"]
     classes = once.groupBy(*vector).agg(F.count("*").alias("tokens")).where(F.col("tokens") >= CLASS_TOKENS)
     valid = once.join(classes, vector).select("host", "token", "pages", "chars", "least", "most")
-    return staged(valid.groupBy("host").applyInArrow(deduce, "_host string, _main string, _constant array<string>"), "html-templates")
+    return staged(valid.groupBy("host").applyInArrow(deduce, "_host string, _constant array<string>"), "html-templates")
 
 
-def main_text(source: str, main: str | None, constant: list[str] | None) -> str:
+def main_text(source: str, constant: list[str] | None) -> str:
     """The page's text under its host's template."""
     blocks = [(p, t) for p, t, furniture in Page(source).blocks if not furniture]
-    if main:
-        inside = [t for p, t in blocks if _below(p, main)]
-        if inside:
-            return "\n\n".join(inside)
-    own = [(p, t) for p, t in blocks if re.search(r">(article|main)(\.|>|$)", p)]
-    kept = own or [(p, t) for p, t in blocks if not any(_below(p, c) for c in constant or ())]
-    return "\n\n".join(t for _, t in kept)
+    same = set(constant or ())
+    # Only a region's own text is constant; regions inside it are judged by themselves.
+    varying = [t for p, t in blocks if p not in same]
+    return "\n\n".join(varying or [t for _, t in blocks])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Add text and n_chars to every row (url, html)."""
-    pages = without(pages, "text", "n_chars", "_host", "_main", "_constant")
+    pages = without(pages, "text", "n_chars", "_host", "_constant")
     host = host_and_path(F.col("url"))[0]
     source = F.coalesce("html", F.lit(""))
     found = templates(pages.select(host.alias("host"), source.alias("html")))
     joined = pages.withColumn("_own", host).join(found, F.col("_own") == F.col("_host"), "left") \
-        .select(*pages.columns, "_main", "_constant")
+        .select(*pages.columns, "_constant")
     schema = StructType(pages.schema.fields[:]).add("text", StringType()).add("n_chars", LongType())
 
     def run(batches):
         for batch in batches:
             names = batch.schema.names
-            values = [batch.column(names.index(c)).to_pylist() for c in ("html", "_main", "_constant")]
-            texts = [main_text(h or "", m, c) for h, m, c in zip(*values)]
+            values = [batch.column(names.index(c)).to_pylist() for c in ("html", "_constant")]
+            texts = [main_text(h or "", c) for h, c in zip(*values)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=schema.fieldNames())
 
     return joined.mapInArrow(run, schema)
