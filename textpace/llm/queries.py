@@ -7,7 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textpace.llm import decontamination, html_templates, langid, mixing, privacy, quality, scoring, shingle_join, suffix_dedup, url_templates
+from textpace.llm import (
+    decontamination, html_templates, langid, lexical_search, mixing, prefix_trie, privacy, quality, scoring, shingle_join,
+    suffix_dedup, toxicity, url_templates,
+)
 from textpace.llm.common import crc_mod, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +119,92 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_text")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_templates.extract(scan(spark, sf_dir, "pages")).drop("html")
+
+
+@query("op11_toxicity")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    docs = scan(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
+    labels = scan(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    model = toxicity.fit(docs.join(labels, "doc_id").select("text", "toxic"))
+    return toxicity.predict(docs, model).drop("text")
+
+
+@query("op12_lexical_search", """
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+        FROM documents
+    ), q AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+        FROM benchmark
+    ), size AS (
+        SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0
+    ), tf AS (
+        SELECT doc_id, term, count(*) AS tf, any_value(n) AS n
+        FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+        WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term
+    ), w AS (
+        SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+        FROM tf, size GROUP BY term
+    ), s AS (
+        SELECT item_id, doc_id,
+               sum(w * (1000000000 * tf // (1000 * tf + 8 * (100 - 90 + 90 * n * n_docs // n_terms))))::BIGINT AS score
+        FROM q JOIN tf USING (term) JOIN w USING (term), size GROUP BY item_id, doc_id
+    ), r AS (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "benchmark"))
+
+
+# The checksum goes through the digits of the id: each adds its code (a value of 0 or more), then
+# eight shifts follow (each a -1).
+@query("op13_prefix_trie", """
+    WITH t AS (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+                   left(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32)) - 1 AS i,
+               coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), c AS (
+        SELECT conv_id, conv_id - conv_id % 100 AS base, count(*) AS n,
+               xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+                       string_split(conv_id::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+                   lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END),
+                   4294967295::BIGINT) % 6 AS h
+        FROM t GROUP BY conv_id
+    ), lent AS (
+        SELECT c.*, least(h, coalesce((SELECT n FROM c b WHERE b.conv_id = c.base), 0)) AS lent FROM c
+    ), r AS (
+        SELECT c.conv_id, i + 1 AS pos, role, text FROM lent c JOIN t ON t.conv_id = c.base AND i < lent
+        UNION ALL
+        SELECT c.conv_id, i - h + lent + 1, role, text FROM lent c JOIN t USING (conv_id) WHERE i >= h
+    ), k AS (
+        SELECT conv_id, pos, length(text) AS chars, sha256(string_agg(sha256(length(role) || ':' || role || text), ','
+                   ORDER BY pos) OVER (PARTITION BY conv_id ORDER BY pos)) AS node FROM r
+        UNION ALL
+        SELECT conv_id, 0, 0, 'root' FROM c
+    ), p AS (
+        SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY pos) AS parent,
+               lead(node) OVER (PARTITION BY conv_id ORDER BY pos) IS NULL AS ends FROM k
+    ), n AS (
+        SELECT node, pos AS depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+               (count(*) - 1) * any_value(chars) AS saved,
+               sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+        FROM p GROUP BY node, pos
+    ), kids AS (
+        SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent
+    ), below AS (
+        SELECT p.node, sum((kids.node IS NULL)::BIGINT) AS n_leaves, sum(n.saved) AS saved_tokens
+        FROM n JOIN p ON p.conv_id = n.conv_id AND p.pos <= n.depth LEFT JOIN kids ON kids.node = n.node GROUP BY p.node
+    )
+    SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+           coalesce(n_children, 0)::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+           n.ends_sha256
+    FROM n JOIN below USING (node) LEFT JOIN kids ON kids.node = n.node LEFT JOIN n up ON up.node = n.parent
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rollup(scan(spark, sf_dir, "conversations"))
