@@ -221,10 +221,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP, query_bytes: int = Q
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     queries = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     size = queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(-(-size // query_bytes), 1)
+    part_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(-(-size // query_bytes), 1)))
+    # A long query makes parts that stay empty.
+    parts = sorted(r[0] for r in queries.select(part_of).distinct().collect()) or [0]
     out = shared_dir(spark, "ranking")
-    for part in range(parts):
-        asked = queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
+    for part in parts:
+        asked = queries.where(part_of == part).collect()
         split = [sorted(set(terms(r["text"].encode()))) for r in asked]
         vocabulary = {t: i for i, t in enumerate(sorted({t for one in split for t in one}))}
         wanted = [np.array([vocabulary[t] for t in one], np.int64) for one in split]
