@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from textpace.operators import blocks as B
 from textpace.operators import layout as L
-from textpace.operators.ordered import following, running, span_bucket
+from textpace.operators.ordered import following, running, scan, span_bucket
 
 
 def test_running_equals_window(spark):
@@ -30,6 +30,28 @@ def test_following_equals_lead(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
+def test_null_keys_and_ordinals_are_kept(spark):
+    rng = random.Random(4)
+    rows = [(k, j, i if i % 5 else None, rng.choice([None, 1, 2])) for k in ("a", None) for j in (None, 1) for i in range(1, 90)]
+    df = spark.createDataFrame(rows, "k STRING, j INT, i INT, v INT").withColumn("n", F.monotonically_increasing_id()).cache()
+    got = scan(df, ["k", "j"], ["i", "n"], span_bucket("i", 16), {"s": F.coalesce("v", F.lit(0))}, {"l": F.col("v")},
+               {"x": F.col("n")})
+    w = Window.partitionBy("k", "j").orderBy("i", "n")
+    back = w.rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("*", F.coalesce(F.sum(F.coalesce("v", F.lit(0))).over(back), F.lit(0)).alias("s"),
+                     F.last("v", ignorenulls=True).over(back).alias("l"), F.lead("n").over(w).alias("x"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_merge_keeps_blocks_without_document_or_page(spark):
+    rows = [(None, 1, 0, "paragraph", "No end"), (None, 2, 0, "paragraph", "of it."), (1, None, 0, "paragraph", "Alone"),
+            (1, 1, 0, "paragraph", "Whole."), (1, 2, 0, "heading", "Title")]
+    got = L.merge_across_pages(spark.createDataFrame(rows, "doc_id INT, page INT, order_idx INT, type STRING, text STRING"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        (None, 1, 0, "paragraph", "No end of it.", 2), (1, None, 0, "paragraph", "Alone", 1),
+        (1, 1, 0, "paragraph", "Whole.", 1), (1, 2, 0, "heading", "Title", 1)], key=str)
+
+
 def stack_parents(levels):
     stack, out = [], []
     for i, level in enumerate(levels):

@@ -295,7 +295,10 @@ def merge_across_pages(blocks: DataFrame) -> DataFrame:
     absorbed itself. Whether it was depends on the pages before only through the run of pages on which
     every block continues: the parity of that run. Pages, not blocks, are scanned.
     """
-    w = _page_window().orderBy("order_idx")
+    # A struct is never null itself and equals another with nulls in the same fields: rows without a
+    # document or page stay, and the join below adds no null test.
+    here = F.struct(*PAGE).alias("_here")
+    w = Window.partitionBy("_here").orderBy("order_idx")
     head = F.struct(F.col("type"), F.col("text").rlike(r"^\p{Ll}").alias("lower"))
     tail = F.struct("order_idx", "type", F.right("text", F.lit(1)).alias("end"))
 
@@ -303,13 +306,12 @@ def merge_across_pages(blocks: DataFrame) -> DataFrame:
         return F.coalesce((kind == "paragraph") & (prev["type"] == "paragraph")
                           & ~prev["end"].isin(".", "!", "?", ":", ";") & lower, F.lit(False))
 
-    # One exchange, with the same columns and null tests for both uses of these rows, so that what
-    # makes the blocks is worked out once.
-    needed = blocks.where(F.col("doc_id").isNotNull() & F.col("page").isNotNull()).select(
-        *PAGE, "order_idx", "type", "text").repartition(*PAGE)
+    # One exchange, with the same columns for both uses of these rows, so that what makes the blocks
+    # is worked out once.
+    needed = blocks.select(here, *PAGE, "order_idx", "type", "text").repartition("_here")
     inner = needed.select("*", F.row_number().over(w).alias("_rn"), F.lag(tail).over(w).alias("_p")).withColumn(
         "_link", (F.col("_rn") == 1) | continues(F.col("_p"), F.col("type"), F.col("text").rlike(r"^\p{Ll}")))
-    pages = inner.groupBy(*PAGE).agg(
+    pages = inner.groupBy("_here", *PAGE).agg(
         F.min_by(head, "order_idx").alias("head"), F.max_by(F.struct("page", tail.alias("t")), "order_idx").alias("last"),
         F.min("_link").alias("all_link"))
     # One small row a page: a document's pages are few enough for a plain window.
@@ -318,16 +320,16 @@ def merge_across_pages(blocks: DataFrame) -> DataFrame:
     first_link = F.coalesce(
         (F.col("before.page") == F.col("page") - 1)
         & continues(F.col("before.t"), F.col("head.type"), F.col("head.lower")), F.lit(False))
-    linked = prior.select(*PAGE, first_link.alias("first_link"), (first_link & F.col("all_link")).alias("turns"),
+    linked = prior.select("_here", *PAGE, first_link.alias("first_link"), (first_link & F.col("all_link")).alias("turns"),
                           F.col("before.t.order_idx").alias("into"))
     still = linked.withColumn("z", F.last(F.when(~F.col("turns"), F.col("page")), ignorenulls=True).over(
         along.rowsBetween(Window.unboundedPreceding, -1)))
     # An odd run of turning pages before this one means its predecessor was absorbed.
     takes = F.col("first_link") & ((F.col("page") - 1 - F.coalesce("z", F.col("page") - 1)) % 2 == 0)
-    state = still.select(*PAGE, takes.alias("takes"), "into")
+    state = still.select("_here", takes.alias("takes"), "into")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     absorbed = F.col("takes") & F.min("_link").over(upto)
-    marked = inner.join(state, PAGE).withColumn("_abs", absorbed)
+    marked = inner.join(state, "_here").withColumn("_abs", absorbed)
     unit_page = F.when(F.col("_abs"), F.col("page") - 1).otherwise(F.col("page"))
     unit_order = F.when(F.col("_abs"), F.col("into")).otherwise(F.col("order_idx"))
     keyed = marked.select("*", unit_page.alias("_up"), unit_order.alias("_uo"))

@@ -45,15 +45,15 @@ def scan(
     """Add running sums and last non-null values of the rows before (or up to) each row, and next values.
 
     ``bucket`` must not decrease along ``order`` within a key. All of it is one pass: the rows are
-    placed once by (key, bucket), and each bucket's last row holds its totals.
+    placed once by (key, bucket), and each bucket's last row holds its totals. Null keys are a key
+    of their own and a null bucket comes first, as in a plain window.
     """
     sums, lasts, nexts = sums or {}, lasts or {}, nexts or {}
-    b = "_bucket"
-    # The join below needs keys and buckets; said here, it reads the same in both branches.
-    rows = df.withColumn(b, bucket)
-    for name in [*keys, b]:
-        rows = rows.where(F.col(name).isNotNull())
-    here = Window.partitionBy(*keys, b).orderBy(*order)
+    b, place = "_bucket", "_place"
+    # A struct is never null itself and equals another with nulls in the same fields, so the join
+    # below keeps rows with null keys and adds no null test that would tell its branches apart.
+    rows = df.withColumn(place, F.struct(*keys, bucket.alias(b)))
+    here = Window.partitionBy(place).orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
     before = upto if inclusive else here.rowsBetween(Window.unboundedPreceding, -1)
     local = rows.select(
@@ -70,16 +70,16 @@ def scan(
     # exchange of its own and the input would be read twice.
     named = F.hash(*[f.name for f in rows.schema if not isinstance(f.dataType, MapType)]) >= -(1 << 31)
     spans = local.where(F.col("_end") & named)
-    earlier = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy(*keys).orderBy(b)
+    after = Window.partitionBy(*[F.col(place)[k] for k in keys]).orderBy(F.col(place)[b])
+    earlier = after.rowsBetween(Window.unboundedPreceding, -1)
     carry = spans.select(
-        *keys, b,
+        place,
         *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
         *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in lasts],
         *[F.lead(f"_t_{n}").over(after).alias(f"_c_{n}") for n in nexts],
     )
     zero = F.lit(0)
-    return local.join(carry, [*keys, b]).select(
+    return local.join(carry, place).select(
         *[F.col(c) for c in df.columns],
         *[(F.coalesce(F.col(f"_h_{n}"), zero) + F.coalesce(F.col(f"_c_{n}"), zero)).alias(n)
           for n in sums],
