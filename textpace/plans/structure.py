@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from textpace.functions import words as W
 from textpace.operators import blocks as B
 from textpace.operators import search as S
+from textpace.operators.search_index import WordIndex
 from textpace.plans.inputs_sql import CONV_BLOCKS, POSITIONS, RICH_BLOCKS
 from textpace.plans.registry import query, sql_text
 from textpace.sources.derived import conv_blocks, para_docs, positions, rich_blocks
+from textpace.session import shared_dir
 from textpace.sources.tables import table
 
 PAT = sql_text(W.WORD_PATTERN.replace("*+", "*"))
@@ -267,6 +269,28 @@ def q8(spark, sf):
     return S.match_totals(table(spark, sf, "documents"), TERMS)
 
 
+@query("q1_indexed_find_words", f"WITH {HITS} SELECT doc_id, query_id, word_idx, word FROM hits")
+def q1_indexed(spark, sf):
+    docs = table(spark, sf, "documents")
+    return WordIndex(spark, shared_dir(spark, "word-index")).add(docs).find(
+        spark.createDataFrame(list(enumerate(TERMS)), "query_id INT, text STRING"))
+
+
+# The words of the benchmark items, five letters or longer, are the queries: the plan stays the same however many.
+@query("q8_indexed_match_totals", f"""
+WITH asked AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{{5,}}', 0))) AS q FROM benchmark),
+tok AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, {PAT}, 0)) AS word FROM documents) GROUP BY ALL),
+voc AS (SELECT DISTINCT word FROM tok),
+held AS (SELECT word, q FROM voc JOIN asked ON contains(lower(word), q))
+SELECT doc_id, q AS query_id, sum(n)::INTEGER AS n FROM tok JOIN held USING (word) GROUP BY doc_id, q
+""")
+def q8_indexed(spark, sf):
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    word = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), F.lit(0)))
+    asked = items.select(word.alias("w")).select(F.lower("w").alias("query_id")).distinct().withColumn("text", F.col("query_id"))
+    return WordIndex(spark, shared_dir(spark, "word-index")).add(docs).totals(asked)
+
+
 @query("q9_hit_states", f"""
 WITH h AS (SELECT doc_id, list_transform(regexp_extract_all(text, {PAT}, 0), lambda w: contains(lower(w), 'tion')) AS h FROM documents),
 a AS (SELECT doc_id, h, coalesce(list_position(h, TRUE), 0) - 1 AS first FROM h),
