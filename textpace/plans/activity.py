@@ -15,7 +15,7 @@ from textpace.sources import files
 from textpace.sources.derived import (control_events, control_events_from, positions, sessions, sessions_from)
 from textpace.sources.sinks import PositionStore, append_sessions
 from textpace.sources.tables import table
-from textpace.streaming import live
+from textpace.streaming import live, stateful
 
 AS_OF, EARLIER = dt.date(2024, 1, 31), dt.date(2024, 1, 15)
 VALID = f"""{SESSIONS}, valid AS (SELECT * FROM sessions WHERE reading_time_seconds >= 5 AND total_words >= 10),
@@ -344,3 +344,28 @@ def st6(spark, sf):
     twice = _events(spark, sf).withColumn("_n", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_n")
     out = live.run_updates(live.once(sessions_from(twice)), shared_dir(spark, "st6"), "append")
     return spark.read.parquet(out).select("event_id", "user_id", "total_words")
+
+
+# One row in nine arrives with the last batch, up to weeks late, and is put right by the readers.
+def _late_events(spark, sf):
+    folder = shared_dir(spark, "event-files")
+    events = table(spark, sf, "events").withColumn("_late", (F.col("event_id") % 9 == 4).cast("int"))
+    events.repartitionByRange(5, "_late", "ts", "event_id").drop("_late").write.parquet(folder)
+    return live.read_events(spark, folder, "*.parquet")
+
+
+@query("st1_daily_activity_with_late_rows", f"WITH {DAILY} SELECT user_id, day::VARCHAR AS day, round(minutes, 6) AS minutes, sessions FROM daily")
+def st1_late(spark, sf):
+    out = stateful.run_daily_activity(sessions_from(_late_events(spark, sf)), shared_dir(spark, "st1-late"), dt.timedelta(days=2))
+    return stateful.daily_activity(spark, out).select(
+        "user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.round("minutes", 6).alias("minutes"), "sessions")
+
+
+@query("st5_session_assembly_with_late_rows", f"""
+WITH {CONTROL}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM control WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n_events FROM n GROUP BY user_id, k
+""")
+def st5_late(spark, sf):
+    out = stateful.run_sessions(control_events_from(_late_events(spark, sf)), shared_dir(spark, "st5-late"), retention=dt.timedelta(days=2))
+    return stateful.sessions(spark, out).select("user_id", "start_us", "n_events")
