@@ -4,9 +4,9 @@
 indexed once, in two Parquet tables of one folder:
 
 * ``postings``: (bucket, word, key, positions): where each word stands in each document. A word's
-  bucket is its hash; files are ranges of (bucket, word, key), so a word in every document
-  is spread over many files, and row groups know which words they hold. Positions ascend and the
-  file format stores their differences.
+  bucket is its hash. Rows are rebalanced by bucket as they are written, so a bucket that a word of
+  every document swells is split over several tasks and files; within a file rows are ordered, so
+  row groups know which words they hold. Positions ascend and the file format stores their differences.
 * ``grams``: (bucket, gram, word): the words that hold each string of one to three characters,
   in lower case. It grows with the vocabulary, not with the text.
 
@@ -64,7 +64,7 @@ class WordIndex:
         tokens = placed.select(self.key, F.posexplode(W.words(F.col("text"))).alias("word_idx", "word"))
         postings = tokens.groupBy(self.key, "word").agg(F.sort_array(F.collect_list("word_idx")).alias("positions"))
         order = ("bucket", "word", self.key)
-        postings.withColumn("bucket", _bucket("word")).repartitionByRange(*order).sortWithinPartitions(*order) \
+        postings.withColumn("bucket", _bucket("word")).hint("rebalance", "bucket").sortWithinPartitions(*order) \
             .write.mode("append").option("parquet.writer.version", "PARQUET_2_0").partitionBy("bucket") \
             .parquet(f"{self.path}/postings")
         self._add_vocabulary()
@@ -78,7 +78,7 @@ class WordIndex:
             words = words.join(known, "word", "left_anti")
         pairs = words.select("word", F.explode(_all_grams(F.lower("word"))).alias("gram"))
         order = ("bucket", "gram", "word")
-        pairs.withColumn("bucket", _bucket("gram")).repartitionByRange(*order).sortWithinPartitions(*order) \
+        pairs.withColumn("bucket", _bucket("gram")).hint("rebalance", "bucket").sortWithinPartitions(*order) \
             .write.mode("append").partitionBy("bucket").parquet(f"{self.path}/grams")
 
     def _postings(self) -> DataFrame:
@@ -103,7 +103,7 @@ class WordIndex:
         grams = asked.withColumn("need", _needed_grams(F.col("q"))).select(
             "query_id", "q", F.size("need").alias("n"), F.explode("need").alias("gram")).withColumn("bucket", _bucket("gram"))
         # The vocabulary may have been added in parts that overlap: a word counts once for a gram.
-        found = self._only(self._grams(), grams).distinct().join(grams, ["bucket", "gram"])
+        found = self._only(self._grams(), grams).join(grams, ["bucket", "gram"]).distinct()
         return found.groupBy("query_id", "q", "n", "word").agg(F.count("*").alias("held")).where(
             (F.col("held") == F.col("n")) & F.contains(F.lower("word"), F.col("q"))).select(
             "query_id", "word", _bucket("word").alias("bucket"))

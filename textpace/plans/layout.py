@@ -8,7 +8,9 @@ from textpace.functions import words as W
 from textpace.operators import layout as L
 from textpace.plans.inputs_sql import LAYOUT
 from textpace.plans.registry import query, sql_text
+from textpace.session import shared_dir
 from textpace.sources.derived import layout_chars, layout_lines, ocr_observations, page_words, wide_ordinal
+from textpace.sources.files import scan_layout
 from textpace.sources.tables import table
 
 PAT = sql_text(W.WORD_PATTERN.replace("*+", "*"))
@@ -401,3 +403,20 @@ FROM nz WHERE type NOT IN ('footnote', 'caption', 'table') GROUP BY doc_id
 """)
 def l29(spark, sf):
     return L.final_text(_clean(spark, sf).withColumn("block_idx", F.struct("page", "order_idx")))
+
+
+# Lines as a file holds them: the page as text, and one fault in each of six of 23 lines.
+@query("src6_layout_scan", f"""
+WITH {LAYOUT} SELECT doc_id, CASE line_idx % 23 WHEN 3 THEN 'bad page' WHEN 5 THEN 'no page' WHEN 7 THEN 'no text' WHEN 11 THEN 'box turned over'
+  WHEN 13 THEN 'box not finite' WHEN 17 THEN 'no box' ELSE 'good' END AS reason, count(*) AS n FROM layout GROUP BY ALL
+""")
+def src6(spark, sf):
+    fault = F.col("line_idx") % 23
+    kept = shared_dir(spark, "layout-file")
+    layout_lines(spark, sf).withColumns({
+        "page": F.when(fault == 3, F.concat(F.lit("p"), "page")).when(fault == 5, F.lit("-1")).otherwise(F.col("page").cast("string")),
+        "text": F.when(fault != 7, F.col("text")), "x_max": F.when(fault == 11, F.col("x_min") - 1).otherwise(F.col("x_max")),
+        "y_min": F.when(fault == 13, F.lit(float("nan"))).otherwise(F.col("y_min")), "x_min": F.when(fault != 17, F.col("x_min")),
+    }).write.parquet(kept)
+    good, rejected = scan_layout(spark, kept)
+    return good.withColumn("reason", F.lit("good")).unionByName(rejected).groupBy("doc_id", "reason").agg(F.count("*").alias("n"))
