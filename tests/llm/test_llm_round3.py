@@ -92,7 +92,7 @@ def test_toxicity_is_told_from_other_texts(spark):
     rows = labelled()
     table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
     held_out = crc_mod(F.col("doc_id"), 3) == 1
-    model = toxicity.fit(table.where(~held_out).select("text", "toxic"))
+    model = toxicity.fit(table, table.where(~held_out))
     got = {r["doc_id"]: r for r in toxicity.predict(table.where(held_out), model).collect()}
     assert set(got) == {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
     right = sum(got[i]["predicted"] == t for i, _, t in rows if i in got)
@@ -102,7 +102,8 @@ def test_toxicity_is_told_from_other_texts(spark):
 
 def test_toxic_evidence_equals_a_plain_version(spark):
     rows = labelled(60)
-    model = toxicity.fit(spark.createDataFrame([(t, y) for _, t, y in rows], "text string, toxic int"))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = toxicity.fit(table, table)
     contexts = {k: {(u, w) for _, t, y in rows if y == k or k == 2 for u, w in zip([None] + t.split(), t.split())} for k in (0, 1, 2)}
     contexts[2] = contexts[0] | contexts[1]
     spread = {k: {} for k in contexts}
@@ -133,9 +134,9 @@ def test_own_contexts():
 
 def test_toxicity_of_awkward_rows(spark):
     df = docs(spark)
-    both = df.select("text", F.when(F.col("doc_id") % 2 == 0, 1).when(F.col("doc_id") > 3, 0).alias("toxic"))
+    both = df.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).when(F.col("doc_id") > 3, 0).alias("toxic"))
     for lab in (both, both.where("toxic = 1"), both.where("toxic = 0"), both.limit(0)):
-        out = toxicity.predict(df.withColumn("predicted", F.lit("old")), toxicity.fit(lab))
+        out = toxicity.predict(df.withColumn("predicted", F.lit("old")), toxicity.fit(df, lab))
         rows = out.collect()
         assert len(rows) == df.count() and out.columns.count("score") == 1 and out.columns[-2:] == ["score", "predicted"]
         assert all(0 <= r["score"] <= 1 for r in rows)

@@ -126,7 +126,7 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 3) == 1
     docs = scan(spark, sf_dir, "documents").select("doc_id", "text", held_out.alias("held_out"))
     labels = scan(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
-    model = toxicity.fit(docs.join(labels, "doc_id").select("text", "toxic"))
+    model = toxicity.fit(docs, labels)
     return toxicity.predict(docs, model).drop("text")
 
 

@@ -14,10 +14,10 @@ Conditioning each word on the word before it as well was tried and separates wor
 repeat only within copies of a text.
 
 Words are runs of letters in lower case. At most about ``SAMPLE_BYTES`` of text of each class
-are learned from, chosen by a hash of the whole row; all texts are scored.
+are learned from, chosen by a hash of the document's id; all texts are scored.
 
-Rules for odd input: labelled rows with null text or label teach nothing; repeated rows count
-once in contexts and each time in the curve; null and wordless text has no evidence and scores
+Rules for odd input: rows with null id, text or label teach nothing; repeated documents count once
+in contexts and each time in the curve, repeated labels once; null and wordless text has no evidence and scores
 as the curve at zero; with one class or none every text scores alike, 1 if all labels are 1,
 else 0; an input column with the name of an output column is replaced, all others pass through.
 """
@@ -35,7 +35,7 @@ from pyspark.sql.types import DoubleType, StructType
 from textpace.llm.common import chunks, staged, without
 
 # Text of each class that is learned from; the model's size follows from it.
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 16 << 20
 # Discounts to choose from, taken off a word's count in its class.
 DISCOUNTS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 # Discount of the shared counts.
@@ -181,18 +181,25 @@ def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
     return float(max(beta[0], 0.0) / scale), float(beta[1]), float(loss)
 
 
-def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Learn from rows (text, toxic 0 or 1)."""
-    rows = labelled.where("text is not null and toxic in (0, 1)").select(
-        F.lower("text").alias("text"), F.col("toxic").cast("int").alias("toxic"), F.xxhash64("*").alias("draw"))
-    size = {r["toxic"]: (r["b"], r["n"]) for r in rows.groupBy("toxic").agg(
-        F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Learn from the texts of documents (doc_id, text) with labels (doc_id, toxic 0 or 1).
+
+    Sizes and labels choose the documents to learn from; only then are texts read, so that no text
+    goes through an exchange but the chosen ones.
+    """
+    texts = docs.where("text is not null").select("doc_id", "text")
+    marks = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    marked = staged(texts.select("doc_id", F.octet_length("text").alias("bytes")).join(marks, "doc_id"), "marked")
+    size = {r["toxic"]: (r["b"], r["n"]) for r in marked.groupBy("toxic").agg(
+        F.sum("bytes").alias("b"), F.count("*").alias("n")).collect()}
     n = {t: size.get(t, (0, 0))[1] for t in (0, 1)}
     if not (n[0] and n[1]):
         return Model(np.zeros(0, np.uint64), np.zeros((0, 3), np.float32), DISCOUNTS[0], 0.0, np.inf if n[1] else -np.inf)
     rate = {t: min(1.0, sample_bytes / max(b, 1)) for t, (b, _) in size.items()}
-    part = F.pmod("draw", F.lit(1 << 20)) / F.lit(1 << 20)
-    chosen = staged(rows.where(part < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0])), "labelled")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(1 << 20)
+    drawn = staged(marked.where(part < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
+                   .select("doc_id", "toxic").distinct(), "drawn")
+    chosen = staged(texts.join(drawn, "doc_id").select(F.lower("text").alias("text"), "toxic"), "labelled")
     contexts = chosen.select("text", "toxic").mapInArrow(
         _contexts, "toxic int, before bigint, word bigint").groupBy("before", "word").agg(
         F.max((F.col("toxic") == 0).cast("int")).alias("c0"), F.max((F.col("toxic") == 1).cast("int")).alias("c1"))
