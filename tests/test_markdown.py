@@ -1,5 +1,7 @@
 """Markdown structure on small literal documents."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from textpace.functions import markdown as MF
@@ -93,3 +95,57 @@ def test_emoji_names_are_all_there(spark):
 
 def test_lone_formula_mark_ends_a_paragraph(spark):
     assert blocks(spark, "a\n$$\nb") == [("paragraph", None, "a", None), ("paragraph", None, "$$ b", None)]
+
+
+def plain_roles(lines):
+    """The delimiter automaton line by line."""
+    mode, roles = 0, []
+    last = max((i for i, l in enumerate(lines) if l.strip() == "$$"), default=-1)
+    for i, line in enumerate(lines):
+        fence, dollars, role = line.strip()[:3] in ("```", "~~~"), line.strip() == "$$", None
+        if fence and mode < 2:
+            role, mode = ("fence_close", 0) if mode else ("fence_open", 1)
+        elif dollars and mode == 2:
+            role, mode = "math_close", 0
+        elif dollars and mode == 0 and i < last:
+            role, mode = "math_open", 2
+        roles.append(role)
+    return roles
+
+
+def plain_tables(row, head):
+    """Headers accepted in order; each table runs to the last pipe line after its separator."""
+    at, end = [None] * len(row), -1
+    for i, is_head in enumerate(head):
+        if is_head and i > end:
+            end = i + 1
+            while end + 1 < len(row) and row[end + 1]:
+                end += 1
+            at[i:end + 1] = [i] * (end + 1 - i)
+    return at
+
+
+def test_delimiter_scan_equals_a_plain_automaton(spark):
+    rng = random.Random(7)
+    texts = [[rng.choice(["```", "~~~x", "$$", " $$ ", "a", ""]) for _ in range(n)] for n in (0, 1, 2, 5, 63, 64, 65, 129, 400, 900)]
+    rows = docs(spark, *["\n".join(t) for t in texts]).select(
+        "doc_id", M._line_roles(F.split("text", "\n")).alias("r")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.r == plain_roles("\n".join(texts[r.doc_id]).split("\n"))
+
+
+def test_table_lines_equal_headers_accepted_in_order(spark):
+    rng = random.Random(3)
+    want, rows = {}, []
+    for doc in range(60):
+        row = [rng.random() < 0.6 for _ in range(40)]
+        head = [r and i < 39 and rng.random() < 0.5 for i, r in enumerate(row)]
+        want[doc] = plain_tables(row, head)
+        rows += [(doc, i, *x) for i, x in enumerate(zip(row, head))]
+    lines = spark.createDataFrame(rows, "doc_id INT, line_idx INT, row BOOLEAN, head BOOLEAN")
+    got = {d: [None] * 40 for d in want}
+    for r in M._with_tables(lines, "doc_id").collect():
+        assert r.in_table == (r.table_at is not None)
+        got[r.doc_id][r.line_idx] = r.table_at
+    assert got == want

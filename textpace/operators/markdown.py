@@ -71,93 +71,111 @@ def scanned_plain_text(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def _with_tables(lines: DataFrame, key: str) -> DataFrame:
     """Mark table lines. Needs line_idx, row (a pipe line) and head (a possible table header).
 
-    A table holds its header, the separator and the pipe lines that follow at once. A possible
-    header inside an earlier table is one of its rows, so headers are accepted in order: a fold
-    over the few candidates of a document.
+    A table holds its header, the separator and the pipe lines that follow at once; a possible
+    header inside an earlier table is one of its rows. Lines fall into groups, each a line without
+    a pipe and the pipe lines after it, so only the first header of a group can count, and a table
+    leaves its group only where that header ends it: then the next group, from its separator on,
+    is rows of the table. Every second group of a chain of such headers is therefore rows.
     """
-    after = Window.partitionBy(key).orderBy("line_idx").rowsBetween(2, Window.unboundedFollowing)
-    whole = Window.partitionBy(key)
-    ends = lines.select(
-        "*",
-        F.coalesce(F.min(F.when(~F.col("row"), F.col("line_idx"))).over(after) - 1,
-                   F.max("line_idx").over(whole)).alias("_end"),
-    )
-    state = "array<struct<at:int,end:int>>"
-    tables = ends.where("head").groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("line_idx", "_end"))).alias("c")
-    ).select(
-        key,
-        F.aggregate(
-            "c", F.array().cast(state),
-            lambda s, h: F.when(
-                F.coalesce(F.try_element_at(s, F.lit(-1))["end"], F.lit(-1)) < h["line_idx"],
-                F.concat(s, F.array(F.struct(
-                    h["line_idx"].alias("at"),
-                    F.greatest(h["_end"], h["line_idx"] + 1).alias("end")))),
-            ).otherwise(s),
-        ).alias("tables"),
-    ).select(key, F.inline("tables").alias("line_idx", "table_end"))
-    upto = Window.partitionBy(key).orderBy("line_idx").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.max_by(F.struct("line_idx", "table_end"), F.when(F.col("table_end").isNotNull(), F.col("line_idx"))).over(upto)
-    marked = ends.drop("_end").join(tables, [key, "line_idx"], "left").withColumn("_t", at)
-    inside = F.coalesce(F.col("_t.table_end") >= F.col("line_idx"), F.lit(False))
-    return marked.select(
+    w = Window.partitionBy(key).orderBy("line_idx")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    row, head, idx = F.col("row"), F.col("head"), F.col("line_idx")
+    grouped = lines.select(
+        "*", F.sum((~row).cast("int")).over(upto).alias("_g"),
+        F.coalesce(F.max(F.when(~row, idx)).over(upto), F.lit(-1)).alias("_from"),
+        F.coalesce(F.max(F.when(head, idx)).over(before), F.lit(-2)).alias("_seen"),
+        (~F.coalesce(F.lead("row").over(w), F.lit(False))).alias("_last"),
+        F.when(F.first("row").over(upto), -1).otherwise(0).alias("_none"))
+    first = head & (F.col("_seen") < F.col("_from"))
+    chained = grouped.select("*", first.alias("_first")).select(
+        "*", F.coalesce(F.max(F.when(F.col("_last") & ~F.col("_first"), F.col("_g"))).over(before), F.col("_none")).alias("_unlinked"),
+        F.coalesce(F.max(F.when(F.col("_first"), idx)).over(upto), F.lit(-2)).alias("_head"))
+    rows_only = (F.col("_g") > 0) & ((F.col("_g") - 1 - F.col("_unlinked")) % 2 == 1)
+    own = (F.col("_head") >= 0) & (F.col("_head") >= F.col("_from"))
+    inside = rows_only | own
+    return chained.select(
         *[F.col(c) for c in lines.columns], inside.alias("in_table"),
-        F.when(inside, F.col("_t.line_idx")).alias("table_at"),
-    )
+        F.when(rows_only, F.col("_from") - 1).when(own, F.col("_head")).alias("table_at"))
+
 
+# Delimiter lines of a span of the delimiter scan.
+SPAN = 64
 
-def _delimiter_roles(lines: Column) -> Column:
-    """Roles of fence and formula delimiter lines, by a three-state fold over those lines only.
+
+def _step(mode: Column, mark: Column) -> Column:
+    """Mode after a delimiter: 0 prose, 1 in a fence, 2 in a formula."""
+    fence = mark["k"] == "f"
+    return (
+        F.when(fence & (mode < 2), 1 - mode).when(~fence & (mode == 2), 0)
+        .when(~fence & (mode == 0) & mark["paired"], 2).otherwise(mode))
+
+
+def _role(mode: Column, after: Column) -> Column:
+    return (
+        F.when((mode == 0) & (after == 1), "fence_open").when((mode == 1) & (after == 0), "fence_close")
+        .when((mode == 0) & (after == 2), "math_open").when((mode == 2) & (after == 0), "math_close"))
+
+
+def _line_roles(lines: Column) -> Column:
+    """Role of every line: null, or how a fence or formula delimiter counts.
 
     Inside a fence only a fence line counts, inside a formula only a formula line; a formula
-    delimiter without a later partner is prose.
+    delimiter without a later partner is prose. A scan over spans of delimiters: each span is
+    reduced to where it leads from every mode, those maps are composed in order, and each span
+    then runs once from its true mode. The result has one entry a line, so no line looks any up.
     """
-    marks = F.filter(
+    found = F.filter(
         F.transform(lines, lambda l, i: F.struct(
             i.alias("idx"),
             F.when(W.trim_space(l).rlike(FENCE), "f").when(W.trim_space(l) == "$$", "d").alias("k"))),
-        lambda m: m["k"].isNotNull(),
-    )
-    last_d = F.coalesce(
-        F.array_max(F.transform(F.filter(marks, lambda m: m["k"] == "d"), lambda m: m["idx"])), F.lit(-1))
-    state = "struct<mode:int,roles:array<struct<idx:int,role:string>>>"
-
-    def step(s: Column, m: Column) -> Column:
-        fence = m["k"] == "f"
-        role = (
-            F.when(fence & (s["mode"] == 0), "fence_open").when(fence & (s["mode"] == 1), "fence_close")
-            .when(~fence & (s["mode"] == 0) & (m["idx"] < last_d), "math_open")
-            .when(~fence & (s["mode"] == 2), "math_close")
-        )
-        mode = (
-            F.when(role == "fence_open", 1).when(role == "math_open", 2)
-            .when(role.isNotNull(), 0).otherwise(s["mode"])
-        )
-        return F.struct(
-            mode.alias("mode"),
-            F.when(role.isNull(), s["roles"]).otherwise(
-                F.concat(s["roles"], F.array(F.struct(m["idx"].alias("idx"), role.alias("role"))))
-            ).alias("roles"),
-        )
+        lambda m: m["k"].isNotNull())
 
-    return F.aggregate(
-        marks, F.expr(f"cast(named_struct('mode', 0, 'roles', array()) as {state})"), step,
-        lambda s: s["roles"],
-    )
+    def spans(marks: Column) -> Column:
+        last = F.coalesce(
+            F.array_max(F.transform(F.filter(marks, lambda m: m["k"] == "d"), lambda m: m["idx"])), F.lit(-1))
+        known = F.transform(marks, lambda m: F.struct(m["idx"].alias("idx"), m["k"].alias("k"), (m["idx"] < last).alias("paired")))
+        return W.let(known, lambda ms: F.transform(
+            F.sequence(F.lit(1), F.size(ms), F.lit(SPAN)), lambda at: F.slice(ms, at, SPAN)))
+
+    def modes(parts: Column) -> Column:
+        ends = F.transform(parts, lambda part: F.transform(
+            F.array(F.lit(0), F.lit(1), F.lit(2)), lambda mode: F.aggregate(part, mode, _step)))
+        return F.aggregate(ends, F.array(F.lit(0)), lambda s, e: F.concat(
+            s, F.array(F.get(e, F.try_element_at(s, F.lit(-1))))))
+
+    def run(part: Column, mode: Column) -> Column:
+        state = F.expr("cast(named_struct('mode', 0, 'roles', array()) as struct<mode:int,roles:array<string>>)")
+
+        def step(s: Column, m: Column) -> Column:
+            after = _step(s["mode"], m)
+            return F.struct(after.alias("mode"), F.concat(s["roles"], F.array(_role(s["mode"], after))).alias("roles"))
+
+        return F.aggregate(part, state.withField("mode", mode), step, lambda s: s["roles"])
+
+    none = F.lit(None).cast("string")
+
+    def spread(marks: Column) -> Column:
+        """Roles of the delimiters with nulls for the lines between them."""
+        roles = W.let(spans(marks), lambda parts: W.let(modes(parts), lambda at: F.flatten(
+            F.transform(parts, lambda part, i: run(part, F.get(at, i))))))
+        return W.let(roles, lambda rs: F.concat(
+            F.array_repeat(none, F.get(marks, F.lit(0))["idx"]),
+            F.flatten(F.transform(marks, lambda m, i: F.concat(
+                F.array(F.get(rs, i)),
+                F.array_repeat(none, F.coalesce(F.get(marks, i + 1)["idx"], F.size(lines)) - m["idx"] - 1))))))
+
+    return W.let(found, lambda marks: F.when(F.size(marks) > 0, spread(marks)).otherwise(
+        F.array_repeat(none, F.size(lines))))
 
 
 def classify_lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Every line with its class and the unit (block) it belongs to."""
     split = by_key(docs.select(key, "text"), key).select(key, F.split("text", "\n").alias("lines"))
-    roles = split.select(key, "lines", _delimiter_roles(F.col("lines")).alias("roles"))
-    lines = roles.select(
-        key, "roles", F.posexplode("lines").alias("line_idx", "line")
-    ).select(
-        key, "line_idx", "line", W.trim_space(F.col("line")).alias("t"),
-        F.try_element_at(
-            F.filter("roles", lambda r: r["idx"] == F.col("line_idx")), F.lit(1))["role"].alias("role"),
-    )
+    lines = split.select(
+        key, F.posexplode(F.arrays_zip("lines", _line_roles(F.col("lines")).alias("roles"))).alias("line_idx", "_l")
+    ).select(key, "line_idx", F.col("_l.lines").alias("line"), W.trim_space(F.col("_l.lines")).alias("t"),
+             F.col("_l.roles").alias("role"))
     w = Window.partitionBy(key).orderBy("line_idx")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     line, t = F.col("line"), F.col("t")
