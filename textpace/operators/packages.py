@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textpace.functions import web as H
 from textpace.functions import words as W
+from textpace.functions import xml as X
 from textpace.operators import markup as K
 from textpace.operators.ordered import running, span_bucket
 
+# --- fixed values: the container member and the older navigation type ---
+CONTAINER = "META-INF/container.xml"
+NCX_TYPE = "application/x-dtbncx+xml"
+# --- end of fixed values ---
 SPLITS = [*K.HEADINGS, "p", "div", "blockquote", "pre", "li"]
 
 
@@ -79,6 +84,73 @@ def member_path(folder: Column, href: Column) -> Column:
             .when(p.isin(".", ""), s).otherwise(F.concat(s, F.array(p)))), "/")
 
 
+def package_documents(members: DataFrame) -> DataFrame:
+    """The package document of each package: pkg_id, folder, xml. The last root file named counts;
+    packages without one, or whose root file is not stored, give no row."""
+    roots = F.transform(
+        X.opening_tags(F.col("content"), "rootfile"), lambda t: X.attribute(t, "full-path"))
+    named = members.where(F.col("path") == CONTAINER).groupBy("pkg_id").agg(F.max("content").alias("content")).select(
+        "pkg_id", F.try_element_at(F.filter(roots, lambda r: r.isNotNull()), F.lit(-1)).alias("path"))
+    return members.join(named.where("path IS NOT NULL"), ["pkg_id", "path"], "left_semi").groupBy("pkg_id", "path").agg(
+        F.max("content").alias("content")).select(
+        "pkg_id", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), X.without_comments(F.col("content")).alias("xml"))
+
+
+def manifest_items(documents: DataFrame) -> DataFrame:
+    """Items of package documents: pkg_id, item_idx, item_id, folder, href, media_type, properties.
+    Of items with one id the last counts."""
+    a = lambda n: X.attribute(F.col("t"), n)
+    items = documents.select("pkg_id", "folder", F.posexplode(X.opening_tags(F.col("xml"), "item")).alias("item_idx", "t")).select(
+        "pkg_id", "item_idx", a("id").alias("item_id"), "folder", a("href").alias("href"), a("media-type").alias("media_type"),
+        F.filter(F.split(F.coalesce(a("properties"), F.lit("")), " "), lambda p: p != "").alias("properties"))
+    last = Window.partitionBy("pkg_id", "item_id").orderBy(F.desc("item_idx"))
+    return items.where("item_id IS NOT NULL AND href IS NOT NULL").withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+
+
+def spine_items(documents: DataFrame) -> DataFrame:
+    """Reading order of package documents: pkg_id, spine_idx, item_id."""
+    refs = F.filter(F.transform(X.opening_tags(F.col("xml"), "itemref"), lambda t: X.attribute(t, "idref")), lambda r: r.isNotNull())
+    return documents.select("pkg_id", F.posexplode(refs).alias("spine_idx", "item_id"))
+
+
+def package_titles(documents: DataFrame) -> DataFrame:
+    """pkg_id, title and author: the last element of each that has text, else null."""
+    meta = F.regexp_extract("xml", r"(?s)<(?:[\w.-]+:)?metadata\b[^>]*>(.*?)</(?:[\w.-]+:)?metadata\s*>", 1)
+
+    def last(name: str) -> Column:
+        texts = F.transform(
+            F.regexp_extract_all(meta, F.lit(rf"(?s)<(?:[\w.-]+:)?{name}\b[^>]*(?<!/)>([^<]*)</"), F.lit(1)),
+            lambda t: W.trim_space(X.decode(t)))
+        return F.try_element_at(F.filter(texts, lambda t: t != ""), F.lit(-1))
+
+    return documents.select("pkg_id", last("title").alias("title"), last("creator").alias("author"))
+
+
+def navigation_members(documents: DataFrame, manifest: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
+    """Stored navigation files: ``navs`` (the last item with the property nav) and ``ncxs`` (the item
+    that the spine's toc names, else the first of the older type); pkg_id, folder, content.
+
+    Links inside are relative to the file's own folder, which ``folder`` gives.
+    """
+    toc = documents.select("pkg_id", X.attribute(F.get(X.opening_tags(F.col("xml"), "spine"), F.lit(0)), "toc").alias("toc"))
+    path = member_path(F.col("folder"), F.col("href"))
+    items = manifest.join(toc, "pkg_id", "left").select("pkg_id", "item_idx", path.alias("path"), "media_type", "properties",
+                                                       (F.col("item_id") == F.col("toc")).alias("named"))
+    older = F.col("media_type") == NCX_TYPE
+    picked = items.groupBy("pkg_id").agg(
+        F.max_by("path", F.when(F.array_contains("properties", "nav"), F.col("item_idx"))).alias("navs"),
+        F.max_by("path", F.when(F.col("named"), F.col("item_idx"))).alias("_named"),
+        F.min_by("path", F.when(older, F.col("item_idx"))).alias("_older"),
+    ).select("pkg_id", "navs", F.coalesce("_named", "_older").alias("ncxs"))
+    stored = members.groupBy("pkg_id", "path").agg(F.max("content").alias("content"))
+
+    def files(kind: str) -> DataFrame:
+        return picked.select("pkg_id", F.col(kind).alias("path")).where("path IS NOT NULL").join(stored, ["pkg_id", "path"]).select(
+            "pkg_id", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), "content")
+
+    return {"navs": files("navs"), "ncxs": files("ncxs")}
+
+
 def reading_order(spine: DataFrame, manifest: DataFrame, members: DataFrame) -> DataFrame:
     """Files in spine order: pkg_id, spine_idx, path, content. Unknown items vanish."""
     hrefs = spine.join(manifest, ["pkg_id", "item_id"]).select(

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from textpace.functions import words as W
 from textpace.operators import blocks as B
 from textpace.operators import office as O
+from textpace.operators import office_xml as OX
 from textpace.operators import packages as P
-from textpace.plans.registry import query, sql_text
-from textpace.sources.derived import fb2_docs, office_tables, package_tables, wide_ordinal
+from textpace.plans.registry import ORACLES, query, sql_text
+from textpace.sources.derived import fb2_docs, office_members, office_tables, package_members, package_tables, wide_ordinal
 
 PAT = sql_text(W.WORD_PATTERN.replace("*+", "*"))
 TRIM = r"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
@@ -172,3 +173,66 @@ FROM e GROUP BY doc_id, table_idx
 """)
 def h33(spark, sf):
     return O.tables(office_tables(spark, sf)["cells"])
+
+
+# The same rows from stored XML members. The spine names a missing file first; an image with a
+# stored file, at the end of every tenth paragraph, starts another one.
+def _unpacked(members):
+    documents = P.package_documents(members)
+    manifest = P.manifest_items(documents)
+    return documents, manifest, P.reading_order(P.spine_items(documents), manifest, members)
+
+
+@query("h23_package_from_xml", """
+SELECT conv_id AS pkg_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS spine_idx, 'OEBPS/te xt/ch' || turn || '.xhtml' AS path
+FROM conversations
+""")
+def h23_xml(spark, sf):
+    return _unpacked(package_members(spark, sf))[2].select("pkg_id", "spine_idx", "path")
+
+
+@query("h23_package_navigation", """
+SELECT DISTINCT conv_id AS pkg_id, 'Package ' || conv_id AS title, 'A & B' AS author,
+  CASE conv_id % 3 WHEN 0 THEN 'nav' WHEN 1 THEN 'ncx' END AS kind, CASE WHEN conv_id % 3 < 2 THEN 'OEBPS' END AS folder
+FROM conversations
+""")
+def h23_navigation(spark, sf):
+    members = package_members(spark, sf)
+    documents, manifest, _ = _unpacked(members)
+    found = P.navigation_members(documents, manifest, members)
+    kinds = found["navs"].select("pkg_id", "folder", F.lit("nav").alias("kind")).unionByName(
+        found["ncxs"].select("pkg_id", "folder", F.lit("ncx").alias("kind")))
+    return P.package_titles(documents).join(kinds, "pkg_id", "left")
+
+
+@query("h28_style_types_from_xml", f"""WITH {STYLED}
+SELECT doc_id, (i + (i + 9) // 10)::BIGINT AS para_idx, type, level FROM sty
+""")
+def h28_xml(spark, sf):
+    members = office_members(spark, sf)
+    return O.style_types(OX.read_body(members)["paras"], OX.styles(members)).select("doc_id", "para_idx", "type", "level")
+
+
+@query("h29_h30_paragraph_blocks_from_xml", ORACLES["h29_h30_paragraph_blocks"])
+def h29_xml(spark, sf):
+    t = OX.read_documents(office_members(spark, sf))
+    return O.paragraph_blocks(O.style_types(t["paras"], t["styles"]), t["runs"])
+
+
+@query("h31_footnotes_from_xml", ORACLES["h31_footnote_blocks"])
+def h31_xml(spark, sf):
+    t = OX.read_documents(office_members(spark, sf))
+    return O.footnote_blocks(t["notes"], t["refs"])
+
+
+@query("h32_images_from_xml", f"""
+WITH {LINES} SELECT doc_id, (i + i // 10 + 1)::BIGINT AS para_idx, 'rId' || i AS rel_id, 'media/image' || i || '.png' AS path FROM ln WHERE i % 10 = 0
+""")
+def h32_xml(spark, sf):
+    t = OX.read_documents(office_members(spark, sf))
+    return O.embedded_images(t["uses"], t["rels"], t["media"]).select("doc_id", "para_idx", "rel_id", "path")
+
+
+@query("h33_tables_from_xml", ORACLES["h33_table_blocks"])
+def h33_xml(spark, sf):
+    return O.tables(OX.read_body(office_members(spark, sf))["cells"])

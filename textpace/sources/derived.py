@@ -221,6 +221,71 @@ def package_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"members": members, "manifest": manifest, "spine": spine, "titles": titles, "navs": navs, "ncxs": ncxs}
 
 
+def package_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packages as stored members only: pkg_id, path, content. The order of the files, and
+    where navigation is found, stand in XML with prefixes, comments and both kinds of quotes."""
+    t = package_tables(spark, sf_dir)
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pkg_id"), F.col("turn"))
+    n, late = F.col("turn").cast("string"), F.col("pkg_id") % 3 == 1
+    items = c.groupBy("pkg_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(
+        F.col("turn"),
+        F.concat(F.lit("<item media-type='application/xhtml+xml' href=\"te%20xt/./ch"), n, F.lit(".xhtml\" id='c"), n, F.lit("'/>")).alias("item"),
+        F.concat(F.lit("<opf:itemref linear=\"a>b\" idref=\"c"), n, F.lit("\"/>")).alias("ref")))), lambda x: x).alias("x"))
+    opf = items.select("pkg_id", F.concat(
+        F.lit("<?xml version='1.0'?><opf:package xmlns:opf='o'><opf:metadata><dc:title>Package &#38;#x"),
+        F.lit(";</dc:title><dc:title id='t'>Package "), F.col("pkg_id").cast("string"),
+        F.lit("</dc:title><dc:title/><dc:creator> A &amp; B </dc:creator></opf:metadata><manifest><!-- <item id='c1' href='no'/> -->"
+              "<item id='c0' href='replaced.xhtml'/>"),
+        F.array_join(F.transform("x", lambda r: r["item"]), ""),
+        F.when(F.col("pkg_id") % 3 == 0, "<item id='nav' href='nav.xhtml' properties='scripted nav'/>").otherwise(""),
+        F.when(late, "<item id='old' href='no.ncx' media-type='application/x-dtbncx+xml'/><item id='toc' href='./toc.ncx'/>").otherwise(""),
+        F.lit("</manifest><spine"), F.when(late, " toc='toc'").otherwise(""), F.lit("><itemref linear='no'/><itemref idref='gone'/>"),
+        F.array_join(F.transform(F.reverse("x"), lambda r: r["ref"]), ""), F.lit("</spine></opf:package>")).alias("content"))
+    container = items.select("pkg_id", F.lit("META-INF/container.xml").alias("path"), F.lit(
+        "<container><rootfiles><rootfile full-path='x.opf'/><n:rootfile full-path=\"OEBPS/content.opf\"/></rootfiles></container>").alias("content"))
+    at = lambda df, path: df.select("pkg_id", F.lit(path).alias("path"), "content")
+    return (t["members"].select("pkg_id", "path", "content").unionByName(container).unionByName(at(opf, "OEBPS/content.opf"))
+            .unionByName(at(t["navs"], "OEBPS/nav.xhtml")).unionByName(at(t["ncxs"], "OEBPS/toc.ncx")))
+
+
+# One paragraph of a document body by line position; l is the escaped line, i its zero-based index.
+BODY_PARAGRAPH = """concat('<w:p><w:pPr><w:pStyle w:val="', CASE i % 9 WHEN 0 THEN 'Heading2' WHEN 1 THEN 'S1'
+  WHEN 2 THEN 'IntenseQuote' WHEN 3 THEN 'ListBullet' WHEN 4 THEN 'Subtitle' WHEN 5 THEN 'S2' ELSE 'Normal' END, '"/>',
+  CASE WHEN i % 13 = 8 THEN concat('<w:numPr><w:ilvl w:val="', i % 3, '"/></w:numPr>') ELSE '' END,
+  '<w:rPr><w:rFonts w:ascii="Arial"/></w:rPr></w:pPr><w:r><w:rPr><w:rFonts w:ascii="',
+  CASE WHEN i % 9 IN (6, 7) THEN 'Courier New" w:cs="Consolas' ELSE 'Arial' END, '"/></w:rPr><w:t>', l,
+  '</w:t></w:r><w:r><w:t xml:space="preserve">  </w:t></w:r><m:oMathPara/>',
+  CASE WHEN i % 3 = 0 THEN concat('<w:r><w:footnoteReference w:id="', i, '"/></w:r>') ELSE '' END,
+  CASE WHEN i % 5 = 0 THEN concat('<w:r><w:drawing><a:blip r:embed="rId', i, '"/></w:drawing></w:r>') ELSE '' END, '</w:p>')"""
+
+
+def office_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-processor packages as stored members: doc_id, path, content. One paragraph per document
+    line, then a table for every four lines, with a cell per word."""
+    safe = F.replace(F.replace(_safe("text"), F.lit("'"), F.lit("&#39;")), F.lit("ü"), F.lit("&#xFC;"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(safe, "\n").alias("s"))
+    each = lambda sql: F.array_join(F.expr(f"transform(s, (l, i) -> {sql})"), "")
+    row = ("concat('<w:tr>', array_join(transform(split(l, ' '), c -> concat('<w:tc><w:p><w:r><w:t>', c, '</w:t></w:r></w:p></w:tc>')), ''), '</w:tr>')")
+    grids = (f"concat(CASE WHEN i % 4 = 0 THEN '<w:tbl><w:tblPr/>' ELSE '' END, {row}, "
+             "CASE WHEN i % 4 = 3 OR i = size(s) - 1 THEN '</w:tbl>' ELSE '' END)")
+    body = F.concat(F.lit("<w:document><w:body>"), each(BODY_PARAGRAPH), each(grids), F.lit("<w:sectPr/></w:body></w:document>"))
+    notes = F.concat(F.lit("<w:footnotes>"), each(
+        "CASE WHEN i % 4 < 2 THEN concat('<w:footnote w:id=\"', i, '\"><w:p><w:r><w:t>', l, '</w:t></w:r></w:p></w:footnote>') ELSE '' END"),
+        F.lit("</w:footnotes>"))
+    rels = F.concat(F.lit("<Relationships>"), each(
+        "concat('<Relationship Id=\"rId', i, '\" Target=\"./media/image', i, '.png\"/>')"), F.lit("</Relationships>"))
+    styles = F.lit("<w:styles><w:style w:styleId='S1'><w:name w:val='Заголовок 3'/></w:style>"
+                   "<w:style w:styleId=\"S2\"><w:name w:val=\"Block Text\"/></w:style></w:styles>")
+    parts = F.array(
+        F.struct(F.lit("word/document.xml").alias("path"), body.alias("content")),
+        F.struct(F.lit("word/footnotes.xml").alias("path"), notes.alias("content")),
+        F.struct(F.lit("word/_rels/document.xml.rels").alias("path"), rels.alias("content")),
+        F.struct(F.lit("word/styles.xml").alias("path"), styles.alias("content")))
+    media = F.transform(F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: i % 2 == 0), lambda i: F.struct(
+        F.concat(F.lit("word/media/image"), i.cast("string"), F.lit(".png")).alias("path"), F.lit(None).cast("string").alias("content")))
+    return docs.select("doc_id", F.inline(F.concat(parts, media)))
+
+
 def office_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Word-processor rows: one paragraph per document line."""
     lines = table(spark, sf_dir, "documents").select(
