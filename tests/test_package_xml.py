@@ -1,7 +1,11 @@
 """Members of word-processor and e-book packages on small literal documents."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from textpace.functions import web as H
+from textpace.functions import words as W
 from textpace.functions import xml as X
 from textpace.operators import office as O
 from textpace.operators import office_xml as OX
@@ -82,3 +86,25 @@ def test_package_documents(spark):
     assert rows_of(P.package_titles(documents), "pkg_id", "title", "author") == [(1, "First", None)]
     found = P.navigation_members(documents, manifest, m)
     assert found["navs"].count() == 0 and rows_of(found["ncxs"], "pkg_id", "folder", "content") == [(1, "d", "N1")]
+
+
+def test_words_before_anchors_equal_prefixes_read_anew(spark):
+    rng = random.Random(5)
+    bits = ["one ", "tw", "o", " ", "3", ".", "5 ", "x&nbsp;y", "$", "\u2003z", "it-", "'s", "http://a ", "&amp;", ", "]
+    files, prefixes = [], {}
+    for n in range(40):
+        pieces = [rng.choice(bits) if rng.random() < 0.6 else (f"a{i}",) for i in range(rng.randrange(60))]
+        if rng.random() < 0.5:
+            pieces += pieces[:10]
+        html = "".join(f"<i id='{p[0]}'></i>" if isinstance(p, tuple) else f"<b>{p}</b>" for p in pieces)
+        files.append((n, f"<html><body>{html}</body></html>"))
+        for i, p in enumerate(pieces):
+            if isinstance(p, tuple):
+                prefixes.setdefault((n, p[0]), "".join(q for q in pieces[:i] if isinstance(q, str)))
+    df = spark.createDataFrame(files, "f INT, content STRING")
+    # Each whole prefix is read anew.
+    read = spark.createDataFrame([(*k, t) for k, t in prefixes.items()], "f INT, anchor STRING, t STRING").select(
+        "f", "anchor", W.word_count(H.decode_entities(F.col("t"))).alias("n"))
+    want = {(r.f, r.anchor): r.n for r in read.collect()}
+    got = {(r.f, r.anchor): r.offset for r in P.anchor_offsets(df, ["f"]).collect()}
+    assert got == want and len(got) > 300

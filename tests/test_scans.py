@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from textpace.operators import blocks as B
 from textpace.operators import layout as L
-from textpace.operators.ordered import following, running, scan, span_bucket
+from textpace.operators.ordered import following, running, scan, span_bucket, with_time_span
 
 
 def test_running_equals_window(spark):
@@ -133,3 +133,20 @@ def test_scan_reads_its_input_once(spark, tmp_path):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[0].count("Scan parquet") == 1
+
+
+def test_busy_hours_are_split_by_second(spark):
+    # Two thirds of all rows are one user's in one hour; users, times and ids may be null or equal.
+    df = spark.range(9000).select(
+        F.when(F.col("id") % 3 > 0, 7).when(F.col("id") % 5 > 0, F.col("id") % 4).alias("user_id"),
+        F.when(F.col("id") % 1000 != 1, F.timestamp_seconds(F.when(F.col("id") % 3 > 0, F.col("id") * 37 % 3600).otherwise(F.col("id") * 60))).alias("ts"),
+        F.col("id"), (F.col("id") % 7).alias("v"))
+    spans = with_time_span(df, ["user_id"], "ts", "b", limit=100)
+    sizes = spans.groupBy("user_id", "b").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 100
+    assert sizes.where("user_id = 7 AND b.second IS NOT NULL").count() > 1000
+    got = scan(spans, ["user_id"], ["ts", "id"], F.col("b"), {"s": F.col("v")}, {"l": F.col("v")}, {"x": F.col("id")}).drop("b")
+    w = Window.partitionBy("user_id").orderBy("ts", "id")
+    back = w.rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("*", F.coalesce(F.sum("v").over(back), F.lit(0)).alias("s"), F.last("v").over(back).alias("l"), F.lead("id").over(w).alias("x"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

@@ -32,6 +32,17 @@ def span_bucket(ordinal: str, span: int = SPAN) -> Column:
     return F.floor(F.col(ordinal) / span)
 
 
+def with_time_span(df: DataFrame, keys: list[str], ts: str, name: str, limit: int = SPAN) -> DataFrame:
+    """Add a scan bucket of time: the hour, and the second as well where the key has over ``limit`` rows in
+    that hour. A bucket holds at most ``limit`` rows or those of one second, and a key at most 3,600 buckets
+    an hour. Hours are counted before any row moves, and only the busy ones take part in the join."""
+    rows = df.withColumn("_hour", F.struct(*keys, F.date_trunc("hour", F.col(ts)).alias("_at")))
+    busy = rows.groupBy("_hour").agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    second = F.when(F.col("_n").isNotNull(), F.date_trunc("second", F.col(ts)))
+    return rows.join(busy, "_hour", "left").select(
+        *[F.col(c) for c in df.columns], F.struct(F.col("_hour._at").alias("hour"), second.alias("second")).alias(name))
+
+
 def scan(
     df: DataFrame,
     keys: list[str],

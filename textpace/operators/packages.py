@@ -216,18 +216,38 @@ def xhtml_blocks(files: DataFrame, keys: list[str]) -> DataFrame:
         "seg", "type", "level", "text", "payload", W.word_count(F.col("text")).alias("n_words"))
 
 
+def _words_before(toks: DataFrame, anchor: Column) -> DataFrame:
+    """Words of a segment before each of its anchors: _k, seg, anchor, pos, inside.
+
+    No word goes over white space, so a text piece with white space ends the stretch of pieces
+    before it. Stretches are counted once each and summed along the segment; an anchor counts
+    again only the open stretch it stands in, which is part of one word or little more.
+    """
+    shown = F.col("tag").isNull() & (F.col("ud") == 0)
+    ends = shown & F.col("tok").rlike(r"[\s\p{Z}]")
+    head = F.regexp_extract("tok", r"(?s)^(.*[\s\p{Z}])", 1)
+    piece = F.when(ends, F.substring("tok", F.length(head) + 1, F.length("tok"))).otherwise(F.col("tok"))
+    along = Window.partitionBy("_k", "seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    stretches = toks.withColumn("_n", F.sum(ends.cast("int")).over(along)).groupBy("_k", "seg", "_n").agg(
+        F.max(F.when(ends, head)).alias("head"),
+        F.sort_array(F.collect_list(F.when(shown, F.struct("pos", piece.alias("tok"))))).alias("texts"),
+        F.collect_list(F.when(anchor.isNotNull(), F.struct("pos", anchor.alias("anchor")))).alias("anchors"))
+    joined = lambda texts: F.array_join(F.transform(texts, lambda t: t["tok"]), "")
+    order = Window.partitionBy("_k", "seg").orderBy("_n")
+    whole = F.concat(F.coalesce(F.lag(joined(F.col("texts"))).over(order), F.lit("")), F.coalesce("head", F.lit("")))
+    counted = stretches.withColumn("_w", W.word_count(H.decode_entities(whole))).select(
+        "*", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_done"))
+    cut = F.filter("texts", lambda t: t["pos"] < F.col("a.pos"))
+    return counted.select("_k", "seg", "_done", "texts", F.explode("anchors").alias("a")).select(
+        "_k", "seg", "a.anchor", "a.pos",
+        (F.col("_done") + W.word_count(H.decode_entities(joined(cut)))).cast("int").alias("inside"))
+
+
 def anchor_offsets(files: DataFrame, keys: list[str]) -> DataFrame:
     """First position of every id in a file, in words: finished blocks plus the open one so far."""
     toks = _segments(files, keys)
-    # A segment's text is gathered once and cut at its few anchors.
     anchor = F.nullif(F.when(F.col("tag").isNotNull() & ~F.col("is_close"), H.attr(F.col("tok"), "id")), F.lit(""))
-    shown = F.col("tag").isNull() & (F.col("ud") == 0)
-    part = F.array_join(F.transform(F.filter("texts", lambda t: t["pos"] < F.col("a.pos")), lambda t: t["tok"]), "")
-    ids = toks.groupBy("_k", "seg").agg(
-        F.sort_array(F.collect_list(F.when(shown, F.struct("pos", "tok")))).alias("texts"),
-        F.collect_list(F.when(anchor.isNotNull(), F.struct("pos", anchor.alias("anchor")))).alias("anchors"),
-    ).select("_k", "seg", "texts", F.explode("anchors").alias("a")).select(
-        "_k", "seg", "a.anchor", "a.pos", W.word_count(H.decode_entities(part)).alias("inside"))
+    ids = _words_before(toks, anchor)
     first = ids.groupBy("_k", "anchor").agg(F.min_by(F.struct("seg", "inside"), "pos").alias("f"))
     words = xhtml_blocks(files, keys).select(F.struct(*keys).alias("_k"), "seg", "n_words")
     marks = words.select("_k", "seg", F.lit(1).alias("o"), "n_words", F.lit(None).cast("string").alias("anchor")).unionByName(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textpace.functions import pacing as P
 from textpace.functions import words as W
-from textpace.operators.ordered import scan
+from textpace.operators.ordered import scan, with_time_span
 
 # --- fixed values ---
 MIN_SECONDS, MIN_WORDS = 5, 10
@@ -23,11 +23,6 @@ def day_of(ts: Column) -> Column:
     return F.to_date(ts)
 
 
-def hour_bucket(ts: str) -> Column:
-    """Scan bucket for event streams: a busy user's events split by hour."""
-    return F.date_trunc("hour", F.col(ts))
-
-
 def valid(sessions: DataFrame) -> DataFrame:
     return sessions.where(
         (F.col("reading_time_seconds") >= MIN_SECONDS) & (F.col("total_words") >= MIN_WORDS))
@@ -161,7 +156,8 @@ def _play_spans(events: DataFrame) -> DataFrame:
     timed = events.where(F.col("action").isin("play", "pause", "finish", "close")).withColumn(
         "us", F.unix_micros(F.col("ts").cast("timestamp"))).select("user_id", "ts", "event_id", "action", "us")
     ends = F.col("action").isin("finish", "close").cast("int")
-    nexts = scan(timed, ["user_id"], ["ts", "event_id"], hour_bucket("ts"), sums={"session_no": ends},
+    spans = with_time_span(timed, ["user_id"], "ts", "_span")
+    nexts = scan(spans, ["user_id"], ["ts", "event_id"], F.col("_span"), sums={"session_no": ends},
                  nexts={"next": F.struct("action", "us")})
     played = (F.col("action") == "play") & F.col("next.action").isin("pause", "finish")
     return nexts.withColumn(
