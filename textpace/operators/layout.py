@@ -7,7 +7,11 @@ uses grouped counts and span-wise scans.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from textpace.functions import words as W
 from textpace.operators.blocks import word_offsets
@@ -26,11 +30,6 @@ PAGE_NUMBERS = (r"^\p{N}*$", r"^-?\s*\d+\s*-?$")
 NAMED_PAGE = r"^(page\s*)?\d+(\s*(of|/)\s*\d+)?$"
 ROMAN = r"^[ivxlcdm]+$"
 MARKER_PAIRS = (("*** ***", " "), ("******", ""), ("** **", " "), ("****", ""))
-# Distances between text-layer words in reading order, in points.
-LEAST_LINE = 10.0
-SAME_LINE_RIGHT, SAME_LINE_LEFT = (1.0, 0.02), 100.0
-LINE_BELOW, LINE_ABOVE = (50.0, 0.1), (200.0, 5.0)
-ON_LINE = 0.5
 # --- end of fixed values ---
 
 PAGE = ["doc_id", "page"]
@@ -520,54 +519,47 @@ def align_words(words: DataFrame, boxes: DataFrame, lookahead: int = 8) -> DataF
     return prepared.select(*PAGE, F.inline(matched).alias("seq", "box_idx"))
 
 
-def _reading_distance(box: Column, recent: Column) -> Column:
-    """How far a box lies from the last located word along the reading direction; half of it where
-    the last two words share a line and the box goes on along the line of the last three."""
-    last, second = F.try_element_at(recent, F.lit(-1)), F.try_element_at(recent, F.lit(-2))
-    down, right = last["my"] - box["my"], box["mx"] - last["mx"]
-    tall = F.greatest(last["h"], box["h"], F.lit(LEAST_LINE))
-    same_line = F.when(right > 0, SAME_LINE_RIGHT[0] + right * SAME_LINE_RIGHT[1]).otherwise(SAME_LINE_LEFT + F.abs(right))
-    below = LINE_BELOW[0] + down + F.abs(right) * LINE_BELOW[1]
-    above = LINE_ABOVE[0] + F.abs(down) * LINE_ABOVE[1] + F.abs(right)
-    far = F.when(F.abs(down) < tall, same_line).when(down > 0, below).otherwise(above)
-    mean = F.aggregate(recent, F.lit(0.0), lambda t, r: t + r["my"]) / F.size(recent)
-    own = F.greatest(last["h"], F.lit(LEAST_LINE))
-    goes_on = (F.abs(last["my"] - second["my"]) < own) & (F.abs(box["my"] - mean) < own) & (right > 0)
-    return F.when(goes_on, far * ON_LINE).otherwise(far)
-
-
-def _followed(words: Column, boxes: Column) -> Column:
-    """Box of each word of one page, null where none fits: a fold that carries the used boxes and
-    the last three choices."""
-    box = "struct<i:bigint,mx:double,my:double,h:double>"
-    state = f"struct<used:array<bigint>,recent:array<{box}>,hits:array<bigint>>"
-
-    def chosen(free: Column, recent: Column) -> Column:
-        top = F.array_max(F.transform(free, lambda b: b["my"]))
-
-        def rank(b: Column) -> Column:
-            first = F.when(top - b["my"] < F.greatest(b["h"], F.lit(LEAST_LINE)), b["mx"])
-            # Topmost line, then leftmost, for the first word.
-            return F.struct(
-                F.when(F.size(recent) > 0, F.lit(False)).otherwise(first.isNull()).alias("low"),
-                F.when(F.size(recent) > 0, _reading_distance(b, recent)).otherwise(first).alias("d"),
-                F.struct(
-                    b["i"].alias("i"), b["mx"].alias("mx"), b["my"].alias("my"), b["h"].alias("h")).alias("b"))
-
-        return F.array_min(F.transform(free, rank))["b"]
-
-    def step(s: Column, w: Column) -> Column:
-        free = F.filter(boxes, lambda b: (w != "") & F.contains(b["t"], w) & ~F.array_contains(s["used"], b["i"]))
-        best = W.let(free, lambda f: chosen(f, s["recent"]))
-        return W.let(best, lambda b: F.when(
-            b.isNull(), s.withField("hits", F.concat(s["hits"], F.array(F.lit(None).cast("long"))))
-        ).otherwise(F.struct(
-            F.concat(s["used"], F.array(b["i"])).alias("used"),
-            W.let(F.concat(s["recent"], F.array(b)), lambda r: F.slice(r, F.greatest(F.size(r) - 2, F.lit(1)), F.lit(3))).alias("recent"),
-            F.concat(s["hits"], F.array(b["i"])).alias("hits"))))
-
-    start = F.expr(f"cast(named_struct('used', array(), 'recent', array(), 'hits', array()) as {state})")
-    return F.aggregate(words, start, step, lambda s: s["hits"])
+def _follow(words: list, boxes: list) -> list:
+    """Box of each word of one page (None where none fits), for locate_words."""
+    page = "\n".join(b["t"] for b in boxes)
+    starts = np.cumsum([0] + [len(b["t"]) + 1 for b in boxes])
+    geo = np.array([(b["mx"], b["my"], b["h"]) for b in boxes], dtype=float).reshape(-1, 3)
+    free, recent, out = np.ones(len(boxes), dtype=bool), [], []
+    spots: dict[str, np.ndarray] = {}
+    for w in words:
+        if w not in spots:
+            at = [m.start() for m in re.finditer(re.escape(w), page)] if w else []
+            spots[w] = np.unique(np.searchsorted(starts, np.array(at, dtype=int), side="right") - 1)
+        c = spots[w][free[spots[w]]]
+        if not len(c):
+            out.append(None)
+            continue
+        mx, my, h = geo[c].T
+        if not recent:
+            # Topmost line, then leftmost.
+            line = my.max() - my < np.maximum(h, 10)
+            best = c[line][np.argmin(mx[line])]
+        else:
+            px, py, ph = recent[-1]
+            dy, dx = py - my, mx - px
+            tall = np.maximum(np.maximum(ph, h), 10)
+            d = np.where(
+                np.abs(dy) < tall, np.where(dx > 0, 1 + dx * 0.02, 100 + np.abs(dx)),
+                np.where(dy > 0, 50 + dy + np.abs(dx) * 0.1, 200 + np.abs(dy) * 5 + np.abs(dx)))
+            own = max(ph, 10)
+            if len(recent) > 1 and abs(py - recent[-2][1]) < own:
+                avg = sum(r[1] for r in recent) / len(recent)
+                d = np.where((np.abs(my - avg) < own) & (mx > px), d * 0.5, d)
+            best = c[np.argmin(d)]
+        free[best] = False
+        recent = [*recent, tuple(geo[best])][-3:]
+        out.append(int(boxes[best]["i"]))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _follow_pages(words: pd.Series, boxes: pd.Series) -> pd.Series:
+    return pd.Series([_follow(list(w), list(b)) for w, b in zip(words, boxes)])
 
 
 def locate_words(words: DataFrame, boxes: DataFrame, page_width: float = 595.0) -> DataFrame:
@@ -577,7 +569,8 @@ def locate_words(words: DataFrame, boxes: DataFrame, page_width: float = 595.0)
 
     Each box is used once. The first word of a page takes the topmost, then leftmost box; later ones
     the box nearest in reading direction, with a bonus for going on along the line of the last three.
-    Every choice depends on the ones before it, so the words of a page are one fold in its row.
+    Every choice depends on the ones before it, so one page's words are followed in an Arrow batch;
+    grouping, cleaning and the result stay in Spark.
     """
     seq = words.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("seq", "word"))).alias("ws"))
     real = (F.col("h") > 0) & (F.col("w") <= page_width * WIDEST_WORD)
@@ -594,8 +587,7 @@ def locate_words(words: DataFrame, boxes: DataFrame, page_width: float = 595.0)
         F.array().cast("array<struct<i:bigint,t:string,mx:double,my:double,h:double>>"))
     found = seq.join(loc, PAGE, "left").select(
         *PAGE, F.transform("ws", lambda w: w["seq"]).alias("seqs"),
-        F.transform("ws", lambda w: clean(w["word"])).alias("cs"), placed.alias("placed")
-    ).select(*PAGE, "seqs", _followed(F.col("cs"), F.col("placed")).alias("hits"))
+        _follow_pages(F.transform("ws", lambda w: clean(w["word"])), placed).alias("hits"))
     return found.select(*PAGE, F.inline(F.arrays_zip("seqs", "hits")).alias("seq", "box_idx"))
 
 
