@@ -8,7 +8,8 @@ Texts and items are compared in lower case, with every run of ASCII white space
 punctuation as one space; edits count UTF-8 bytes of that form, and positions refer to it.
 
 Rules for odd input: null or empty texts and items match nothing; an item shorter than
-``MIN_BYTES`` in that form matches nothing, as it would hit ordinary prose; items with
+``SHORT_BYTES`` in that form has no edit budget and must stand between word boundaries, as
+edits of it hit ordinary prose; an item without letters or digits is empty; items with
 equal text are separate items; repeated documents are reported each; an empty table
 gives an empty result; other columns are ignored, or kept by ``clean``.
 """
@@ -25,7 +26,8 @@ from textpace.llm.common import chunks
 
 # Edits allowed for each byte of an item.
 EDIT_RATE = 0.08
-MIN_BYTES = 32
+# Shorter items are matched exactly, as whole words.
+SHORT_BYTES = 32
 # Items are taken in blocks of about this much text, so what tasks hold stays bounded.
 BLOCK_BYTES = 8 << 20
 
@@ -69,13 +71,14 @@ class Items:
     """An automaton over the pieces of a block of items."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float):
-        self.ids, self.patterns, self.backward = [], [], []
+        self.ids, self.patterns, self.backward, self.short = [], [], [], []
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             form = plain(text)
-            if len(form) < MIN_BYTES:
+            if not form:
                 continue
-            budget = int(rate * len(form))
+            self.short.append(len(form) < SHORT_BYTES)
+            budget = 0 if self.short[-1] else int(rate * len(form))
             cuts = [i * len(form) // (budget + 1) for i in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces.setdefault(form[a:b], []).append((len(self.ids), a))
@@ -94,6 +97,8 @@ class Items:
         if self.ids:
             for end, (size, places) in self.automaton.iter(text):
                 for k, offset in places:
+                    if self.short[k] and text[end - size:end - size + 1] + text[end + 1:end + 2] not in ("", " ", "  "):
+                        continue
                     starts.setdefault(k, set()).add(end + 1 - size - offset)
         out = []
         for k, found in starts.items():
