@@ -30,8 +30,8 @@ MAX_REPEATS = 3
 # The list of sources is held by the driver and sent to all tasks; more are refused.
 MAX_SOURCES = 10_000
 SEED = 7919
-# numpy draws without replacement up to this total; beyond it the relative error of rounding is tiny.
-DRAW_LIMIT = 900_000_000
+# Up to so many slots are drawn one by one; a speed setting only.
+SINGLE_DRAWS = 64
 
 
 @dataclass(frozen=True)
@@ -85,15 +85,28 @@ def order_sources(found: list[tuple[str | None, int]], weights, most: int) -> li
 
 
 def split_counts(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of ``n`` slots, drawn from ``counts`` without replacement, fall to each source."""
+    """How many of ``n`` slots, drawn from ``counts`` without replacement, fall to each source.
+
+    Every slot is taken with probability n over all, which misses n by about its root; the
+    surplus or what lacks is drawn the same way, so the slots taken are any n with equal
+    chance. Each step leaves the root of the one before it, and a few slots are drawn singly.
+    """
     total = int(counts.sum())
     if n >= total:
         return counts.copy()
-    if total < DRAW_LIMIT:
-        return rng.multivariate_hypergeometric(counts, n, method="marginals")
-    got = np.floor(counts * (n / total)).astype(np.int64)
-    spare = counts - got
-    return got + split_counts(spare * 0 + np.minimum(spare, 1), n - int(got.sum()), rng)
+    if 2 * n > total:
+        return counts - split_counts(counts, total - n, rng)
+    if n <= SINGLE_DRAWS:
+        slots: set[int] = set()
+        while len(slots) < n:
+            slots.add(int(rng.integers(total)))
+        owners = np.searchsorted(np.cumsum(counts), sorted(slots), side="right")
+        return np.bincount(owners, minlength=len(counts)).astype(np.int64)
+    got = rng.binomial(counts, n / total).astype(np.int64)
+    over = int(got.sum()) - n
+    if over > 0:
+        return got - split_counts(got, over, rng)
+    return got + split_counts(counts - got, -over, rng) if over else got
 
 
 def shard_counts(totals: np.ndarray, shard: int, shards: int, size: int, seed: int):
