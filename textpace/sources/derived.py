@@ -356,6 +356,16 @@ def layout_chars(lines: DataFrame) -> DataFrame:
     ).withColumn("x_max", F.col("x_min") + 5)
 
 
+def layout_glyphs(lines: DataFrame, *more: str) -> DataFrame:
+    """The same characters as arrays on the row of their line; lines without characters have no row."""
+    n = F.length("text")
+    at = lambda i: F.when(i % 40 == 39, -300.0).otherwise(F.col("_left") + i * 6 + F.floor(i / 10) * 30)
+    return lines.where(n > 0).withColumnRenamed("x_min", "_left").select(
+        "doc_id", "page", *more, "line_idx", "page_width", F.transform(F.sequence(F.lit(0), n - 1), at).alias("x_min"),
+        F.array_repeat("y_min", n).alias("y_min"), F.array_repeat("y_max", n).alias("y_max"),
+        F.transform(F.sequence(F.lit(0), n - 1), lambda i: at(i) + 5).alias("x_max"))
+
+
 def wide_ordinal(outer: str, inner: str):
     """One number that orders by outer, then inner; inner may use all 32 bits."""
     return F.shiftleft(F.col(outer).cast("long"), 32) + F.col(inner)
