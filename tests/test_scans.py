@@ -150,3 +150,12 @@ def test_busy_hours_are_split_by_second(spark):
     back = w.rowsBetween(Window.unboundedPreceding, -1)
     want = df.select("*", F.coalesce(F.sum("v").over(back), F.lit(0)).alias("s"), F.last("v").over(back).alias("l"), F.lead("id").over(w).alias("x"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_rows_to_be_exploded_are_placed_in_many_tasks(spark):
+    from textpace.operators.ordered import FINE, by_key
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = by_key(spark.range(5000).withColumnRenamed("id", "doc_id"), "doc_id")
+    sizes = [len(p) for p in df.rdd.glom().collect()]
+    # Not joined up by adaptive execution, however small the compact rows are.
+    assert len(sizes) == FINE * n and sum(sizes) == 5000 and max(sizes) < 2 * 5000 / len(sizes) + 30
