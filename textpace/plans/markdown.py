@@ -97,6 +97,64 @@ m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_idx) - 1 AS
 """
 
 
+# The table rule of its own, for the queries that show tables or the headings one could be taken for: a line
+# with a pipe and the separator after it, of as many cells, open a table anywhere, and the lines with a pipe
+# that follow at once are its rows. A line '---' is a separator of one cell.
+GUARDED = r"regexp_replace(replace(replace({x}, '\\', chr(2)), '\|', chr(3)), '\\$', '')"
+
+
+def cells_sql(x: str) -> str:
+    cell = TRIM.format(x=r"replace(replace(v, chr(3), '|'), chr(2), '\\')")
+    parts = f"string_split({GUARDED.format(x=x)}, '|')"
+    return (f"list_filter(list_transform({parts}, lambda v: {cell}), "
+            f"lambda v, j: NOT (v = '' AND (j = 1 OR j = len({parts}))))")
+
+
+def html_row_sql(cells: str, tag: str) -> str:
+    escaped = "replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+    return (f"'<tr>' || array_to_string(list_transform({cells}, lambda v: '<{tag}>' || "
+            f"{escaped.format(x=strip_sql('v'))} || '</{tag}>'), '') || '</tr>'")
+
+
+def swapped(text: str, *changes: tuple[str, str]) -> str:
+    for old, new in changes:
+        if text.count(old) != 1:
+            raise ValueError(f"not once in the text: {old}")
+        text = text.replace(old, new)
+    return text
+
+
+TABLE_PARSE = swapped(
+    PARSE,
+    ("c AS (SELECT *, CASE\n", "c0 AS (SELECT *, CASE\n"),
+    ("   WHEN i % 22 = 6 AND nx LIKE '| --- |%' THEN 'table' WHEN i % 22 = 7 THEN 'table' WHEN i % 22 = 8 THEN 'table'\n", ""),
+    ("ELSE 'prose' END AS cls FROM b),", f"""ELSE 'prose' END AS cls0, contains({GUARDED.format(x='t')}, '|') AS pipe, {cells_sql('t')} AS cells FROM b),
+c1 AS (SELECT *, len(cells) > 0 AND len(list_filter(cells, lambda v: NOT regexp_matches(v, '^:?-+:?$'))) = 0 AS sep FROM c0),
+c2 AS (SELECT *, cls0 = 'prose' AND pipe AND coalesce(lead(sep) OVER w, FALSE) AS opens, lead(len(cells)) OVER w AS n_next,
+  min(CASE WHEN t = '' OR NOT pipe THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop,
+  max(i) OVER (PARTITION BY doc_id) AS final FROM c1 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c3 AS (SELECT *, coalesce(lead(stop, 2) OVER w - 1, final) AS till FROM c2 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+hd AS (SELECT doc_id, i, till FROM c3 WHERE opens AND len(cells) = n_next),
+nh AS MATERIALIZED (SELECT a.doc_id, a.i, b.i AS following FROM hd a ASOF JOIN hd b ON a.doc_id = b.doc_id AND a.till < b.i),
+tb AS (SELECT doc_id, min(i) AS i FROM hd GROUP BY doc_id UNION ALL SELECT doc_id, following FROM tb JOIN nh USING (doc_id, i)),
+tr AS (SELECT doc_id, i AS table_at, till AS table_till FROM tb JOIN hd USING (doc_id, i)),
+c AS (SELECT c3.*, table_at, CASE WHEN i <= table_till THEN 'table' ELSE cls0 END AS cls
+  FROM c3 ASOF LEFT JOIN tr ON c3.doc_id = tr.doc_id AND c3.i >= tr.table_at),"""),
+    ("sum(CASE WHEN cls IN ('prose', 'note', 'under1', 'under2') THEN 0 ELSE 1 END)",
+     "sum(CASE WHEN cls IN ('prose', 'note', 'under1', 'under2') AND NOT (cls = 'prose' AND (opens OR dl)) THEN 0 ELSE 1 END)"),
+    ("i - i % 22 + 6", "table_at"),
+    ("list_transform(list_transform(r[3:], lambda q: list_transform(string_split(q, '|')[2:-2],\n"
+     f"    lambda c: {strip_sql(TRIM.format(x='c'))})), lambda q: list_concat(q, ['', '', ''])[1:3]) AS dr",
+     f"{cells_sql('r[1]')} AS head_cells, list_transform(r[3:], lambda q: {cells_sql('q')}) AS dr"),
+    ("'<table><thead><tr><th>Head a</th><th>B &amp; C</th><th>x|y</th></tr></thead><tbody>'",
+     f"'<table><thead>' || {html_row_sql('head_cells', 'th')} || '</thead><tbody>'"),
+    ("""lambda q: '<tr>' || array_to_string(list_transform(q, lambda c: '<td>' ||
+        replace(replace(replace(replace(c, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</td>'), '') || '</tr>')""",
+     "lambda q: " + html_row_sql("list_resize(q, len(head_cells), '')", "td") + ")"),
+    ("THEN 3 END AS columns", "THEN len(head_cells)::INT END AS columns"),
+)
+
+
 def _md(spark, sf):
     return md_docs(spark, sf, MD_LINE)
 
@@ -134,7 +192,9 @@ KINDS = {
 def _kind_query(name, kind, cols):
     keep = ["doc_id", "block_idx", "line_idx", *cols]
 
-    @query(name, f"WITH {MD}, {PARSE} SELECT {', '.join(keep)} FROM m WHERE type = '{kind}'")
+    start, parse = ("WITH RECURSIVE", TABLE_PARSE) if kind in ("heading", "table") else ("WITH", PARSE)
+
+    @query(name, f"{start} {MD}, {parse} SELECT {', '.join(keep)} FROM m WHERE type = '{kind}'")
     def run(spark, sf):
         return M.parse_blocks(_md(spark, sf)).where(F.col("type") == kind).select(*keep)
 
@@ -212,7 +272,7 @@ def m19(spark, sf):
 
 
 @query("m20_rendered_order", f"""
-WITH {MD}, {PARSE}, n AS (SELECT *, len(regexp_extract_all(text, {PAT}, 0)) AS n_words FROM m)
+WITH RECURSIVE {MD}, {TABLE_PARSE}, n AS (SELECT *, len(regexp_extract_all(text, {PAT}, 0)) AS n_words FROM m)
 SELECT doc_id, block_idx, type, n_words, coalesce(sum(n_words) OVER (PARTITION BY doc_id ORDER BY block_idx
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS word_offset,
   CASE WHEN type IN ('code', 'formula', 'table') THEN payload END AS payload FROM n
