@@ -4,7 +4,9 @@ A trie of byte contexts up to order three is counted over all training texts. A
 coded in its longest known context; a byte not seen there costs an escape and is coded one
 order lower, where the bytes of the longer context are excluded. The trie is fixed once
 learned, so the cost of every known four-byte string is worked out beforehand and a text
-is scored by lookups; only strings that training never showed walk down the orders.
+is scored by lookups; only strings that training never showed walk down the orders. Where
+training shows more strings than a task may hold, the trie stays in tables: tasks hold the
+costs of the most frequent strings, and all others are joined to theirs.
 
 Beside it stands the base score, add-one unigrams of words. Counts of the most frequent
 words are held by every task; the words beyond are joined.
@@ -18,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +34,7 @@ ORDER = 3
 # Pads the start and codes the end of a text; no UTF-8 text holds this byte.
 EDGE = 0xFF
 ALPHABET = 256
-# Strings of the trie that each task holds at most; the rarest beyond are reached by escapes.
+# Strings of the trie that each task holds at most; the costs of all others are joined.
 MAX_NODES = 4_000_000
 # Word counts that each task holds at most; all others are joined.
 MAX_HELD_WORDS = 250_000
@@ -149,6 +152,30 @@ def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == wanted
 
 
+def descend(n: int, look: Callable[[int, np.ndarray], tuple[np.ndarray, ...]]) -> np.ndarray:
+    """Costs of ``n`` strings from the longest context down.
+
+    ``look`` gives, for an order and the strings not coded yet, the count of the string's end of that order, and
+    the total, kinds and shorter sum of its context; all are 0 where there is none.
+    """
+    out = np.zeros(n)
+    left = np.arange(n)
+    gone_kinds, gone_counts = np.zeros(n), np.zeros(n)
+    for order in range(ORDER, -1, -1):
+        count, total, kinds_there, shorter = look(order, left)
+        met, hit = kinds_there > 0, count > 0
+        kinds = kinds_there - gone_kinds[left]
+        room = total - gone_counts[left] + kinds
+        out[left[hit]] += np.log10(count[hit] / room[hit])
+        pays = met & ~hit & (kinds > 0)
+        out[left[pays]] += np.log10(kinds[pays] / room[pays])
+        seen = left[met]
+        gone_kinds[seen], gone_counts[seen] = kinds_there[met], shorter[met]
+        left = left[~hit]
+    out[left] -= np.log10(ALPHABET - gone_kinds[left])
+    return out
+
+
 class Trie:
     """The learned contexts of all orders."""
 
@@ -172,36 +199,82 @@ class Trie:
     def cost(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each four-byte string after the first three."""
         grams = grams.astype(np.int64)
-        out = np.zeros(len(grams))
-        left = np.arange(len(grams))
-        gone_kinds, gone_counts = np.zeros(len(grams)), np.zeros(len(grams))
-        for order in range(ORDER, -1, -1):
+
+        def look(order: int, left: np.ndarray) -> tuple[np.ndarray, ...]:
             level, g = self.levels[order], grams[left] & ((1 << 8 * (order + 1)) - 1)
+            if not len(level.contexts):
+                return tuple(np.zeros(len(left)) for _ in range(4))
             where, met = _at(level.contexts, g >> 8)
             pair, coded = _at(level.pairs, g)
-            if len(level.contexts):
-                kinds = np.where(met, level.kinds[where], 0) - gone_kinds[left]
-                room = np.where(met, level.total[where], 0) - gone_counts[left] + kinds
-                hit = met & coded
-                out[left[hit]] += np.log10(level.count[pair[hit]] / room[hit])
-                pays = met & ~coded & (kinds > 0)
-                out[left[pays]] += np.log10(kinds[pays] / room[pays])
-                seen = left[met]
-                gone_kinds[seen], gone_counts[seen] = level.kinds[where[met]], level.shorter[where[met]]
-                left = left[~hit]
-        out[left] -= np.log10(ALPHABET - gone_kinds[left])
-        return out
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each text with its end."""
+            return (np.where(coded, level.count[pair], 0),
+                    *(np.where(met, x[where], 0) for x in (level.total, level.kinds, level.shorter)))
+
+        return descend(len(grams), look)
+
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """log10 probability of each text with its end, and the strings left to be joined: none."""
         grams, sizes = padded(data, offsets)
+        none = _listed(np.zeros(0, np.int64), np.zeros(0, np.int64), len(sizes))
         if not len(grams):
-            return np.zeros(len(sizes))
+            return np.zeros(len(sizes)), none
         logs, known = self.table.get(grams)
         if not known.all():
             rare, at = np.unique(grams[~known], return_inverse=True)
             logs[~known] = self.cost(rare)[at]
-        return np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        return np.add.reduceat(logs, np.concatenate([[0], np.cumsum(sizes)[:-1]])), none
+
+
+def _listed(keys: np.ndarray, counts: np.ndarray, n: int) -> pa.Array:
+    """For each of ``n`` texts its strings and their counts; a key is the text's number and the string."""
+    held = pa.StructArray.from_arrays([pa.array(keys & 0xFFFFFFFF, pa.int64()), pa.array(counts, pa.int64())], ["g", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(keys >> 32, np.arange(n + 1)), pa.int32()), held)
+
+
+class Frequent:
+    """Costs of the most frequent strings of a trie too large for a task."""
+
+    def __init__(self, grams: np.ndarray, costs: np.ndarray):
+        self.table = Table(grams, costs)
+
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """The part of each text's log10 probability that is known here, and the strings left to be joined."""
+        grams, sizes = padded(data, offsets)
+        logs, known = self.table.get(grams)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        keys, counts = np.unique((text[~known] << 32) | grams[~known].astype(np.int64), return_counts=True)
+        return np.bincount(text, logs, minlength=len(sizes)), _listed(keys, counts, len(sizes))
+
+
+def costs(wanted: DataFrame, learned: DataFrame) -> DataFrame:
+    """g and cost of every wanted string (g), from the counts of all learned ones (g, n), as ``Trie.cost`` has them.
+
+    Each order is two tables that are joined to the strings: counts of pairs, and sums by context. Contexts of two
+    bytes and pairs of two are 65,536 at most; a key of three bytes is shared by 256 strings at most.
+    """
+    found, below, names = wanted.select("g"), None, []
+    for order in range(ORDER + 1):
+        low = F.col("g").bitwiseAND((1 << 8 * (order + 1)) - 1)
+        pairs = learned.groupBy(low.alias("_pair")).agg(F.sum("n").alias(f"count{order}"))
+        shorter = pairs.withColumn("_shorter", F.lit(0))
+        if below is not None:
+            shorter = pairs.withColumn("_below", F.col("_pair").bitwiseAND((1 << 8 * order) - 1)).join(
+                below.select(F.col("_pair").alias("_below"), F.col(f"count{order - 1}").alias("_shorter")), "_below")
+        contexts = shorter.groupBy(F.shiftright("_pair", 8).alias("_context")).agg(
+            F.sum(f"count{order}").alias(f"total{order}"), F.count("*").alias(f"kinds{order}"),
+            F.sum("_shorter").cast("long").alias(f"shorter{order}"))
+        small = lambda df, at_most: F.broadcast(df) if order <= at_most else df
+        found = found.withColumns({"_pair": low, "_context": F.shiftright(low, 8)}).join(
+            small(contexts, 2), "_context", "left").join(small(pairs, 1), "_pair", "left").drop("_pair", "_context")
+        names.append([f"{x}{order}" for x in ("count", "total", "kinds", "shorter")])
+        below = pairs
+
+    def walk(batches):
+        for b in batches:
+            levels = [[b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in cols] for cols in names]
+            logs = descend(b.num_rows, lambda order, left: tuple(x[left] for x in levels[order]))
+            yield pa.RecordBatch.from_arrays([b.column("g"), pa.array(logs)], names=["g", "cost"])
+
+    return found.mapInArrow(walk, "g long, cost double")
 
 
 def _floor_for(counts: DataFrame, most: int) -> int:
@@ -226,16 +299,21 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, kinds = whole["n"], whole["v"]
 
-    nodes = grams.where(F.col("n") >= _floor_for(grams, MAX_NODES)).toPandas()
-    keys = np.array([int.from_bytes(k[1:], "big") for k in nodes["key"]], np.int64)
-    trie = Trie(keys, nodes["n"].to_numpy(np.int64))
+    learned = grams.select(F.conv(F.hex(F.substring("key", 2, ORDER + 1)), 16, 10).cast("long").alias("g"), "n")
+    whole_trie = learned.count() <= MAX_NODES
+    if whole_trie:
+        nodes = learned.toPandas()
+        model = Trie(nodes["g"].to_numpy(np.int64), nodes["n"].to_numpy(np.int64))
+    else:
+        nodes = costs(learned.where(F.col("n") >= _floor_for(learned, MAX_NODES)), learned).toPandas()
+        model = Frequent(nodes["g"].to_numpy(np.int64), nodes["cost"].to_numpy(np.float64))
     floor = _floor_for(words, MAX_HELD_WORDS)
     frequent = words.where(F.col("n") >= floor).toPandas()
     held = dict(zip((k[1:] for k in frequent["key"]), frequent["n"].tolist()))
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = (f"doc_id {id_type}, held_out boolean, row long, n_tokens long, held_known long, held_logs double, "
-              "score double, rare array<struct<key:binary,n:long>>")
+              "score double, rare array<struct<key:binary,n:long>>, rare_grams array<struct<g:long,n:long>>")
     rare_type = pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64())]))
 
     def run(batches):
@@ -251,11 +329,12 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
                 logs.append(float(np.dot(np.log10([c + 1 for c, _ in got]), [n for _, n in got])) if got else 0.0)
                 rare.append([{"key": b"t" + w, "n": n} for w, n in found.items() if w not in held])
             n = piece.num_rows
+            scores, rare_grams = model.score(data, offsets)
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), piece.column(1), pa.array(np.arange(row, row + n)), pa.array(tokens, pa.int64()),
-                 pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(trie.score(data, offsets)),
-                 pa.array(rare, rare_type)],
-                names=["doc_id", "held_out", "row", "n_tokens", "held_known", "held_logs", "score", "rare"])
+                 pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(scores),
+                 pa.array(rare, rare_type), rare_grams],
+                names=["doc_id", "held_out", "row", "n_tokens", "held_known", "held_logs", "score", "rare", "rare_grams"])
             row += n
 
     scored = staged(docs.select("doc_id", "held_out", low).mapInArrow(run, schema), "scoring-rows")
@@ -264,10 +343,17 @@ def score(docs: DataFrame, train: DataFrame) -> DataFrame:
         .join(words.where(F.col("n") < floor), "key") \
         .groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"))
     zero = F.lit(0)
+    score_of = F.col("score")
+    if not whole_trie:
+        strings = scored.select("row", F.explode("rare_grams").alias("r")).select("row", "r.g", F.col("r.n").alias("times"))
+        below = strings.join(costs(strings.select("g").distinct(), learned), "g").groupBy("row").agg(
+            F.sum(F.col("times") * F.col("cost")).alias("below"))
+        scored = scored.join(below, "row", "left")
+        score_of = score_of + F.coalesce("below", zero)
     return scored.join(joined, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("held_known") + F.coalesce("known", zero)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("held_logs") + F.coalesce("logs", zero)
          - F.col("n_tokens") * float(np.log10(total + kinds + 1))).alias("base_score"),
-        "score")
+        score_of.alias("score"))
