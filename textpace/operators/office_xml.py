@@ -26,9 +26,19 @@ def _member(members: DataFrame, path: str) -> DataFrame:
     return members.where(F.col("path") == path).groupBy("doc_id").agg(F.max("content").alias("content"))
 
 
-def _tags(members: DataFrame, path: str) -> DataFrame:
+def _wanted(toks: Column, names: tuple[str, ...], text: bool) -> Column:
+    """Tags of the names, and text where asked for, as structs of pos and tok, so that no other token becomes a row.
+
+    The pattern may let a tag of another name through; ``name`` tells it apart later.
+    """
+    tag = rf"^</?(?:[^\s/>:]+:)?(?iu:{'|'.join(names)})(?![^\s/>:?!])"
+    shown = lambda t: t.rlike(tag) | (~t.startswith("<") | t.startswith("<![CDATA[")) if text else t.rlike(tag)
+    return F.filter(F.transform(toks, lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))), lambda x: shown(x["tok"]))
+
+
+def _tags(members: DataFrame, path: str, *names: str, text: bool = False) -> DataFrame:
     """Tokens of one member: doc_id, pos, tok, name (null for text), closes, empty."""
-    return _described(_member(members, path).select("doc_id", F.posexplode(X.tokens(F.col("content"))).alias("pos", "tok")))
+    return _described(_member(members, path).select("doc_id", F.inline(_wanted(X.tokens(F.col("content")), names, text))))
 
 
 def _described(toks: DataFrame) -> DataFrame:
@@ -54,7 +64,7 @@ def _ordered(*keys: str):
 def styles(members: DataFrame) -> DataFrame:
     """doc_id, style_id, style_name. Of repeated ids, and of names in one style, the last counts."""
     upto = _ordered("doc_id")
-    toks = _tags(members, STYLES)
+    toks = _tags(members, STYLES, "style", "name")
     inside = toks.select(
         "*", _depth("style", upto).alias("in_style"),
         F.last(F.when(_opens("style"), F.struct("pos", X.attribute(F.col("tok"), "styleId").alias("id"))), ignorenulls=True)
@@ -68,7 +78,7 @@ def styles(members: DataFrame) -> DataFrame:
 def notes(members: DataFrame) -> DataFrame:
     """doc_id, note_id, text of every note; text of a repeated id is that of its last element."""
     upto = _ordered("doc_id")
-    inside = _tags(members, NOTES).select(
+    inside = _tags(members, NOTES, "footnote", "t", text=True).select(
         "*", _depth("footnote", upto).alias("in_note"), _depth("t", upto).alias("in_text"),
         F.sum(_opens("footnote").cast("int")).over(upto).alias("n"),
         F.last(F.when(_opens("footnote"), F.struct(X.attribute(F.col("tok"), "id").alias("id"))), ignorenulls=True)
@@ -80,7 +90,7 @@ def notes(members: DataFrame) -> DataFrame:
 
 def relations(members: DataFrame) -> DataFrame:
     """doc_id, rel_id, target; of repeated ids the last counts."""
-    tags = _tags(members, RELATIONS).where(_opens("relationship")).select(
+    tags = _tags(members, RELATIONS, "relationship").where(_opens("relationship")).select(
         "doc_id", "pos", X.attribute(F.col("tok"), "Id").alias("rel_id"), X.attribute(F.col("tok"), "Target").alias("target"))
     return tags.where(F.col("rel_id").isNotNull() & F.col("target").isNotNull()).groupBy("doc_id", "rel_id").agg(
         F.max_by("target", "pos").alias("target"))
@@ -151,7 +161,8 @@ def read_body(members: DataFrame) -> dict[str, DataFrame]:
             F.when((F.col("in_rpr") > 0) & _opens("rfonts"), font))))).alias("fonts"))
     embed = X.attribute(F.col("tok"), "embed")
     uses = parts.where(_opens("blip")).select("doc_id", "para_idx", embed.alias("rel_id")).where("rel_id IS NOT NULL")
-    refs = body.where(_opens("footnotereference")).select(
+    in_body = _tags(members, BODY, "body", "footnotereference").select("*", _depth("body", upto).alias("in_body"))
+    refs = in_body.where((F.col("in_body") > 0) & _opens("footnotereference")).select(
         "doc_id", X.attribute(F.col("tok"), "id").alias("note_id")).where("note_id IS NOT NULL")
     return {"paras": paras, "runs": runs, "uses": uses, "refs": refs, "cells": _cells(body)}
 
