@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
 from pyspark.sql import Column, functions as F
 
 from textpace.functions.words import let
@@ -62,3 +66,56 @@ def opening_tags(text: Column, name: str) -> Column:
     """Opening tags of one element, with any prefix, in order; none inside comments."""
     tag = rf"""<(?:[^\s<>/:]+:)?{name}(?=[\s/>])(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
     return F.regexp_extract_all(without_comments(text), F.lit(tag), F.lit(0))
+
+
+# --- the same rules inside a task, for walks that must count open elements ---
+
+_TOKEN, _NAME, _REFERENCE = re.compile(TOKEN, re.A), re.compile(NAME, re.A), re.compile(REFERENCE, re.A)
+BLIP = re.compile(r"<(?:[^\s/>:]+:)?blip\b", re.A)
+# Tags that give a paragraph style, number, font, image or white space.
+SAYING = frozenset(("pstyle", "ilvl", "numpr", "rfonts", "blip", "tab", "br"))
+
+
+# A table tag, or what may hold the like without being one.
+TABLE = re.compile(r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|</?(?:[^\s/>:!?]+:)?(?i:tbl)(?![^\s/>?!])(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>""", re.A)
+
+
+def pieces(text: str, start: int = 0) -> Iterator[re.Match]:
+    return _TOKEN.finditer(text, start)
+
+
+def pieces_of(text: str) -> list[str]:
+    return _TOKEN.findall(text)
+
+
+@lru_cache(8192)
+def named(tag: str) -> tuple[str, int, bool]:
+    """Local name ("" for comments and the like), what the tag adds to the open elements, whether it opens one."""
+    found = None if tag.startswith("<!--") else _NAME.match(tag)
+    closes = tag.startswith("</")
+    return found[1].lower() if found else "", 0 if tag.endswith("/>") else -1 if closes else 1, not closes
+
+
+def is_text(tok: str) -> bool:
+    return tok[0] != "<" or tok.startswith("<![CDATA[")
+
+
+def _character(found: re.Match) -> str:
+    ref = found[1]
+    if ref[0] != "#":
+        return NAMED[ref]
+    n = int(ref[2:], 16) if ref[1] in "xX" else int(ref[1:])
+    return chr(n) if 1 <= n <= 0xD7FF or 0xE000 <= n <= 0x10FFFF else found[0]
+
+
+def text_in(token: str) -> str:
+    """As ``text_of``, for a token of text."""
+    if token.startswith("<![CDATA["):
+        return token[9:-3]
+    return _REFERENCE.sub(_character, token) if "&" in token else token
+
+
+def attribute_of(tag: str, name: str) -> str | None:
+    """As ``attribute``."""
+    found = re.search(rf"""\s(?:[^\s=:"'<>]+:)?{name}\s*=\s*("[^"]*"|'[^']*')""", tag, re.A)
+    return text_in(found[1][1:-1]) if found else None

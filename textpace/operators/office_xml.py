@@ -2,16 +2,21 @@
 
 ``members`` has doc_id, path and content (text; null for binary members). A member is one row, so
 its tokens and every window below are bounded by that row. Members are placed by document before
-they are cut into tokens, and all windows reuse that placement. Missing, null and empty members
+they are cut into tokens, and all groupings by document reuse that placement. The body, whose table
+cells are many times the text, is walked by a small Arrow function that emits only what is kept. Missing, null and empty members
 give no rows; of members that repeat a path the greatest content counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from textpace.functions import web as H
 from textpace.functions import xml as X
+from textpace.operators.ordered import by_key
 from textpace.session import guard
 
 # --- fixed values: members and font attributes of the format ---
@@ -23,7 +28,7 @@ FONTS = ("ascii", "hAnsi", "eastAsia", "cs")
 
 def _member(members: DataFrame, path: str) -> DataFrame:
     guard(members.sparkSession)
-    return members.where(F.col("path") == path).groupBy("doc_id").agg(F.max("content").alias("content"))
+    return by_key(members.where(F.col("path") == path).select("doc_id", "content"), "doc_id").groupBy("doc_id").agg(F.max("content").alias("content"))
 
 
 def _wanted(toks: Column, names: tuple[str, ...], text: bool) -> Column:
@@ -107,22 +112,133 @@ def _joined(text: Column) -> Column:
         F.sort_array(F.collect_list(F.when(text.isNotNull(), F.struct("pos", text.alias("s"))))), lambda x: x["s"]), "")
 
 
-def _body(members: DataFrame) -> DataFrame:
-    """Body tokens outside formulas, with their table depth. ``shown`` marks images with a stored file."""
+# A token of a body paragraph, with what was open around it.
+_INT, _LONG, _TEXT, _FLAG = T.IntegerType(), T.LongType(), T.StringType(), T.BooleanType()
+PIECE = T.StructType([T.StructField(n, t) for n, t in (
+    ("pos", _INT), ("tok", _TEXT), ("para_idx", _LONG), ("run_idx", _LONG), ("in_ppr", _FLAG), ("in_r", _FLAG),
+    ("in_rpr", _FLAG), ("in_text", _FLAG))])
+CELL = T.StructType([T.StructField(n, t) for n, t in (
+    ("table_idx", _LONG), ("row_idx", _LONG), ("cell_idx", _LONG), ("text", _TEXT))])
+
+
+def _listed(found: list, kind: T.StructType) -> pa.Array:
+    """One list of structs for each of a batch's members, from lists of tuples."""
+    ends = np.cumsum([0] + [len(rows) for rows in found], dtype=np.int32)
+    columns = list(zip(*(row for rows in found for row in rows))) or [[] for _ in kind]
+    fields = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, kind)]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, kind.names))
+
+
+def _after_table(content: str, start: int) -> int:
+    """Where the table ends whose opening tag ends at ``start``. Only table tags are looked at."""
+    depth, at = 1, start
+    while depth > 0:
+        tag = X.TABLE.search(content, at)
+        if not tag:
+            return len(content)
+        at = tag.end()
+        if tag[0][1] != "!":
+            depth += X.named(tag[0])[1]
+    return at
+
+
+def _pieces(content: str, stored: list) -> list:
+    """The tokens of a body's paragraphs that say something, in one pass that counts open elements."""
+    n = dict.fromkeys(("body", "omath", "t", "p", "ppr", "r", "rpr"), 0)
+    para, run, seen, out, at = -1, 0, None, [], 0
+    while at < len(content):
+        for found in X.pieces(content, at):
+            tok, at = found[0], found.end()
+            text = X.is_text(tok)
+            name, step, opens = ("", 0, False) if text else X.named(tok)
+            if name == "tbl" and step > 0:
+                at = _after_table(content, at)
+                break
+            if name in n and (n["body"] > 0 or name in ("body", "omath", "t")):
+                n[name] += step
+            if n["body"] <= 0:
+                continue
+            shown = name == "blip" and opens and X.BLIP.match(tok) and X.attribute_of(tok, "embed") in stored
+            if (name == "p" and opens) or shown or (name == "omath" and not opens and n["omath"] == 0):
+                para, run = para + 1, 0
+            if n["p"] <= 0 or n["omath"] != 0:
+                continue
+            in_run = n["r"] > 0
+            if name == "r" and opens and in_run:
+                run += 1
+            if (n["t"] > 0 if text else opens and name in X.SAYING) or (in_run and seen != (para, run)):
+                seen = (para, run) if in_run else seen
+                out.append((found.start(), tok, para, run, n["ppr"] > 0, in_run, n["rpr"] > 0, n["t"] > 0))
+    return out
+
+
+CELL_TAGS = frozenset(("body", "tbl", "tr", "tc", "t", "tab", "br", "p"))
+
+
+def _table_cells(content: str) -> list:
+    """Cells of a body's tables. A token belongs to the table opened last at its depth."""
+    body = level = in_text = 0
+    count, at, held = -1, None, None
+    table, rows, cells, depth, texts = {}, {}, {}, {}, {}
+    for tok in X.pieces_of(content):
+        if tok[0] != "<" or tok.startswith("<![CDATA["):
+            if held is not None and in_text > 0:
+                held.append(X.text_in(tok))
+            continue
+        name, step, opens = X.named(tok)
+        if name not in CELL_TAGS:
+            continue
+        if name == "t":
+            in_text += step
+            continue
+        if name == "tab" or name == "br" or name == "p":
+            if opens and held is not None:
+                held.append(" ")
+            continue
+        if name == "body":
+            body += step
+        elif name == "tbl":
+            level += step
+            if step > 0 and body > 0:
+                count += 1
+                table[level] = count
+        held = None
+        if body <= 0 or level <= 0:
+            continue
+        at = table.get(level)
+        if name == "tr" and opens:
+            rows[at] = rows.get(at, -1) + 1
+        row = (at, rows.get(at, -1))
+        if name == "tc":
+            depth[at] = depth.get(at, 0) + step
+            if opens:
+                cells[row] = cells.get(row, -1) + 1
+        cell = (*row, cells.get(row, -1))
+        if depth.get(at, 0) > 0:
+            held = texts.setdefault(cell, [])
+        elif name == "tc" and step == 0:
+            texts.setdefault(cell, [])
+    return [(*k, "".join(v)) for k, v in texts.items()]
+
+
+@F.arrow_udf(T.ArrayType(PIECE))
+def _body_pieces(content: pa.Array, stored: pa.Array) -> pa.Array:
+    return _listed([_pieces(c or "", s or []) for c, s in zip(content.to_pylist(), stored.to_pylist())], PIECE)
+
+
+@F.arrow_udf(T.ArrayType(CELL))
+def _body_cells(content: pa.Array) -> pa.Array:
+    return _listed([_table_cells(c or "") for c in content.to_pylist()], CELL)
+
+
+def _parts(members: DataFrame) -> DataFrame:
+    """Tokens of body paragraphs outside tables and formulas, one row for each that says something."""
     stored = relations(members).select(
         "doc_id", "rel_id", F.regexp_replace("target", r"^\./", "").alias("path")
     ).join(media(members), ["doc_id", "path"], "left_semi").groupBy("doc_id").agg(F.collect_set("rel_id").alias("stored"))
     rows = _member(members, BODY).join(stored, "doc_id", "left")
-    image = lambda t: F.when(t.rlike(r"^<(?:[^\s/>:]+:)?blip\b"), X.attribute(t, "embed"))
-    # Each token is looked up before the explode, so that no token row carries the list.
-    toks = _described(rows.select("doc_id", F.posexplode(F.transform(X.tokens(F.col("content")), lambda t: F.struct(
-        t.alias("tok"), F.coalesce(F.array_contains("stored", image(t)), F.lit(False)).alias("shown")))).alias("pos", "t"))
-        .select("doc_id", "pos", "t.tok", "t.shown"))
-    upto = _ordered("doc_id")
-    deep = toks.select(
-        "*", _depth("body", upto).alias("in_body"), _depth("tbl", upto).alias("table_depth"),
-        _depth("omath", upto).alias("in_math"), _depth("t", upto).alias("in_text"))
-    return deep.where(F.col("in_body") > 0)
+    toks = rows.select("doc_id", F.inline(_body_pieces("content", "stored")))
+    return toks.withColumns({"name": X.local_name(F.col("tok")), "closes": F.lit(False)})
 
 
 def read_body(members: DataFrame) -> dict[str, DataFrame]:
@@ -130,18 +246,12 @@ def read_body(members: DataFrame) -> dict[str, DataFrame]:
 
     A paragraph outside tables is cut where an image with a stored file or a formula stands; what
     follows has no style of its own. Formulas leave the text. A table in a cell is a table of its
-    own, numbered after the one around it, and its text is not in that cell.
+    own, numbered after the one around it, and its text is not in that cell. What is open at a token
+    is counted in one pass over its member, so that tokens which say nothing never become rows.
     """
-    body = _body(members)
-    upto = _ordered("doc_id")
-    flow = body.where(F.col("table_depth") == 0)
-    formula_end = (F.col("name") == "omath") & F.col("closes") & (F.col("in_math") == 0)
-    edge = _opens("p") | F.col("shown") | F.coalesce(formula_end, F.lit(False))
-    parts = flow.select("*", (F.sum(edge.cast("int")).over(upto) - 1).alias("para_idx"), _depth("p", upto).alias("in_p"),
-                        _depth("ppr", upto).alias("in_ppr"), _depth("r", upto).alias("in_r"), _depth("rpr", upto).alias("in_rpr")
-                        ).where((F.col("in_p") > 0) & (F.col("in_math") == 0))
-    text = F.when(F.col("in_text") > 0, X.text_of(F.col("tok"))).when(_opens("tab") & (F.col("in_ppr") == 0), "\t").when(_opens("br"), "\n")
-    in_ppr = F.col("in_ppr") > 0
+    parts = _parts(members)
+    text = F.when(F.col("in_text"), X.text_of(F.col("tok"))).when(_opens("tab") & ~F.col("in_ppr"), "\t").when(_opens("br"), "\n")
+    in_ppr = F.col("in_ppr")
     style = F.when(in_ppr & _opens("pstyle"), X.attribute(F.col("tok"), "val"))
     level = F.when(in_ppr & _opens("ilvl"), X.attribute(F.col("tok"), "val").try_cast("int"))
     para = parts.groupBy("doc_id", "para_idx").agg(
@@ -151,43 +261,25 @@ def read_body(members: DataFrame) -> dict[str, DataFrame]:
         F.coalesce(F.bool_or(text.isNotNull()), F.lit(False)).alias("_text"))
     paras = para.where(F.col("_text") | F.col("_numbered") | F.col("style_id").isNotNull()).select(
         "doc_id", "para_idx", "style_id", F.when(F.col("_numbered"), F.coalesce("_level", F.lit(0))).alias("num_level"))
-    run_no = F.sum(_opens("r").cast("int")).over(_ordered("doc_id", "para_idx")).alias("run_idx")
     font = F.filter(
         F.array(*[F.regexp_replace(X.attribute(F.col("tok"), a), r"""^[\s"']+|[\s"']+$""", "") for a in FONTS]),
         lambda f: f.isNotNull() & (f != ""))
-    runs = parts.where(F.col("in_r") > 0).select("*", run_no).groupBy("doc_id", "para_idx", "run_idx").agg(
+    runs = parts.where("in_r").groupBy("doc_id", "para_idx", "run_idx").agg(
         _joined(text).alias("text"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(
-            F.when((F.col("in_rpr") > 0) & _opens("rfonts"), font))))).alias("fonts"))
+            F.when(F.col("in_rpr") & _opens("rfonts"), font))))).alias("fonts"))
     embed = X.attribute(F.col("tok"), "embed")
     uses = parts.where(_opens("blip")).select("doc_id", "para_idx", embed.alias("rel_id")).where("rel_id IS NOT NULL")
-    in_body = _tags(members, BODY, "body", "footnotereference").select("*", _depth("body", upto).alias("in_body"))
+    in_body = _tags(members, BODY, "body", "footnotereference").select("*", _depth("body", _ordered("doc_id")).alias("in_body"))
     refs = in_body.where((F.col("in_body") > 0) & _opens("footnotereference")).select(
         "doc_id", X.attribute(F.col("tok"), "id").alias("note_id")).where("note_id IS NOT NULL")
-    return {"paras": paras, "runs": runs, "uses": uses, "refs": refs, "cells": _cells(body)}
+    return {"paras": paras, "runs": runs, "uses": uses, "refs": refs, "cells": _cells(members)}
 
 
-def _cells(body: DataFrame) -> DataFrame:
-    """doc_id, table_idx, row_idx, cell_idx, text of every cell.
-
-    A token belongs to the table last opened at its depth, so a window by depth reads the stack of
-    open tables. Paragraphs of a cell are joined by a space.
-    """
-    opened = F.when(_opens("tbl") & ~F.col("empty"), F.col("table_depth"))
-    numbered = body.where((F.col("table_depth") > 0) | F.col("name").eqNullSafe("tbl")).select(
-        "*", (F.sum(opened.isNotNull().cast("int")).over(_ordered("doc_id")) - 1).alias("_n"))
-    own = numbered.where("table_depth > 0").select(
-        "*", F.last(F.when(opened.isNotNull(), F.col("_n")), ignorenulls=True).over(
-            _ordered("doc_id", "table_depth")).cast("long").alias("table_idx"))
-    in_table = _ordered("doc_id", "table_idx")
-    rows = own.select(
-        "*", (F.sum(_opens("tr").cast("int")).over(in_table) - 1).alias("row_idx"), _depth("tc", in_table).alias("in_tc"))
-    cells = rows.select(
-        "*", (F.sum(_opens("tc").cast("int")).over(_ordered("doc_id", "table_idx", "row_idx")) - 1).alias("cell_idx"))
-    text = F.when(F.col("in_text") > 0, X.text_of(F.col("tok"))).when(_opens("tab", "br", "p"), " ")
-    held = (F.col("in_tc") > 0) | (F.col("name").eqNullSafe("tc") & F.col("empty"))
-    return cells.where(held).groupBy("doc_id", "table_idx", "row_idx", "cell_idx").agg(
-        H.collapse(_joined(text)).alias("text"))
+def _cells(members: DataFrame) -> DataFrame:
+    """doc_id, table_idx, row_idx, cell_idx, text of every cell. Paragraphs of a cell are joined by a space."""
+    return _member(members, BODY).select("doc_id", F.inline(_body_cells("content"))).withColumn(
+        "text", H.collapse(F.col("text")))
 
 
 def read_documents(members: DataFrame) -> dict[str, DataFrame]:

@@ -276,14 +276,13 @@ def office_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('<Relationship Id=\"rId', i, '\" Target=\"./media/image', i, '.png\"/>')"), F.lit("</Relationships>"))
     styles = F.lit("<w:styles><w:style w:styleId='S1'><w:name w:val='Заголовок 3'/></w:style>"
                    "<w:style w:styleId=\"S2\"><w:name w:val=\"Block Text\"/></w:style></w:styles>")
-    parts = F.array(
-        F.struct(F.lit("word/document.xml").alias("path"), body.alias("content")),
-        F.struct(F.lit("word/footnotes.xml").alias("path"), notes.alias("content")),
-        F.struct(F.lit("word/_rels/document.xml.rels").alias("path"), rels.alias("content")),
-        F.struct(F.lit("word/styles.xml").alias("path"), styles.alias("content")))
-    media = F.transform(F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: i % 2 == 0), lambda i: F.struct(
-        F.concat(F.lit("word/media/image"), i.cast("string"), F.lit(".png")).alias("path"), F.lit(None).cast("string").alias("content")))
-    return docs.select("doc_id", F.inline(F.concat(parts, media)))
+    # A table of its own for each member, so that a reader of one path makes no other.
+    at = lambda path, content: docs.select("doc_id", F.lit(path).alias("path"), content.alias("content"))
+    media = docs.select("doc_id", F.explode(F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: i % 2 == 0)).alias("i")).select(
+        "doc_id", F.concat(F.lit("word/media/image"), F.col("i").cast("string"), F.lit(".png")).alias("path"),
+        F.lit(None).cast("string").alias("content"))
+    return (at("word/document.xml", body).unionByName(at("word/footnotes.xml", notes))
+            .unionByName(at("word/_rels/document.xml.rels", rels)).unionByName(at("word/styles.xml", styles)).unionByName(media))
 
 
 def office_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
