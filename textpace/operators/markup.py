@@ -69,10 +69,10 @@ def blocks(pages: DataFrame, key: str = "page_id", text: str = "html") -> DataFr
         F.coalesce(boundary, F.lit(False)).alias("boundary"),
     )
     li_opens = (tag == "li") & ~closes & (F.col("ld") == 1) & F.col("in_unit")
+    # A unit splits the text around it, so its start and end both begin a new segment.
+    cuts = F.col("boundary") | opens_unit | (is_wrap & closes & (F.col("wd") == 0))
     seg = staged.select(
-        "*",
-        # A unit splits the text around it, so its start and end both begin a new segment.
-        F.sum((F.col("boundary") | opens_unit | (is_wrap & closes & (F.col("wd") == 0))).cast("int")).over(upto).alias("seg"),
+        "*", cuts.alias("cuts"), F.sum(cuts.cast("int")).over(upto).alias("seg"),
         F.coalesce(F.sum(F.coalesce(li_opens, F.lit(False)).cast("int")).over(upto), F.lit(0)).alias("item"),
         F.last(F.when(F.col("boundary"), F.struct("tag", "is_close")), ignorenulls=True).over(upto).alias("b"),
     )
@@ -91,10 +91,11 @@ def blocks(pages: DataFrame, key: str = "page_id", text: str = "html") -> DataFr
         F.max(free_img).over(Window.partitionBy(key, "seg")).alias("has_img"),
         F.sum(F.coalesce(tag == "img", F.lit(False)).cast("int")).over(
             Window.partitionBy(key, "unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("unit_img"))
-    # A segment that spans a whole container (opened before, closed after) is one paragraph.
-    ends = pieces.groupBy(key, (F.col("seg") - 1).alias("seg")).agg(
-        F.min_by(F.struct("tag", "is_close"), "pos").alias("next_b"))
-    joined = pieces.join(ends, [key, "seg"], "left")
+    # A segment that spans a whole container (opened before, closed after) is one paragraph. The tag
+    # that starts the next segment is the last one seen from behind, so that no token row is joined.
+    behind = Window.partitionBy(key).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    joined = pieces.select(
+        "*", F.last(F.when(F.col("cuts"), F.struct("tag", "is_close")), ignorenulls=True).over(behind).alias("next_b"))
     leaf = (F.col("b.tag").isin([*HEADINGS, "p"]) & ~F.col("b.is_close"))
     whole = ~F.col("has_img") & ~F.col("b.is_close") & (F.col("next_b.tag") == F.col("b.tag")) & F.col("next_b.is_close")
     part = F.when(F.col("in_unit"), F.when(F.col("unit_tag").isin("ul", "ol"), F.col("item")).otherwise(0)) \

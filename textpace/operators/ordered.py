@@ -18,6 +18,18 @@ from textpace.session import guard
 SPAN = 4096
 # Tasks for each shuffle partition where compact rows are to be exploded: a token row is many times its share of the text.
 FINE = 16
+# Bytes of input files for which there is one task at least, so that what a task holds does not grow with the input.
+TASK_BYTES = 512 << 10
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files that a table is read from; 0 where it comes from none."""
+    spark, size = df.sparkSession, 0
+    conf = spark._jsc.hadoopConfiguration()
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return size
 
 
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
@@ -25,11 +37,12 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
 
     The explode keeps the partitioning, so later windows on the same key need no
     further shuffle: one text row moves instead of thousands of token rows. What a task sorts is the
-    exploded rows, so there are ``FINE`` tasks for each shuffle partition, which no later step joins up
-    by the size of the compact rows.
+    exploded rows, so there are ``FINE`` tasks for each shuffle partition, and one for each ``TASK_BYTES``
+    of input files, which no later step joins up by the size of the compact rows.
     """
     guard(df.sparkSession)
-    return df.repartition(FINE * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    tasks = FINE * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, -(-input_bytes(df) // TASK_BYTES)), *keys)
 
 
 def span_bucket(ordinal: str, span: int = SPAN) -> Column:
