@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textpace.operators.ordered import by_key
 from textpace.sources.tables import table
 
 
@@ -308,7 +309,10 @@ def office_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     rels = lines.select("doc_id", F.concat(F.lit("rId"), i.cast("string")).alias("rel_id"),
                         F.concat(F.lit("./media/image"), i.cast("string"), F.lit(".png")).alias("target"))
     media = lines.where(i % 2 == 0).select("doc_id", F.concat(F.lit("media/image"), i.cast("string"), F.lit(".png")).alias("path"))
-    cells = lines.select("doc_id", F.floor(i / 4).alias("table_idx"), (i % 4).alias("row_idx"),
+    # Cells are many times the rows of their text: the text is placed by document, and no cell moves again.
+    placed = by_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("para_idx", "line"))
+    cells = placed.select("doc_id", F.floor(i / 4).alias("table_idx"), (i % 4).alias("row_idx"),
                          F.posexplode(F.split("line", " ")).alias("cell_idx", "text"))
     return {"paras": paras, "styles": styles, "runs": runs, "notes": notes, "refs": refs, "uses": uses,
             "rels": rels, "media": media, "cells": cells}
