@@ -91,3 +91,8 @@ def normalize_match(text: Column) -> Column:
 def let(value: Column, use) -> Column:
     """Bind a computed value so that a per-element expression reads it instead of redoing it."""
     return F.transform(F.array(value), use)[0]
+
+
+def bind(value: Column, use) -> Column:
+    """``let`` inside a fold: what ``use`` returns, such as all that was collected so far, is not copied."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, use)
