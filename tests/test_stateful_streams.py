@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import Row
+
 from textpace.streaming import stateful
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -71,3 +73,33 @@ def test_daily_activity_with_late_rows(spark, tmp_path):
             want[u, t.date()] = (m + s / 60, n + 1)
     got = {(r.user_id, r.day): (round(r.minutes, 6), r.sessions) for r in stateful.daily_activity(spark, out).collect()}
     assert got == {k: (round(m, 6), n) for k, (m, n) in want.items()}
+
+
+def test_state_of_a_user_is_read_and_written_once_a_batch():
+    """Each call is a message to the JVM, and users come one after another."""
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    sessions = stateful.Sessions(dt.timedelta(days=2), dt.timedelta(minutes=30))
+    sessions.init(Handle())
+    minutes = lambda *ms: iter([Row(user_id=7, us=m * 60_000_000) for m in ms])
+    first = list(sessions.handleInputRows((7,), minutes(0, 100, 10), None))
+    assert calls == ["get", "update"]
+    assert [(r.start_us, r.n_events, r.change) for r in first] == [(0, 2, "set"), (100 * 60_000_000, 1, "set")]
+    second = list(sessions.handleInputRows((7,), minutes(35), None))
+    assert calls == ["get", "update"] * 2
+    assert [(r.start_us, r.n_events, r.change) for r in second] == [(0, 3, "set")]
