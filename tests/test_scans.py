@@ -159,3 +159,16 @@ def test_rows_to_be_exploded_are_placed_in_many_tasks(spark):
     sizes = [len(p) for p in df.rdd.glom().collect()]
     # Not joined up by adaptive execution, however small the compact rows are.
     assert len(sizes) == FINE * n and sum(sizes) == 5000 and max(sizes) < 2 * 5000 / len(sizes) + 30
+
+
+def test_hit_states_find_words_once(spark):
+    """Exploding a plain column adds a filter on its size, for which all words were found a second time."""
+    from textpace.operators.search import hit_states
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(2, "doc_id")
+    plan = hit_states(docs, "tion")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    few = spark.createDataFrame([(1, "a nation, an option"), (2, None), (3, "")], "doc_id INT, text STRING")
+    states = lambda *a: [(r.word_idx, r.state) for r in hit_states(few, *a).orderBy("word_idx").collect()]
+    assert states("Tion") == [(0, "none"), (1, "active"), (2, "none"), (3, "hit")]
+    assert states("tion", 1) == [(0, "none"), (1, "hit"), (2, "none"), (3, "active")]
+    assert states("") == [(i, "none") for i in range(4)]

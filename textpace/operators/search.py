@@ -150,16 +150,11 @@ def concordance(docs: DataFrame, queries: list[str], before: int = 5, after: int
 def hit_states(docs: DataFrame, text: str, active: int = 0, key: str = "doc_id") -> DataFrame:
     """State of every word for one query: none, hit, or active for match number ``active``."""
     q = text.lower()
-    tokens = docs.select(key, W.words(F.col("text")).alias("words"))
-    hits = F.filter(
-        F.transform("words", lambda w, i: F.when(F.contains(F.lower(w), F.lit(q)), i)),
-        lambda i: i.isNotNull(),
-    ) if q else F.array().cast("array<int>")
-    marked = tokens.select(
-        key, "words", F.try_element_at(hits, F.lit(active + 1)).alias("at"))
-    return marked.select(key, "at", F.posexplode("words").alias("word_idx", "word")).select(
-        key, "word_idx",
-        F.when(F.col("word_idx") == F.col("at"), "active")
-        .when(F.lit(bool(q)) & F.contains(F.lower("word"), F.lit(q)), "hit")
-        .otherwise("none").alias("state"),
-    )
+    flags = F.transform(W.words(F.col("text")), lambda w: F.contains(F.lower(w), F.lit(q)) if q else F.lit(False))
+    hits = F.filter(F.transform("flags", lambda hit, i: F.when(hit, i)), lambda i: i.isNotNull())
+    # A plain column to explode would become a filter on its size, which finds all words once more.
+    exploded = F.posexplode(F.coalesce("flags", F.array().cast("array<boolean>")))
+    return docs.select(key, flags.alias("flags")).select(
+        key, "flags", F.try_element_at(hits, F.lit(active + 1)).alias("at")).select(
+        key, "at", exploded.alias("word_idx", "hit")).select(
+        key, "word_idx", F.when(F.col("word_idx") == F.col("at"), "active").when(F.col("hit"), "hit").otherwise("none").alias("state"))
