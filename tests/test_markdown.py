@@ -149,3 +149,10 @@ def test_table_lines_equal_headers_accepted_in_order(spark):
         assert r.in_table == (r.table_at is not None)
         got[r.doc_id][r.line_idx] = r.table_at
     assert got == want
+
+
+def test_block_text_is_worked_out_once(spark):
+    """The filter on empty blocks reads the text; it does not repeat the rules that make it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = M.parse_blocks(docs).where("type = 'list'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[ xX]") == 1

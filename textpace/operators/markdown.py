@@ -281,15 +281,19 @@ def parse_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.lit("</tbody></table>"),
     )
     language = F.lower(W.trim_space(F.substring(F.col("opening"), F.lit(4), F.length("opening"))))
-    built = units.select(
+    shown = (
+        F.when(fam == "paragraph", F.when(F.size("rows") > 0, joined).otherwise(""))
+        .when(fam == "heading", M.strip_inline(title)).when(fam == "quote", quote)
+        .when(fam == "list", item).when(fam == "code", "code").when(fam == "table", "table")
+        .otherwise("formula")
+    )
+    # Exploded from an array of one, so that the filter below does not work the text out a second time.
+    built = units.select("*", F.explode(F.array(shown)).alias("text")).select(
         key, "line_idx", "family",
         F.when((fam == "paragraph") & F.col("under").isNotNull(), "heading")
         .when(fam == "math", "formula").otherwise(fam).alias("type"),
         F.when(fam == "heading", hashes).when(fam == "paragraph", F.col("under")).alias("level"),
-        F.when(fam == "paragraph", F.when(F.size("rows") > 0, joined).otherwise(""))
-        .when(fam == "heading", M.strip_inline(title)).when(fam == "quote", quote)
-        .when(fam == "list", item).when(fam == "code", "code").when(fam == "table", "table")
-        .otherwise("formula").alias("text"),
+        "text",
         F.when(fam == "code", F.nullif(language, F.lit(""))).alias("language"),
         F.when(fam == "code", raw).when(fam == "math", raw)
         .when(fam == "formula", W.trim_space(one_line)).when(fam == "table", html).alias("payload"),
