@@ -308,6 +308,16 @@ def parse_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return kept.select(key, (F.row_number().over(order) - 1).alias("block_idx"), *kept.columns[1:])
 
 
+def rendered_blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Blocks with n_words and word_offset, the place of their first word in the document.
+
+    The blocks of a document come from one row, so a plain window reuses the placement of that row.
+    """
+    counted = parse_blocks(docs, key).withColumn("n_words", W.word_count(F.col("text")))
+    before = Window.partitionBy(key).orderBy("block_idx").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("word_offset", F.coalesce(F.sum("n_words").over(before), F.lit(0)))
+
+
 def markdown_outline(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Flat outline through the line scanner, with word positions of the scanned stream."""
     lines = by_key(docs.select(key, "text"), key).select(

@@ -84,6 +84,9 @@ def scan(
     here = Window.partitionBy(place).orderBy(*order)
     upto = here.rowsBetween(Window.unboundedPreceding, 0)
     before = upto if inclusive else here.rowsBetween(Window.unboundedPreceding, -1)
+    # The hash, true of every row, names all columns: where a branch below had fewer, because a caller
+    # drops some, it would get an exchange of its own and the input would be worked out twice.
+    named = F.hash(*[f.name for f in rows.schema if not isinstance(f.dataType, MapType)]) >= -(1 << 31)
     local = rows.select(
         "*",
         *[F.sum(e).over(before).alias(f"_h_{n}") for n, e in sums.items()],
@@ -93,11 +96,8 @@ def scan(
         *[F.last(e, ignorenulls=True).over(upto).alias(f"_t_{n}") for n, e in lasts.items()],
         *[F.first(e).over(upto).alias(f"_t_{n}") for n, e in nexts.items()],
         F.lead(F.lit(True)).over(here).isNull().alias("_end"),
-    )
-    # The hash, true of every row, names all columns: with fewer, this branch would get an
-    # exchange of its own and the input would be read twice.
-    named = F.hash(*[f.name for f in rows.schema if not isinstance(f.dataType, MapType)]) >= -(1 << 31)
-    spans = local.where(F.col("_end") & named)
+    ).where(named)
+    spans = local.where("_end")
     after = Window.partitionBy(*[F.col(place)[k] for k in keys]).orderBy(F.col(place)[b])
     earlier = after.rowsBetween(Window.unboundedPreceding, -1)
     carry = spans.select(

@@ -278,8 +278,7 @@ SELECT doc_id, block_idx, type, n_words, coalesce(sum(n_words) OVER (PARTITION B
   CASE WHEN type IN ('code', 'formula', 'table') THEN payload END AS payload FROM n
 """)
 def m20(spark, sf):
-    blocks = B.word_offsets(M.parse_blocks(_md(spark, sf)))
-    return blocks.select("doc_id", "block_idx", "type", "n_words", "word_offset", "payload")
+    return M.rendered_blocks(_md(spark, sf)).select("doc_id", "block_idx", "type", "n_words", "word_offset", "payload")
 
 
 @query("m21_emoji", f"""
