@@ -76,6 +76,27 @@ BLIP = re.compile(r"<(?:[^\s/>:]+:)?blip\b", re.A)
 SAYING = frozenset(("pstyle", "ilvl", "numpr", "rfonts", "blip", "tab", "br"))
 
 
+# What a walk of table cells may pass over: comments, closing tags of what only starts, and tags of names it does not count.
+_PREFIX, _REST = r"""(?:[^\s/>:<"']++:)?+""", r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
+_PASSED = (rf"""(?:<!--.*?-->|</{_PREFIX}(?i:p|tab|br)\s*+>|"""
+           rf"""</?+(?!!){_PREFIX}(?!(?i:body|tbl|tr|tc|t|tab|br|p)[\s/>])[^\s/>:?!<"']++(?=[\s/>]){_REST})*+""")
+
+
+def _opening(name: str) -> str:
+    """An opening tag with content, whose attributes hold a slash in quotes only."""
+    return rf"""<{_PREFIX}(?i:{name})(?:\s(?:[^<>"'/]++|"[^"]*+"|'[^']*+')*+)?+>"""
+
+
+# Most cells hold one paragraph of one text: such a cell is one piece. All else is a token.
+_CELL = rf"""{_opening("tc")}{_PASSED}{_opening("p")}{_PASSED}{_opening("t")}([^<]++)</{_PREFIX}[tT]\s*+>{_PASSED}</{_PREFIX}(?i:tc)\s*+>"""
+_CELL_PIECE = re.compile(rf"(?s){_PASSED}(?:{_CELL}|({TOKEN.removeprefix('(?s)')})|\Z)", re.A)
+
+
+def cell_pieces(text: str) -> list[tuple[str, str]]:
+    """What a walk of table cells must look at: (text, "") for a cell of one text, or ("", token); ("", "") at the end."""
+    return _CELL_PIECE.findall(text)
+
+
 # A table tag, or what may hold the like without being one.
 TABLE = re.compile(r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|</?(?:[^\s/>:!?]+:)?(?i:tbl)(?![^\s/>?!])(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>""", re.A)
 
@@ -108,14 +129,18 @@ def _character(found: re.Match) -> str:
     return chr(n) if 1 <= n <= 0xD7FF or 0xE000 <= n <= 0x10FFFF else found[0]
 
 
+def decoded(text: str) -> str:
+    """As ``decode``."""
+    return _REFERENCE.sub(_character, text) if "&" in text else text
+
+
 def text_in(token: str) -> str:
     """As ``text_of``, for a token of text."""
-    if token.startswith("<![CDATA["):
-        return token[9:-3]
-    return _REFERENCE.sub(_character, token) if "&" in token else token
+    return token[9:-3] if token.startswith("<![CDATA[") else decoded(token)
 
 
+@lru_cache(8192)
 def attribute_of(tag: str, name: str) -> str | None:
     """As ``attribute``."""
     found = re.search(rf"""\s(?:[^\s=:"'<>]+:)?{name}\s*=\s*("[^"]*"|'[^']*')""", tag, re.A)
-    return text_in(found[1][1:-1]) if found else None
+    return decoded(found[1][1:-1]) if found else None

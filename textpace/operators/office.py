@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textpace.functions import markdown as M
 from textpace.functions import web as H
@@ -33,39 +33,71 @@ def _level(text: Column) -> Column:
 
 def style_types(paras: DataFrame, styles: DataFrame) -> DataFrame:
     """Block type and level of paragraphs from style id, else style name."""
-    named = paras.join(styles.select("doc_id", "style_id", F.lower("style_name").alias("_name")),
-                       ["doc_id", "style_id"], "left")
-    sid, name = F.lower(F.coalesce("style_id", F.lit(""))), F.coalesce("_name", F.lit(""))
+    named = paras.join(styles.select("doc_id", "style_id", "style_name"), ["doc_id", "style_id"], "left")
+    return named.select(*[F.col(c) for c in paras.columns], *_style_type())
+
+
+def _style_type() -> tuple[Column, Column]:
+    """Type and level by style_id, else style_name."""
+    sid, name = F.lower(F.coalesce("style_id", F.lit(""))), F.coalesce(F.lower("style_name"), F.lit(""))
     level = F.coalesce(_level(sid), _level(name))
     kind = (
         F.when(level.isNotNull(), "heading").when(_has(sid, QUOTE_NAMES) | _has(name, QUOTE_NAMES), "quote")
         .when(_has(sid, LIST_NAMES) | _has(name, LIST_NAMES), "list").otherwise("paragraph")
     )
-    return named.select(*[F.col(c) for c in paras.columns], kind.alias("type"), level.cast("int").alias("level"))
+    return kind.alias("type"), level.cast("int").alias("level")
+
+
+def _mono(run_fonts: Column) -> Column:
+    return F.forall(run_fonts, lambda f: _has(F.lower(f), MONOSPACED)) & (F.size(run_fonts) > 0)
 
 
 def paragraph_blocks(paras: DataFrame, runs: DataFrame) -> DataFrame:
     """Blocks from typed paragraphs: list bullets with indent, monospaced paragraphs as code, and
     neighbouring code paragraphs merged into one block. Empty paragraphs vanish first."""
-    mono = F.forall("fonts", lambda f: _has(F.lower(f), MONOSPACED)) & (F.size("fonts") > 0)
     shown = ~W.is_blank(F.col("text"))
     per_para = runs.groupBy("doc_id", "para_idx").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run_idx", "text"))), lambda r: r["text"]), "").alias("raw"),
-        F.coalesce(F.bool_and(F.when(shown, mono)), F.lit(False)).alias("mono"))
-    joined = paras.join(per_para, ["doc_id", "para_idx"])
+        F.coalesce(F.bool_and(F.when(shown, _mono(F.col("fonts")))), F.lit(False)).alias("mono"))
+    typed = _solid(paras.join(per_para, ["doc_id", "para_idx"]))
+    prev = running(typed, ["doc_id"], ["para_idx"], span_bucket("para_idx"), lasts={"_prev": F.col("type")})
+    unit = running(prev.withColumn("_s", _starts()), ["doc_id"], ["para_idx"], span_bucket("para_idx"),
+                   sums={"block_idx": F.col("_s")}, inclusive=True)
+    return _merged(unit)
+
+
+def document_blocks(paras: DataFrame) -> DataFrame:
+    """``paragraph_blocks`` of paragraphs that hold their style_name and runs. A document is one row of its
+    package, so plain windows serve; paragraphs move once, by document."""
+    shown = F.filter("runs", lambda r: ~W.is_blank(r["text"]))
+    mono = (F.size(shown) > 0) & F.forall(shown, lambda r: _mono(r["fonts"]))
+    typed = _solid(paras.where(F.size("runs") > 0).select(
+        "doc_id", "para_idx", "num_level", *_style_type(),
+        F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("raw"), mono.alias("mono")))
+    order = Window.partitionBy("doc_id").orderBy("para_idx")
+    prev = typed.withColumn("_prev", F.lag("type").over(order))
+    return _merged(prev.withColumn("block_idx", F.sum(_starts()).over(order.rowsBetween(Window.unboundedPreceding, 0))))
+
+
+def _solid(paras: DataFrame) -> DataFrame:
+    """Paragraphs with text, with their final type, level and text."""
     text = H.collapse(F.col("raw"))
     numbered = F.coalesce(F.col("num_level").isNotNull(), F.lit(False))
     kind = F.when(numbered, "list").otherwise(F.col("type"))
-    typed = joined.select(
+    return paras.select(
         "doc_id", "para_idx", F.when((kind == "paragraph") & F.col("mono"), "code").otherwise(kind).alias("type"),
         F.when(kind == "heading", F.col("level")).alias("level"),
         F.when(kind == "list", F.concat(F.expr("repeat('  ', coalesce(num_level, 0))"), F.lit("• "), text))
         .otherwise(text).alias("text")).where(text != "")
-    # A code paragraph starts a block unless the paragraph before it is code as well.
-    prev = running(typed, ["doc_id"], ["para_idx"], span_bucket("para_idx"), lasts={"_prev": F.col("type")})
-    starts = F.when((F.col("type") == "code") & (F.coalesce(F.col("_prev"), F.lit("")) == "code"), 0).otherwise(1)
-    unit = running(prev.withColumn("_s", starts), ["doc_id"], ["para_idx"], span_bucket("para_idx"),
-                   sums={"block_idx": F.col("_s")}, inclusive=True)
+
+
+def _starts() -> Column:
+    """A code paragraph starts a block unless the paragraph before it is code as well."""
+    return F.when((F.col("type") == "code") & (F.coalesce(F.col("_prev"), F.lit("")) == "code"), 0).otherwise(1)
+
+
+def _merged(unit: DataFrame) -> DataFrame:
+    """Paragraphs of one block_idx, which counts from 1, as one block."""
     return unit.groupBy("doc_id", (F.col("block_idx") - 1).alias("block_idx"), "type").agg(
         F.first("level").alias("level"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("para_idx", "text"))), lambda r: r["text"]), "\n").alias("body"),
@@ -95,17 +127,30 @@ def tables(cells: DataFrame) -> DataFrame:
     """One table block per table: blank rows dropped, first row as header, widest row counted."""
     rows = cells.groupBy("doc_id", "table_idx", "row_idx").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("cell_idx", "text"))), lambda c: c["text"]).alias("r"))
-    solid = rows.where(F.exists("r", lambda c: ~W.is_blank(c)))
+    return _html(rows.where(F.exists("r", _filled)).groupBy("doc_id", "table_idx").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "r"))), lambda x: x["r"]).alias("rows")))
+
+
+def document_tables(found: DataFrame) -> DataFrame:
+    """``tables`` of tables that hold their rows and those their cells, both in order: no row of a cell, and none moves."""
+    solid = F.filter(F.transform("rows", lambda r: F.transform(r["cells"], lambda c: c["text"])), lambda r: F.exists(r, _filled))
+    # Exploded from an array of one, so that the filter below does not work the rows out a second time.
+    kept = found.select("doc_id", "table_idx", F.explode(F.array(solid)).alias("rows"))
+    return _html(kept.where(F.size("rows") > 0))
+
+
+def _filled(cell: Column) -> Column:
+    return ~W.is_blank(cell)
+
 
+def _html(grouped: DataFrame) -> DataFrame:
+    """doc_id, table_idx, columns and html from rows, an array of arrays of cell texts."""
     def row(r: Column, tag: str) -> Column:
         return F.concat(F.lit("<tr>"), F.array_join(F.transform(
             r, lambda c: F.concat(F.lit(f"<{tag}>"), M.escape_html(c), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
 
-    grouped = solid.groupBy("doc_id", "table_idx").agg(
-        F.max(F.size("r")).alias("columns"),
-        F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "r"))), lambda x: x["r"]).alias("rows"))
     head = row(F.get("rows", F.lit(0)), "th")
     body = F.array_join(F.transform(F.slice("rows", 2, F.greatest(F.size("rows"), F.lit(1))), lambda r: row(r, "td")), "")
     return grouped.select(
-        "doc_id", "table_idx", "columns",
+        "doc_id", "table_idx", F.array_max(F.transform("rows", F.size)).alias("columns"),
         F.concat(F.lit("<table><thead>"), head, F.lit("</thead><tbody>"), body, F.lit("</tbody></table>")).alias("html"))

@@ -9,6 +9,9 @@ give no rows; of members that repeat a path the greatest content counts.
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -117,8 +120,19 @@ _INT, _LONG, _TEXT, _FLAG = T.IntegerType(), T.LongType(), T.StringType(), T.Boo
 PIECE = T.StructType([T.StructField(n, t) for n, t in (
     ("pos", _INT), ("tok", _TEXT), ("para_idx", _LONG), ("run_idx", _LONG), ("in_ppr", _FLAG), ("in_r", _FLAG),
     ("in_rpr", _FLAG), ("in_text", _FLAG))])
-CELL = T.StructType([T.StructField(n, t) for n, t in (
-    ("table_idx", _LONG), ("row_idx", _LONG), ("cell_idx", _LONG), ("text", _TEXT))])
+_TEXTS = T.ArrayType(_TEXT)
+
+
+def _rows_of(**fields: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
+
+
+# Paragraphs of a body that say something. ``levels`` and ``fonts`` are attribute values as they stand.
+PARAGRAPHS = _rows_of(
+    para_idx=_LONG, style_id=_TEXT, levels=_TEXTS, numbered=_FLAG, said=_FLAG,
+    runs=_rows_of(run_idx=_LONG, text=_TEXT, fonts=_TEXTS))
+# Tables of a body: their rows in order, each the texts of its cells.
+TABLES = _rows_of(table_idx=_LONG, rows=_rows_of(row_idx=_LONG, cells=_rows_of(cell_idx=_LONG, text=_TEXT)))
 
 
 def _listed(found: list, kind: T.StructType) -> pa.Array:
@@ -172,15 +186,57 @@ def _pieces(content: str, stored: list) -> list:
     return out
 
 
+def _paragraphs(content: str, stored: list) -> list:
+    """The paragraphs of a body that say something, in the form of PARAGRAPHS."""
+    out = []
+    for idx, pieces in groupby(_pieces(content, stored), itemgetter(2)):
+        style, levels, numbered, said, runs = None, [], False, False, []
+        for _, tok, _, run, in_ppr, in_run, in_rpr, in_text in pieces:
+            if in_run and (not runs or runs[-1][0] != run):
+                runs.append((run, [], []))
+            text, name = None, "" if X.is_text(tok) else X.named(tok)[0]
+            if in_text:
+                text = None if name else X.text_in(tok)
+            elif name == "br" or name == "tab" and not in_ppr:
+                text = "\n" if name == "br" else "\t"
+            if text is not None:
+                said = True
+                if in_run:
+                    runs[-1][1].append(text)
+            elif name == "rfonts" and in_rpr and in_run:
+                runs[-1][2].extend(f for f in (X.attribute_of(tok, a) for a in FONTS) if f is not None)
+            elif in_ppr and name in ("pstyle", "ilvl"):
+                value = X.attribute_of(tok, "val")
+                if name == "ilvl":
+                    levels += [] if value is None else [value]
+                else:
+                    style = style if value is None else value
+            elif in_ppr and name == "numpr":
+                numbered = True
+        out.append((idx, style, levels, numbered, said, [(i, "".join(texts), fonts) for i, texts, fonts in runs]))
+    return out
+
+
 CELL_TAGS = frozenset(("body", "tbl", "tr", "tc", "t", "tab", "br", "p"))
 
 
-def _table_cells(content: str) -> list:
-    """Cells of a body's tables. A token belongs to the table opened last at its depth."""
+def _tables(content: str) -> list:
+    """Tables of a body. A token belongs to the table opened last at its depth."""
     body = level = in_text = 0
     count, at, held = -1, None, None
     table, rows, cells, depth, texts = {}, {}, {}, {}, {}
-    for tok in X.pieces_of(content):
+    for said, tok in X.cell_pieces(content):
+        if not tok:
+            held = None
+            if said and body > 0 and level > 0:
+                at = table.get(level)
+                row = (at, rows.get(at, -1))
+                cells[row] = cells.get(row, -1) + 1
+                if depth.get(at, 0) >= 0:
+                    own = texts.setdefault((*row, cells[row]), [])
+                    own += [" ", X.decoded(said)] if in_text >= 0 else [" "]
+                    held = own if depth.get(at, 0) > 0 else None
+            continue
         if tok[0] != "<" or tok.startswith("<![CDATA["):
             if held is not None and in_text > 0:
                 held.append(X.text_in(tok))
@@ -218,7 +274,10 @@ def _table_cells(content: str) -> list:
             held = texts.setdefault(cell, [])
         elif name == "tc" and step == 0:
             texts.setdefault(cell, [])
-    return [(*k, "".join(v)) for k, v in texts.items()]
+    found: dict = {}
+    for (table_idx, row_idx, cell_idx), parts in texts.items():
+        found.setdefault(table_idx, {}).setdefault(row_idx, []).append((cell_idx, "".join(parts)))
+    return [(i, sorted((j, sorted(row)) for j, row in held.items())) for i, held in found.items()]
 
 
 @F.arrow_udf(T.ArrayType(PIECE))
@@ -226,60 +285,87 @@ def _body_pieces(content: pa.Array, stored: pa.Array) -> pa.Array:
     return _listed([_pieces(c or "", s or []) for c, s in zip(content.to_pylist(), stored.to_pylist())], PIECE)
 
 
-@F.arrow_udf(T.ArrayType(CELL))
-def _body_cells(content: pa.Array) -> pa.Array:
-    return _listed([_table_cells(c or "") for c in content.to_pylist()], CELL)
+@F.arrow_udf(PARAGRAPHS)
+def _body_paragraphs(content: pa.Array, stored: pa.Array) -> pa.Array:
+    return pa.array([_paragraphs(c or "", s or []) for c, s in zip(content.to_pylist(), stored.to_pylist())], to_arrow_type(PARAGRAPHS))
 
 
-def _parts(members: DataFrame) -> DataFrame:
-    """Tokens of body paragraphs outside tables and formulas, one row for each that says something."""
+@F.arrow_udf(TABLES)
+def _body_tables(content: pa.Array) -> pa.Array:
+    return pa.array([_tables(c or "") for c in content.to_pylist()], to_arrow_type(TABLES))
+
+
+def _bodies(members: DataFrame) -> DataFrame:
+    """doc_id, content and stored, the relation ids of stored files, of every body."""
     stored = relations(members).select(
         "doc_id", "rel_id", F.regexp_replace("target", r"^\./", "").alias("path")
     ).join(media(members), ["doc_id", "path"], "left_semi").groupBy("doc_id").agg(F.collect_set("rel_id").alias("stored"))
-    rows = _member(members, BODY).join(stored, "doc_id", "left")
-    toks = rows.select("doc_id", F.inline(_body_pieces("content", "stored")))
+    return _member(members, BODY).join(stored, "doc_id", "left")
+
+
+def _parts(members: DataFrame) -> DataFrame:
+    """Tokens of body paragraphs outside tables and formulas, one row for each that says something."""
+    toks = _bodies(members).select("doc_id", F.inline(_body_pieces("content", "stored")))
     return toks.withColumns({"name": X.local_name(F.col("tok")), "closes": F.lit(False)})
 
 
+def paragraphs(members: DataFrame) -> DataFrame:
+    """doc_id, para_idx, style_id, style_name, num_level, said and runs of the body paragraphs outside
+    tables and formulas. Runs are an array of run_idx, text and fonts; ``said`` tells whether the
+    paragraph has text, a number or a style.
+
+    A paragraph is cut where an image with a stored file or a formula stands; what follows has no
+    style of its own. Formulas leave the text. The body and the styles of a document meet where both
+    were placed, so no paragraph moves for its style.
+    """
+    names = styles(members).groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("style_id", "style_name"))).alias("names"))
+    found = _bodies(members).join(names, "doc_id", "left").select(
+        "doc_id", "names", F.inline(_body_paragraphs("content", "stored")))
+    level = F.try_element_at(F.filter(F.transform("levels", lambda v: v.try_cast("int")), lambda v: v.isNotNull()), F.lit(-1))
+
+    def fonts(run: Column) -> Column:
+        plain = F.transform(run["fonts"], lambda f: F.regexp_replace(f, r"""^[\s"']+|[\s"']+$""", ""))
+        return F.array_sort(F.array_distinct(F.filter(plain, lambda f: f != "")))
+
+    return found.select(
+        "doc_id", "para_idx", "style_id", F.try_element_at("names", F.col("style_id")).alias("style_name"),
+        F.when(F.col("numbered"), F.coalesce(level, F.lit(0))).alias("num_level"),
+        (F.col("said") | F.col("numbered") | F.col("style_id").isNotNull()).alias("said"),
+        F.transform("runs", lambda r: F.struct(
+            r["run_idx"].alias("run_idx"), r["text"].alias("text"), fonts(r).alias("fonts"))).alias("runs"))
+
+
 def read_body(members: DataFrame) -> dict[str, DataFrame]:
     """Rows of the body: paras, runs, refs, uses and cells, as the operators of ``office`` take them.
 
-    A paragraph outside tables is cut where an image with a stored file or a formula stands; what
-    follows has no style of its own. Formulas leave the text. A table in a cell is a table of its
-    own, numbered after the one around it, and its text is not in that cell. What is open at a token
-    is counted in one pass over its member, so that tokens which say nothing never become rows.
+    See ``paragraphs``. A table in a cell is a table of its own, numbered after the one around it, and
+    its text is not in that cell. What is open at a token is counted in one pass over its member, so
+    that tokens which say nothing never become rows.
     """
-    parts = _parts(members)
-    text = F.when(F.col("in_text"), X.text_of(F.col("tok"))).when(_opens("tab") & ~F.col("in_ppr"), "\t").when(_opens("br"), "\n")
-    in_ppr = F.col("in_ppr")
-    style = F.when(in_ppr & _opens("pstyle"), X.attribute(F.col("tok"), "val"))
-    level = F.when(in_ppr & _opens("ilvl"), X.attribute(F.col("tok"), "val").try_cast("int"))
-    para = parts.groupBy("doc_id", "para_idx").agg(
-        F.max_by(style, F.when(style.isNotNull(), F.col("pos"))).alias("style_id"),
-        F.max_by(level, F.when(level.isNotNull(), F.col("pos"))).alias("_level"),
-        F.coalesce(F.bool_or(in_ppr & _opens("numpr")), F.lit(False)).alias("_numbered"),
-        F.coalesce(F.bool_or(text.isNotNull()), F.lit(False)).alias("_text"))
-    paras = para.where(F.col("_text") | F.col("_numbered") | F.col("style_id").isNotNull()).select(
-        "doc_id", "para_idx", "style_id", F.when(F.col("_numbered"), F.coalesce("_level", F.lit(0))).alias("num_level"))
-    font = F.filter(
-        F.array(*[F.regexp_replace(X.attribute(F.col("tok"), a), r"""^[\s"']+|[\s"']+$""", "") for a in FONTS]),
-        lambda f: f.isNotNull() & (f != ""))
-    runs = parts.where("in_r").groupBy("doc_id", "para_idx", "run_idx").agg(
-        _joined(text).alias("text"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(
-            F.when(F.col("in_rpr") & _opens("rfonts"), font))))).alias("fonts"))
+    found = paragraphs(members)
     embed = X.attribute(F.col("tok"), "embed")
-    uses = parts.where(_opens("blip")).select("doc_id", "para_idx", embed.alias("rel_id")).where("rel_id IS NOT NULL")
+    uses = _parts(members).where(_opens("blip")).select("doc_id", "para_idx", embed.alias("rel_id")).where("rel_id IS NOT NULL")
     in_body = _tags(members, BODY, "body", "footnotereference").select("*", _depth("body", _ordered("doc_id")).alias("in_body"))
     refs = in_body.where((F.col("in_body") > 0) & _opens("footnotereference")).select(
         "doc_id", X.attribute(F.col("tok"), "id").alias("note_id")).where("note_id IS NOT NULL")
-    return {"paras": paras, "runs": runs, "uses": uses, "refs": refs, "cells": _cells(members)}
+    return {"paras": found.where("said").select("doc_id", "para_idx", "style_id", "num_level"),
+            "runs": found.select("doc_id", "para_idx", F.inline("runs")), "uses": uses, "refs": refs, "cells": _cells(members)}
 
 
 def _cells(members: DataFrame) -> DataFrame:
-    """doc_id, table_idx, row_idx, cell_idx, text of every cell. Paragraphs of a cell are joined by a space."""
-    return _member(members, BODY).select("doc_id", F.inline(_body_cells("content"))).withColumn(
-        "text", H.collapse(F.col("text")))
+    """doc_id, table_idx, row_idx, cell_idx, text of every cell."""
+    return tables(members).select("doc_id", "table_idx", F.inline("rows")).select(
+        "doc_id", "table_idx", "row_idx", F.inline("cells"))
+
+
+def tables(members: DataFrame) -> DataFrame:
+    """doc_id, table_idx and rows of every table: an array of row_idx and cells, an array of cell_idx
+    and text. Paragraphs of a cell are joined by a space."""
+    plain = lambda c: F.struct(c["cell_idx"].alias("cell_idx"), H.collapse(c["text"]).alias("text"))
+    return _member(members, BODY).select("doc_id", F.inline(_body_tables("content"))).select(
+        "doc_id", "table_idx", F.transform("rows", lambda r: F.struct(
+            r["row_idx"].alias("row_idx"), F.transform(r["cells"], plain).alias("cells"))).alias("rows"))
 
 
 def read_documents(members: DataFrame) -> dict[str, DataFrame]:

@@ -235,4 +235,4 @@ def h32_xml(spark, sf):
 
 @query("h33_tables_from_xml", ORACLES["h33_table_blocks"])
 def h33_xml(spark, sf):
-    return O.tables(OX.read_body(office_members(spark, sf))["cells"])
+    return O.document_tables(OX.tables(office_members(spark, sf)))
