@@ -17,6 +17,13 @@ def test_no_cell_of_xml_is_shuffled(spark):
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
 
 
+def test_paragraphs_are_walked_once_and_move_once(spark):
+    plan = plan_of(spark, "h29_h30_paragraph_blocks_from_xml")
+    assert plan.count("ArrowEvalPython [_body_paragraphs") == 1
+    moved = plan.split("ArrowEvalPython [_body_paragraphs")[0]
+    assert moved.count("ENSURE_REQUIREMENTS") == 1
+
+
 def test_a_cell_of_one_text_is_one_piece():
     assert X.cell_pieces("<tbl>" + CELL.format("a &lt; b") * 2 + "</tbl>") == [
         ("", "<tbl>"), ("a &lt; b", ""), ("a &lt; b", ""), ("", "</tbl>"), ("", "")]

@@ -215,8 +215,7 @@ def h28_xml(spark, sf):
 
 @query("h29_h30_paragraph_blocks_from_xml", ORACLES["h29_h30_paragraph_blocks"])
 def h29_xml(spark, sf):
-    t = OX.read_documents(office_members(spark, sf))
-    return O.paragraph_blocks(O.style_types(t["paras"], t["styles"]), t["runs"])
+    return O.document_blocks(OX.paragraphs(office_members(spark, sf)).where("said"))
 
 
 @query("h31_footnotes_from_xml", ORACLES["h31_footnote_blocks"])
