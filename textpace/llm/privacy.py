@@ -43,7 +43,8 @@ def places(text: Column, pattern: str) -> Column:
     """Non-overlapping matches, leftmost first, as structs (start, end, value) in code points."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"))
+    # The gap behind the last hit has none. Filtered rather than cut off, so that no pattern is searched for its count.
+    pairs = F.filter(F.arrays_zip(hits.alias("hit"), gaps.alias("gap")), lambda p: p["hit"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.array().cast(PLACES).alias("found"))
 
     def add(acc, pair):
@@ -134,17 +135,24 @@ def revealing(contexts: DataFrame, corpus: DataFrame) -> DataFrame:
         .where(F.col("bits") < GENERALISE_BITS)
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text_hash, base, terms) for every document; spans as arrays of SPAN."""
+def _searched(docs: DataFrame, *kept: str) -> DataFrame:
+    """The kept columns with _hash of the text, its base spans and, where it has any, the terms near them.
+
+    Staged, so that no later step searches a text again.
+    """
     text = F.coalesce("text", F.lit(""))
-    plain = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")) \
-        .withColumn("base", base_spans(F.col("text")))
-    found = staged(plain.select(
-        "doc_id", "text_hash", "base",
-        F.when(F.size("base") > 0, context_terms(F.col("text"), F.col("base"))).alias("near")), "privacy-found")
+    plain = docs.select(*kept, text.alias("_text"), F.xxhash64(text).alias("_hash")) \
+        .withColumn("_base", base_spans(F.col("_text")))
+    near = F.when(F.size("_base") > 0, context_terms(F.col("_text"), F.col("_base")))
+    return staged(plain.select(*kept, "_hash", "_base", near.alias("_near")), "privacy-found")
+
+
+def _with_terms(found: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_hash, base, terms) from those of ``_searched``."""
+    found = found.select("doc_id", F.col("_hash").alias("text_hash"), F.col("_base").alias("base"), F.col("_near").alias("near"))
     places_ = found.where("near is not null").select("doc_id", "text_hash", F.explode("near").alias("p")) \
         .select("doc_id", "text_hash", "p.*")
-    flagged = places_.join(revealing(places_, docs), ["entity", "term"]) \
+    flagged = places_.join(revealing(places_, corpus), ["entity", "term"]) \
         .groupBy("doc_id", "text_hash", "start", "end").agg(F.min("bits").alias("bits"), F.min("term").alias("term"))
     terms = flagged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.array_sort(F.collect_list(F.struct(
         "start", F.lit(KINDS.index("term")).alias("rank"),
@@ -155,6 +163,11 @@ def find(docs: DataFrame) -> DataFrame:
         "doc_id", "text_hash", "base", F.coalesce("terms", F.array().cast(SPAN)).alias("terms"))
 
 
+def find(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text_hash, base, terms) for every document; spans as arrays of SPAN."""
+    return _with_terms(_searched(docs, "doc_id"), docs)
+
+
 def listed(spans: Column) -> Column:
     """Spans as kind:start:end, comma-joined."""
     shown = F.transform(spans, lambda s: F.concat(
@@ -177,16 +190,16 @@ def redacted(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with personal data and revealing terms replaced; ``n_chars`` follows the text.
 
-    Texts without any base span are untouched and take part in no join.
+    Texts without any base span are untouched and take part in no join; each text is searched once.
     """
-    spans = find(docs).where(F.size("base") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "base", "terms") \
-        .dropDuplicates(["_id", "_hash"]).select("_id", "_hash", F.array_sort(F.concat("base", "terms")).alias("_spans"))
-    some = F.size(base_spans(F.col("text"))) > 0
-    hit = docs.where(some)
-    changed = hit.join(spans, hit["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(hit["text"]) == F.col("_hash")))
+    found = _searched(docs, *docs.columns)
+    spans = _with_terms(found, found).where(F.size("base") > 0).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_of"), "base", "terms") \
+        .dropDuplicates(["_id", "_of"]).select("_id", "_of", F.array_sort(F.concat("base", "terms")).alias("_spans"))
+    hit = found.where(F.size("_base") > 0)
+    changed = hit.join(spans, hit["doc_id"].eqNullSafe(F.col("_id")) & (hit["_hash"] == F.col("_of")))
     new = {"text": redacted(F.col("text"), F.col("_spans"))}
     changed = changed.withColumns(new)
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns).unionByName(docs.where(~some))
+    return changed.select(*docs.columns).unionByName(found.where(F.size("_base") == 0).select(*docs.columns))
